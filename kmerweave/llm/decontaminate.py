@@ -18,7 +18,6 @@ columns are ignored; an empty benchmark hits nothing.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, packing, secret_scan
 
 QUERIES = {
+    "op1_secrets": secret_scan.query,
     "op8_decontamination": decontaminate.query,
+    "op10_packing": packing.query,
 }
 
 ORACLES = {
