@@ -82,6 +82,12 @@ class Words:
     ends: np.ndarray
     first: np.ndarray
     count: np.ndarray
+    size: np.ndarray  # bytes of each text
+
+    @property
+    def byte_doc(self) -> np.ndarray:
+        """The text of every byte."""
+        return np.repeat(np.arange(self.size.size, dtype=np.int32), self.size)
 
     @property
     def doc(self) -> np.ndarray:
@@ -128,7 +134,7 @@ def split_words(arr: pa.Array, table: np.ndarray) -> Words:
     n = data.size
     if not n:
         zero = np.zeros(len(arr), np.int64)
-        return Words(data, zero[:0], zero[:0], zero, zero.copy())
+        return Words(data, zero[:0], zero[:0], zero, zero.copy(), zero.copy())
     word = data != 0
     # a word starts where a word byte follows a separator or begins a text
     begin = word.copy()
@@ -142,7 +148,7 @@ def split_words(arr: pa.Array, table: np.ndarray) -> Words:
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
     first = np.searchsorted(starts, off[:-1])
     count = np.searchsorted(starts, off[1:]) - first
-    return Words(data, starts, ends, first, count)
+    return Words(data, starts, ends, first, count, np.diff(off))
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -158,3 +164,26 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+
+
+def case_table() -> np.ndarray:
+    """Bytes of words ``[^\\x20\\x09-\\x0D]+`` with their case."""
+    t = np.arange(256, dtype=np.uint8)
+    t[0] = 0xFF
+    t[[0x20, *range(0x09, 0x0E)]] = 0
+    return t
+
+
+def byte_grams(data: np.ndarray, doc: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and bucket of every run of n bytes within one text whose inner bytes are no separators."""
+    size = max(0, data.size - n + 1)
+    h = np.zeros(size, np.uint32)
+    ok = doc[:size] == doc[n - 1 :] if size else np.zeros(0, bool)
+    for j in range(n):
+        part = data[j : j + size]
+        h = h * np.uint32(0x01000193) + part
+        if 0 < j < n - 1:
+            ok = ok & (part != 0)
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B + 2 * n)
+    at = np.flatnonzero(ok)
+    return at, (h[at] >> np.uint32(32 - bits)).astype(np.int64)
