@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, secret_scan
+from . import decontaminate, language, packing, quality, secret_scan
 
 QUERIES = {
     "op1_secrets": secret_scan.query,
+    "op5_language": language.query,
+    "op7_quality": quality.query,
     "op8_decontamination": decontaminate.query,
     "op10_packing": packing.query,
 }
