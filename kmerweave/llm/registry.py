@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, packing, quality, secret_scan
+from . import decontaminate, language, line_dedup, packing, quality, secret_scan
 
 QUERIES = {
     "op1_secrets": secret_scan.query,
     "op5_language": language.query,
     "op7_quality": quality.query,
     "op8_decontamination": decontaminate.query,
+    "op9_line_dedup": line_dedup.query,
     "op10_packing": packing.query,
 }
 
 ORACLES = {
     "op8_decontamination": decontaminate.SQL,
+    "op9_line_dedup": line_dedup.SQL,
 }
