@@ -47,7 +47,7 @@ def test_like_brute_force(spark):
     for least in (1, 7, 10):
         got = ld._edited(d, least).select("doc_id", "_text").collect()
         # lines with words must agree; blank ones belong to no particular run
-        bare = lambda pairs: sorted(((d, t and [x for x in t.split("\n") if x.split()]) for d, t in pairs), key=repr)
+        bare = lambda pairs: sorted(((d, [x for x in (t or "").split("\n") if x.split()]) for d, t in pairs), key=repr)
         assert bare(map(tuple, got)) == bare(brute(rows, least))
 
 
