@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, line_dedup, packing, quality, secret_scan
+from . import decontaminate, language, line_dedup, lm_score, packing, quality, secret_scan
 
 QUERIES = {
     "op1_secrets": secret_scan.query,
     "op5_language": language.query,
+    "op6_lm_score": lm_score.query,
     "op7_quality": quality.query,
     "op8_decontamination": decontaminate.query,
     "op9_line_dedup": line_dedup.query,
