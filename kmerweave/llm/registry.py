@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, line_dedup, lm_score, packing, quality, secret_scan
+from . import decontaminate, jaccard, language, line_dedup, lm_score, packing, quality, secret_scan
 
 QUERIES = {
     "op1_secrets": secret_scan.query,
+    "op4_ngram_jaccard": jaccard.query,
     "op5_language": language.query,
     "op6_lm_score": lm_score.query,
     "op7_quality": quality.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_ngram_jaccard": jaccard.SQL,
     "op8_decontamination": decontaminate.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
