@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, line_dedup, lm_score, packing, quality, secret_scan
+from . import decontaminate, jaccard, language, line_dedup, lm_score, packing, quality, secret_scan, toxicity
 
 QUERIES = {
     "op1_secrets": secret_scan.query,
+    "op3_toxicity": toxicity.query,
     "op4_ngram_jaccard": jaccard.query,
     "op5_language": language.query,
     "op6_lm_score": lm_score.query,
