@@ -8,16 +8,17 @@ from pyspark.sql.window import Window
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, outside_fold: Column, bound: int) -> list:
-    """Rows (label, text) of labelled documents for which ``outside_fold`` holds: at most ``bound`` of each label, in hash order.
+    """Rows (label, text) of documents labelled 0 or 1 for which ``outside_fold`` holds: at most ``bound`` of each label, in hash order.
 
     ``bound`` is the documented limit on what a classifier is trained on.  A
     document with several labels or a null one is left out, a repeated document
     counts once.
     """
-    one = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("doc_id")).agg(F.min(label).alias("label"), F.max(label).alias("other")).where("label = other").drop("other")
+    one = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("doc_id")).agg(F.min(label).alias("label"), F.max(label).alias("other")).where("label = other and label in (0, 1)").drop("other")
     chosen = one.where(outside_fold)
     # the rank needs ids only; Spark keeps the first rows of each label in every task
     rank = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = chosen.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= bound).drop("rank")
-    texts = docs.select("doc_id", "text").where("text is not null").join(ids, "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
+    # 2 * bound ids at most, so they are broadcast and no text is shuffled but the sample's
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
     return sorted(texts.select("label", "text", "doc_id").collect(), key=lambda r: str(r.doc_id))
