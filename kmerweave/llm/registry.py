@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, line_dedup, lm_score, packing, quality, secret_scan, toxicity
+from . import decontaminate, jaccard, language, line_dedup, lm_score, packing, quality, secret_scan, topk, toxicity
 
 QUERIES = {
     "op1_secrets": secret_scan.query,
+    "op2_topk": topk.query,
     "op3_toxicity": toxicity.query,
     "op4_ngram_jaccard": jaccard.query,
     "op5_language": language.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_topk": topk.SQL,
     "op4_ngram_jaccard": jaccard.SQL,
     "op8_decontamination": decontaminate.SQL,
     "op9_line_dedup": line_dedup.SQL,
