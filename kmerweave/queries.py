@@ -18,6 +18,8 @@ from .operators import annotate, graph, hierarchy, index, sketch
 from .operators._stage import staged
 
 K = 31
+#: Reads are labelled by shorter k-mers.
+READ_K = 13
 SCALED = 100
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -299,12 +301,12 @@ def minhash_murmur(spark, sf_dir):
 
 # ---------------------------------------------------------------- reads
 
-_LABELS = f"(SELECT DISTINCT conv_id, turn, id AS doc_id FROM (SELECT conv_id, turn, kmer FROM {_km('conversations', 'conv_id, turn')}) JOIN (SELECT kmer, min(doc_id) AS id FROM {_km('documents', 'doc_id')} GROUP BY kmer HAVING min(doc_id) = max(doc_id)) USING (kmer))"
+_LABELS = f"(SELECT DISTINCT conv_id, turn, id AS doc_id FROM (SELECT conv_id, turn, kmer FROM {_km('conversations', 'conv_id, turn', READ_K)}) JOIN (SELECT kmer, min(doc_id) AS id FROM {_km('documents', 'doc_id', READ_K)} GROUP BY kmer HAVING min(doc_id) = max(doc_id)) USING (kmer))"
 
 
 def _labels(spark, sf_dir):
-    reads = seq.kmers(_table(spark, sf_dir, "conversations").withColumnRenamed("text", "seq"), "seq", K, "conv_id", "turn")
-    own = index.unique_index(_nodes(spark, sf_dir), K, reads)
+    reads = seq.kmers(_table(spark, sf_dir, "conversations").withColumnRenamed("text", "seq"), "seq", READ_K, "conv_id", "turn")
+    own = index.unique_index(_nodes(spark, sf_dir), READ_K, reads)
     return reads.join(own, "kmer").select("conv_id", "turn", "id").distinct()
 
 
@@ -587,8 +589,9 @@ def terminal_nodes(spark, sf_dir):
 
 @register(
     "unassembled_nodes",
-    f"""WITH {_TREE}, g AS (SELECT id FROM roll WHERE hit / size <= 0.2 AND id <> -1)
-SELECT a.id FROM g a WHERE NOT EXISTS (SELECT 1 FROM path p JOIN g ON (g.id = p.c AND a.id = p.o) OR (g.id = p.n AND a.id IN (p.o, p.c)) OR (g.id = p.r AND a.id IN (p.o, p.c, p.n)))""",
+    f"""WITH {_TREE}, g AS (SELECT id FROM roll WHERE hit / size <= 0.2 AND id <> -1),
+up AS (SELECT o AS id, c AS a FROM path UNION SELECT o, n FROM path UNION SELECT o, r FROM path UNION SELECT c, n FROM path UNION SELECT c, r FROM path UNION SELECT n, r FROM path)
+SELECT id FROM g WHERE id NOT IN (SELECT up.id FROM up JOIN g ON g.id = up.a)""",
 )
 def unassembled_nodes(spark, sf_dir):
     return hierarchy.first_below(_child(spark, sf_dir), _roll(spark, sf_dir), -1, index.ratio(F.col("hit"), F.col("size")) <= 0.2, _DEPTH)

@@ -75,14 +75,14 @@ def node_info(spark: SparkSession, path: str, min_abund: float = 0.0) -> DataFra
 def hierarchy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """nodes (id, vertex, level) and child (parent, child) of lines 'id,vertex,level,children'."""
     rows = spark.read.csv(path, schema="id long, vertex long, level int, children string")
-    child = rows.select(F.col("id").alias("parent"), F.explode(F.filter(F.split("children", " "), lambda c: c != "")).cast("long").alias("child"))
+    child = rows.select(F.col("id").alias("parent"), F.explode(F.filter(F.split("children", " "), lambda c: c != "").cast("array<long>")).alias("child"))
     return rows.select("id", "vertex", "level"), child
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
     """vertex, member of lines 'dominator member member ...'."""
     rows = spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), " ").alias("p"))
-    return rows.select(F.col("p")[0].cast("long").alias("vertex"), F.explode(F.slice("p", F.lit(2), F.size("p"))).cast("long").alias("member"))
+    return rows.select(F.col("p")[0].cast("long").alias("vertex"), F.explode(F.slice("p", F.lit(2), F.size("p")).cast("array<long>")).alias("member"))
 
 
 def id_list(spark: SparkSession, path: str) -> DataFrame:
