@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _text
 from ._labelled import labelled_sample
@@ -116,8 +117,8 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             yield pa.record_batch([*(b.column(c) for c in columns), pa.array(p)], [*columns, "score"])
 
     chosen = docs.select(*columns, F.col("text").cast("binary").alias("_text"))
-    shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return chosen.mapInArrow(run, f"{shape}, score double")
+    shape = T.StructType([*(docs.schema[c] for c in columns), T.StructField("score", T.DoubleType())])
+    return chosen.mapInArrow(run, shape)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
