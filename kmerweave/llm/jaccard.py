@@ -10,8 +10,8 @@ link when ``100 * intersection >= percent * union``.
    whose other n-grams number less than the overlap any link needs has no link.
 2. The remaining documents are collapsed to distinct sets, and step 1 is repeated.
 3. The n-grams of what remains get the global order (frequency, hash).  By the
-   prefix bound, linked sets share one of their first n-grams in that order, so
-   postings of prefixes give candidate pairs: first against one leader per
+   prefix bound, linked sets share one of their first n-grams in that order, with
+   enough n-grams behind it in both; so postings of prefixes give candidate pairs: first against one leader per
    posting list, then, only between sets not connected yet, against more leaders,
    and at last all pairs that are left.  Groups of copies are so joined by stars,
    while no link between different components is missed.
@@ -258,21 +258,25 @@ def _links(reps: DataFrame, percent: int) -> DataFrame:
     ordered = tokens.join(shared, "h").withColumns({"place": F.row_number().over(by_order), "shared": F.count("*").over(whole)})
     # n-grams of one set alone come first in the order and match nothing
     last = F.col("n") - needed_column(F.col("n"), percent) + 1 - (F.col("n") - F.col("shared"))
-    ordered = staged(ordered.select("node", "n", "h", "df", (F.col("place") <= last).alias("prefix")), "ordered")
+    ordered = staged(ordered.select("node", "n", "h", "df", "shared", (F.col("shared") - F.col("place") + 1).alias("rest"), (F.col("place") <= last).alias("prefix")), "ordered")
     segments = staged(ordered.groupBy("node", F.floor(F.log2("df")).cast("int").alias("fragment")).agg(F.collect_list("h").alias("tokens")), "segments")
-    posts = staged(ordered.where("prefix").select("h", "node", "n"), "posts")
+    posts = staged(ordered.where("prefix").select("h", "node", "n", "shared", "rest"), "posts")
     links = tested = comps = None
     for most in LEADERS:
         p = posts.withColumn("c", F.col("node")) if comps is None else posts.join(comps, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root")
         sizes = p.groupBy("h", "c").agg(F.count("*").alias("m"))
-        # lists with one component are done; of others all but the largest component may lead
+        # lists with one component are done; of others all but the largest component may lead, sets with
+        # the most shared n-grams first: these link to most others of a group of copies
         lists = sizes.groupBy("h").agg(F.count("*").alias("parts"), F.max(F.struct("m", "c")).alias("top")).where("parts > 1").select("h", F.col("top.c").alias("top"))
         p = p.join(lists, "h")
         lead = p.where("c <> top")
         if most:
-            lead = lead.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("node"), "node"))).where(F.col("r") <= most)
-        lead = lead.select("h", F.col("node").alias("l"), F.col("n").alias("l_n"), F.col("c").alias("l_c"))
-        fits = (F.col("c") != F.col("l_c")) & (100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n"))
+            lead = lead.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("shared"), F.xxhash64("node"), "node"))).where(F.col("r") <= most)
+        lead = lead.select("h", F.col("node").alias("l"), F.col("n").alias("l_n"), F.col("rest").alias("l_rest"), F.col("c").alias("l_c"))
+        # from its first common n-gram on, a pair shares no more than the n-grams that either set has left;
+        # a linked pair passes at that n-gram, whatever the later ones say
+        reachable = (100 + percent) * F.least("rest", "l_rest") >= percent * (F.col("n") + F.col("l_n"))
+        fits = (F.col("c") != F.col("l_c")) & (100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n")) & reachable
         found = lead.join(p, "h").where(fits).select(F.least("l", "node").alias("a"), F.greatest("l", "node").alias("b")).distinct()
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
