@@ -36,7 +36,7 @@ from ._labelled import labelled_sample
 from ._shared import fold, table
 
 #: Labelled documents of each label that are learnt from, at most.
-SAMPLE = 1200
+SAMPLE = 700
 #: Sentences of a document that are learnt from, at most.
 SENTENCES = 24
 LANDMARKS = 144
