@@ -119,7 +119,8 @@ def _unpack(b: bytes) -> np.ndarray:
 
 def candidates(rows: DataFrame, sets: Callable, keys: list[str], percent: int) -> DataFrame:
     """keys, n and whether the row's set can link to any other set of the table."""
-    fragments = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # more fragments than tasks, as a task holds a fragment at a time
+    fragments = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     types = {k: rows.schema[k].dataType.simpleString() for k in keys}
     shape = "fragment int, chunk long, h binary, owner binary, count binary, " + ", ".join(f"{k} array<{types[k]}>" for k in keys) + ", n array<long>"
 
@@ -160,8 +161,14 @@ def candidates(rows: DataFrame, sets: Callable, keys: list[str], percent: int) -
         meta, t = t.filter(pa.compute.invert(own)), t.filter(own)
         parts = [_unpack(x) for x in t.column("h").to_pylist()]
         if parts:
-            _, at, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-            single, to, counts = n[at] == 1, 0, []
+            h = np.concatenate(parts)
+            order = np.argsort(h, kind="stable")
+            h = h[order]
+            again = np.zeros(h.size + 1, bool)
+            again[1:-1] = h[1:] == h[:-1]
+            single, to, counts = np.empty(h.size, bool), 0, []
+            single[order] = ~(again[1:] | again[:-1])
+            del h, order, again
             for p, c in zip(parts, t.column("count").to_pylist(), strict=True):
                 c = np.frombuffer(c, "<u4")
                 starts = to + np.append(0, np.cumsum(c)[:-1]).astype(np.int64)
