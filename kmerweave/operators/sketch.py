@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.sequence import h60, kmers
 from ._stage import staged
+from .graph import renumber
 from .index import ratio
 
 
@@ -53,23 +54,35 @@ def composition(nodes: DataFrame, alphabet: str, k: int, group: str) -> DataFram
     return groups.crossJoin(F.broadcast(domain)).join(counted, [group, "kmer"], "left").select(group, "kmer", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def gather(query: DataFrame, references: DataFrame, key: str, least: float = 0.0, rounds: int = 1000) -> DataFrame:
+def gather(query: DataFrame, references: DataFrame, key: str, least: float = 0.0, rounds: int | None = None) -> DataFrame:
     """rank, key, unique, f_unique: references chosen greedily by the query hashes not yet explained; ties to the smaller key.
 
-    Each round is one aggregation and one anti-join; rounds end when the best
-    share falls below ``least``.
+    It ends when no hash matches, the best share falls below ``least``, or after
+    ``rounds`` references where that is given.  Counts only fall, so a reference that
+    comes first (most hashes, then smaller key) among all that share a hash with it is
+    chosen with its present count whatever happens elsewhere: each pass chooses all of
+    these, and the order of choice is that of count and key.
     """
-    spark = query.sparkSession
     left = staged(query.select("hash").distinct(), "gather")
-    total, out = left.count(), []
-    refs = staged(references.select(key, "hash").distinct().join(left, "hash", "left_semi"), "gather-refs")
-    while total and len(out) < rounds:
-        best = refs.join(left, "hash").groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).first()
-        if best is None or best.n / total < least:
+    total, out = left.count(), None
+    live = staged(references.select(key, "hash").distinct().join(left, "hash", "left_semi"), "gather-refs")
+    while total:
+        # counts don't rise again, so a share below the least never counts
+        n = live.groupBy(key).agg(F.count("*").alias("unique")).where(F.col("unique") / total >= least)
+        n = staged(n.withColumn("_at", F.struct((-F.col("unique")).alias("m"), F.col(key).alias("k"))), "gather-counts")
+        if n.isEmpty():
             break
-        out.append((len(out) + 1, best[key], best.n, best.n / total))
-        left = staged(left.join(refs.where(F.col(key) == best[key]).select("hash"), "hash", "left_anti"), "gather")
-    return spark.createDataFrame(out, f"rank int, {key} {references.schema[key].dataType.simpleString()}, unique long, f_unique double")
+        live = live.join(n, key)
+        first = live.groupBy("hash").agg(F.min("_at").alias("_first"))
+        own = live.join(first, "hash").groupBy(key).agg(F.bool_and(F.col("_at") == F.col("_first")).alias("ok")).where("ok")
+        new = staged(n.join(own, key, "left_semi"), "gather-chosen")
+        out = new if out is None else out.unionByName(new)
+        gone = live.join(new.select(key), key, "left_semi").select("hash")
+        live = staged(live.select(key, "hash").join(gone, "hash", "left_anti"), "gather-refs")
+    if out is None:
+        return query.sparkSession.createDataFrame([], f"rank int, {key} {references.schema[key].dataType.simpleString()}, unique long, f_unique double")
+    ranked = renumber(out, "_at").select((F.col("number") + 1).cast("int").alias("rank"), key, "unique", (F.col("unique") / total).alias("f_unique"))
+    return ranked if rounds is None else ranked.where(F.col("rank") <= rounds)
 
 
 def murmur_sketch(seq: DataFrame, k: int, scaled: int, hash_of, *keep: str) -> DataFrame:

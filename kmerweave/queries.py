@@ -288,7 +288,7 @@ def hashval_query(spark, sf_dir):
 @register("greedy_gather", None)
 def greedy_gather(spark, sf_dir):
     items = sketch.scaled_sketch(_records(spark, sf_dir), K, SCALED, "query")
-    return sketch.gather(items, _doc_sketch(spark, sf_dir), "id", rounds=12)
+    return sketch.gather(items, _doc_sketch(spark, sf_dir), "id")
 
 
 @register("minhash_murmur", None)
