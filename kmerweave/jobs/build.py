@@ -34,8 +34,9 @@ def build_hierarchy(edges: DataFrame, vertices: DataFrame, radius: int = 1, top:
     add = lambda all_, more: more if all_ is None else all_.unionByName(more)
     while True:
         level += 1
-        chosen = staged(graph.dominating_set(e, v), "dominators")
-        pieces = staged(graph.assign_pieces(e, v, chosen, radius if level == 1 else 1), "pieces")
+        reach = radius if level == 1 else 1
+        chosen = staged(graph.dominating_set(e, v, reach), "dominators")
+        pieces = staged(graph.assign_pieces(e, v, chosen, reach), "pieces")
         new = staged(graph.renumber(chosen, "id").select((F.col("number") + first_id).alias("node"), F.col("id").alias("vertex")), "nodes")
         n = new.count()
         first_id += n

@@ -119,23 +119,23 @@ def orient(edges: DataFrame, order: DataFrame) -> DataFrame:
     return edges.join(at("src"), "src").join(at("dst"), "dst").where("src_at > dst_at").select("src", "dst")
 
 
-def dominating_set(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """id of an independent dominating set: the greedy one in the order of degree (high first), then id.
+def dominating_set(edges: DataFrame, vertices: DataFrame, radius: int = 1) -> DataFrame:
+    """id of a set that dominates within ``radius`` edges, its members further apart: the greedy one in the order of degree (high first), then id.
 
-    In each round every undecided vertex that comes before all its undecided
-    neighbours is chosen and its neighbours are covered; this gives the same set as
-    visiting one vertex after the other.
+    In each round every undecided vertex that comes before all undecided vertices
+    within the radius is chosen and these are covered; this gives the same set as
+    visiting one vertex after the other.  Paths lead through decided vertices too.
     """
     left = staged(degrees(edges, vertices).select("id", F.struct((-F.col("degree")).alias("d"), F.col("id").alias("i")).alias("at")), "undecided")
     chosen = None
     while not left.isEmpty():
-        mine = left.select(F.col("id").alias("src"), F.col("at").alias("src_at"))
-        theirs = left.select(F.col("id").alias("dst"), F.col("at").alias("dst_at"))
-        beaten = edges.join(mine, "src").join(theirs, "dst").where("dst_at < src_at").select(F.col("src").alias("id"))
-        new = staged(left.join(beaten, "id", "left_anti").select("id"), "chosen")
+        first = left
+        for _ in range(radius):
+            near = edges.join(first.select(F.col("id").alias("src"), "at"), "src").select(F.col("dst").alias("id"), "at")
+            first = first.union(near).groupBy("id").agg(F.min("at").alias("at"))
+        new = staged(left.join(first, ["id", "at"], "left_semi").select("id"), "chosen")
         chosen = new if chosen is None else chosen.union(new)
-        covered = new.union(edges.join(new.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")))
-        left = staged(left.join(covered, "id", "left_anti"), "undecided")
+        left = staged(left.join(within_hops(edges, new, radius), "id", "left_anti"), "undecided")
     return vertices.select("id").limit(0) if chosen is None else chosen
 
 
