@@ -36,7 +36,7 @@ from ._labelled import labelled_sample
 from ._shared import fold, table
 
 #: Labelled documents of each label that are learnt from, at most.
-SAMPLE = 700
+SAMPLE = 1200
 #: Sentences of a document that are learnt from, at most.
 SENTENCES = 24
 LANDMARKS = 144
@@ -191,15 +191,20 @@ def _features(words: _text.Words, value: np.ndarray, begin: np.ndarray, bias: fl
     return out
 
 
-def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 30) -> np.ndarray:
-    """Linear support vector machine with squared hinge loss, by Newton steps on the rows within the margin."""
+def _squared_hinge(x: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 30) -> np.ndarray:
+    """Linear support vector machine with squared hinge loss on some rows of x, by Newton steps on those within the margin; summed in blocks, so x isn't copied."""
     w = np.zeros(x.shape[1])
     reg = ridge * np.eye(x.shape[1])
     reg[-1, -1] = 1e-8
     for _ in range(steps):
-        on = y * (x @ w) < 1
-        a = x[on] * weight[on, None]
-        new = np.linalg.solve(a.T @ x[on] + reg, a.T @ y[on])
+        h, g = reg.copy(), np.zeros(x.shape[1])
+        for i in range(0, rows.size, 4096):
+            b, s = x[rows[i : i + 4096]], y[i : i + 4096]
+            on = s * (b @ w) < 1
+            b, a = b[on], b[on] * weight[i : i + 4096][on, None]
+            h += a.T @ b
+            g += a.T @ s[on]
+        new = np.linalg.solve(h, g)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -243,18 +248,20 @@ class _Bags(NamedTuple):
 def _bags(texts: list[bytes]) -> _Bags:
     words = _text.split_words(pa.array(texts, pa.binary()), _TABLE)
     begin, runs = _layout(words)
-    raw = [bare(w) for w in words.words()]
-    for a, b in runs:
-        raw[a] = b"".join(raw[a:b])
-    names, ids = np.unique(np.array(raw, object), return_inverse=True)
-    return _Bags(words, names, ids, begin, runs)
-
-
-def train(texts: list[str], labels: list[int], seed: int = 5) -> Model | None:
-    if len(set(labels)) < 2:
-        return None
-    rng, y = np.random.default_rng(seed), np.array(labels)
-    plain = [t.encode() for t in texts]
+    # one string per distinct word, not per word
+    raw, seen = words.data.tobytes(), {}
+    at = np.fromiter((seen.setdefault(raw[a:b], len(seen)) for a, b in zip(words.starts, words.ends, strict=True)), np.int64, words.starts.size)
+    spelt = [bare(w) for w in seen]
+    joined = [b"".join(spelt[i] for i in at[a:b]) for a, b in runs]
+    names, ids = np.unique(np.array(spelt + joined, object), return_inverse=True)
+    own = ids[: len(spelt)][at]
+    own[[a for a, _ in runs]] = ids[len(spelt) :]
+    used, own = np.unique(own, return_inverse=True)
+    return _Bags(words, names[used], own, begin, runs)
+
+
+def _landmarks(plain: list[bytes], y: np.ndarray, rng: np.random.Generator) -> tuple[list[bytes], list[float], list[bytes]]:
+    """Landmark words, the telling ones first; the unevenness of these; altered toxic documents. The sample's bags are released on return."""
     words, names, ids, _, _ = _bags(plain)
     # how many documents of each kind hold a word
     pair = np.unique(words.doc.astype(np.int64) * names.size + ids)
@@ -265,12 +272,20 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model | None:
     telling = [i for i in np.argsort(-uneven, kind="stable") if toxic[i] >= 3 and uneven[i] > 0][: LANDMARKS - COMMON]
     common = [i for i in np.argsort(-other, kind="stable") if i not in set(telling)][:COMMON]
     marks = [names[i] for i in telling + common]
-    hints = {names[i]: float(uneven[i]) for i in np.flatnonzero(uneven > 0)}
     # toxic documents once more, with the words misspelt that many of them and hardly any clean one hold
     set_, first = {names[i] for i in telling if rate[i] >= 0.1 and other[i] <= 0.001}, words.first.tolist()
-    all_words = words.words()
-    more = [_altered(all_words[first[d] : first[d] + n], set_, rng) for d, n in enumerate(words.count.tolist()) if y[d] == 1]
-    more = [t for t in more if t is not None]
+    raw = words.data.tobytes()
+    own = lambda d, n: [raw[a:b] for a, b in zip(words.starts[first[d] : first[d] + n], words.ends[first[d] : first[d] + n], strict=True)]
+    more = [_altered(own(d, n), set_, rng) for d, n in enumerate(words.count.tolist()) if y[d] == 1]
+    return marks, [float(uneven[i]) for i in telling], [t for t in more if t is not None]
+
+
+def train(texts: list[str], labels: list[int], seed: int = 5) -> Model | None:
+    if len(set(labels)) < 2:
+        return None
+    rng, y = np.random.default_rng(seed), np.array(labels)
+    plain = [t.encode() for t in texts]
+    marks, hints, more = _landmarks(plain, y, rng)
     words, names, ids, begin, runs = _bags(plain + more)
     y = np.append(y, np.ones(len(more), int))
     doc = words.doc
@@ -287,7 +302,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model | None:
     length = np.diff(np.append(at, doc.size))
     s_doc = doc[at]
     # the first choice of sentences: by the unevenness of the nearest of the telling words
-    near = squared[:, : len(telling)] @ np.clip([hints[x] for x in marks[: len(telling)]], 0, 5)
+    near = squared[:, : len(hints)] @ np.clip(hints, 0, 5)
     hint = np.add.reduceat(near[ids], at) / np.sqrt(length)
     order = np.lexsort((np.where(y[s_doc] == 1, -hint, rng.random(at.size)), s_doc))
     place = np.arange(at.size) - np.searchsorted(s_doc[order], np.arange(y.size))[s_doc[order]]
@@ -309,7 +324,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model | None:
         use[best[y[of[best]] == 1]] = True
         sign = np.where(y[of[use]] == 1, 1.0, -1.0)
         weight = np.where(sign > 0, 1.0 / max(1, (sign > 0).sum()), 1.0 / max(1, (sign < 0).sum()))
-        w = _squared_hinge(x[use], sign, weight, 1e-3)
+        w = _squared_hinge(x, np.flatnonzero(use), sign, weight, 1e-3)
         score = x @ w
     per_word, bias = root @ w[:-1], float(w[-1])
     value = (squared @ per_word)[ids]
