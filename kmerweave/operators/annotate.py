@@ -65,13 +65,24 @@ def query_abundance(matched: DataFrame, info: DataFrame, least: float = 0.5, wan
     return found.select("n_found", ratio(F.col("n_found"), F.lit(wanted)).alias("containment"), ratio(F.col("w"), F.col("n_found")).alias("mean_abund")).where(F.col("containment") >= least)
 
 
-def purity(hits: DataFrame, group: str, ranks: list[str]) -> DataFrame:
+def purity(hits: DataFrame, group: str, ranks: list[str], hit: str | None = None) -> DataFrame:
     """group, rank, taxon, share: of each rank the most frequent lineage prefix and its share; ties to the smaller prefix.
 
-    ``hits`` has one row per hit with a column per rank.
+    ``hits`` has one row per hit with a column per rank.  With a key ``hit`` it has one
+    row per hit and lineage: the most frequent prefix is still that of most rows, but
+    its share is that of hits with it among all hits, so several lineages of one hit
+    count once.
     """
     prefixes = F.array(*(F.struct(F.lit(i + 1).alias("rank"), F.concat_ws(";", *ranks[: i + 1]).alias("taxon")) for i in range(len(ranks))))
-    n = hits.select(group, F.inline(prefixes)).groupBy(group, "rank", "taxon").agg(F.count("*").alias("n"))
+    each = hits.select(group, *([hit] if hit else []), F.inline(prefixes))
+    if hit:
+        # per hit first, so a group is no larger than its hits
+        each = each.groupBy(group, "rank", hit, "taxon").agg(F.count("*").alias("rows"))
+        n = each.groupBy(group, "rank", "taxon").agg(F.sum("rows").alias("n"), F.count("*").alias("own"))
+        all_ = hits.groupBy(group).agg(F.countDistinct(hit).alias("all"))
+        best = n.groupBy(group, "rank").agg(F.min(F.struct((-F.col("n")).alias("m"), "taxon", "own")).alias("b")).join(all_, group)
+        return best.select(group, "rank", F.col("b.taxon").alias("taxon"), ratio(F.col("b.own"), F.col("all")).alias("share"))
+    n = each.groupBy(group, "rank", "taxon").agg(F.count("*").alias("n"))
     best = n.groupBy(group, "rank").agg(F.sum("n").alias("all"), F.min(F.struct((-F.col("n")).alias("m"), "taxon")).alias("b"))
     return best.select(group, "rank", F.col("b.taxon").alias("taxon"), ratio(-F.col("b.m"), F.col("all")).alias("share"))
 
