@@ -4,7 +4,7 @@ The kernel of two texts is the number of hashed byte n-grams (n = 1 to 4, lower
 case) present in both over the geometric mean of the numbers present in each: the
 blended-spectrum presence kernel.  Landmark texts give its Nyström features, and
 one-versus-rest kernel ridge regression on a bounded sample (``sample`` texts of
-each language) gives the classifier.  The landmark presence rows times the ridge
+each language, all languages) gives the classifier.  The landmark presence rows times the ridge
 weights is one matrix, so blocks of texts are scored by one matrix product each.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as
@@ -29,7 +29,6 @@ from ._shared import fold, table
 #: Texts of each language that are learnt from, and landmarks among them, at most.
 SAMPLE = 256
 LANDMARKS = 48
-LANGUAGES = 64  # languages learnt, the most frequent first
 LENGTHS = (1, 2, 3, 4)
 BITS = 14
 RIDGE = 1e-2
@@ -92,10 +91,9 @@ def train(texts: list[bytes], languages: list[str], landmarks: int = LANDMARKS)
 
 def fit(docs: DataFrame, modulus: int = 4, fold_out: int = 2, sample: int = SAMPLE) -> Model:
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), modulus) != fold_out))
-    common = [r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.where(F.col("lang").isin(common)).select("doc_id", "lang").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= sample).select("doc_id", F.col("lang").alias("_lang"))
-    rows = usable.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").where("lang = _lang").select("text", "lang", "doc_id").distinct().collect()  # ids: sample * LANGUAGES rows at most
+    ids = usable.select("doc_id", "lang").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= sample).select("doc_id", F.col("lang").alias("_lang"))
+    rows = usable.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").where("lang = _lang").select("text", "lang", "doc_id").distinct().collect()  # ids: sample rows of each language at most
     rows.sort(key=lambda r: (str(r.doc_id), r.lang, r.text))
     return train([r.text.encode() for r in rows], [r.lang for r in rows])
 
