@@ -12,9 +12,9 @@ link when ``100 * intersection >= percent * union``.
 3. The n-grams of what remains get the global order (frequency, hash).  By the
    prefix bound, linked sets share one of their first n-grams in that order, with
    enough n-grams behind it in both; so postings of prefixes give candidate pairs: first against one leader per
-   posting list, then, only between sets not connected yet, against more leaders,
-   and at last all pairs that are left.  Groups of copies are so joined by stars,
-   while no link between different components is missed.
+   posting list, then all pairs of sets that those links don't show as connected.
+   Groups of copies are so joined by stars, while no link between different
+   components is missed.
 4. Candidates are verified vertically: the order is cut into fragments by
    frequency, each fragment counts the partial overlap of a pair, and the sums per
    pair decide.
@@ -33,12 +33,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import _text
-from ._shared import staged, table
+from ._shared import drop, named, staged, table
 
 WORDS = 4
 PERCENT = 85
@@ -47,8 +47,12 @@ CHUNK_ROWS = 50_000
 KEY_BYTES = 5
 #: Words (of 64 bits) of the filter that says which documents are read again.
 FILTER_WORDS = 1 << 20
+#: N-grams of a fragment; their number, not the cluster's size, gives the number of fragments.
+FRAGMENT = 1_000_000
 #: Leaders per posting list in each round; None: all pairs left.
-LEADERS = (1, 4, 32, None)
+LEADERS = (1, None)
+#: Parts that the postings of one n-gram are ranked in before the rank of all.
+SALT = 64
 _U = np.uint64
 _TABLE = _text.whitespace_table()
 
@@ -117,10 +121,10 @@ def _unpack(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def candidates(rows: DataFrame, sets: Callable, keys: list[str], percent: int) -> DataFrame:
-    """keys, n and whether the row's set can link to any other set of the table."""
-    # more fragments than tasks, as a task holds a fragment at a time
-    fragments = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def candidates(rows: DataFrame, sets: Callable, keys: list[str], percent: int, ngrams: int) -> DataFrame:
+    """keys, n and whether the row's set can link to any other set of the table; ``ngrams``: about how many it has."""
+    # a task holds a fragment at a time, so its size is fixed
+    fragments = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ngrams // FRAGMENT))
     types = {k: rows.schema[k].dataType.simpleString() for k in keys}
     shape = "fragment int, chunk long, h binary, owner binary, count binary, " + ", ".join(f"{k} array<{types[k]}>" for k in keys) + ", n array<long>"
 
@@ -200,9 +204,8 @@ def _filter_of(keys: DataFrame) -> np.ndarray:
     """A bit for each key's hash; FILTER_WORDS rows at most come to the driver."""
     bit = F.pmod("k1", F.lit(FILTER_WORDS * 64))
     words = keys.groupBy(F.shiftright(bit, 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(k1, 64) as int))")).alias("bits"))
-    out = np.zeros(FILTER_WORDS, np.int64)
-    for r in words.toLocalIterator():
-        out[r.i] = r.bits
+    found, out = words.toArrow(), np.zeros(FILTER_WORDS, np.int64)
+    out[found.column("i").to_numpy()] = found.column("bits").to_numpy()
     return out.view(_U)
 
 
@@ -232,28 +235,54 @@ def _sets(keyed: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 # ---------------------------------------------------------------- steps 3 to 5
 
 
+def _joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that always shuffles: loops and rounds leave no broadcasts in the driver."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (smallest node) of the nodes of an edge table (a, b)."""
-    e = staged(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    before = None
+    e, before = edges.where("a <> b").select("a", "b").distinct(), None
+    staged_before = None
     while True:
         both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _joined(both, low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        e = staged(small.distinct(), "edges")
-        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+        small = _joined(large, low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        # the table's size and a sum of its hashes come with the write: no job of their own
+        seen = Observation()
+        e = staged(small.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("x")), "edges")
+        if staged_before is not None:
+            drop(staged_before)
+        staged_before = e
+        now = tuple(seen.get.values())
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """node, root: the smallest node within two links.  Equal roots prove that two nodes are connected, different ones nothing."""
+    both = links.union(links.select("b", "a"))
+    one = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    two = _joined(both, one.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("m").alias("m2"))
+    return _joined(two, one, "a").select(F.col("a").alias("node"), F.least("m", "m2").alias("root"))
+
+
 def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """a, b, size of the intersection: partial overlaps per fragment, summed per pair."""
     side = lambda x: segments.select(F.col("node").alias(x), "fragment", F.col("tokens").alias(f"t_{x}"))
-    partial = pairs.join(side("a"), "a").join(side("b"), ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("t_a", "t_b")).alias("part"))
-    return partial.groupBy("a", "b").agg(F.sum("part").alias("both"))
+    partial = _joined(_joined(pairs, side("a"), "a"), side("b"), ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("t_a", "t_b")).alias("part"))
+    return partial.groupBy("a", "b").agg(F.sum("part").alias("both"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+
+
+def _leaders(posts: DataFrame, most: int) -> DataFrame:
+    """The ``most`` postings of each n-gram whose sets have most shared n-grams: first of parts of a list, then of the list."""
+    first = [F.desc("shared"), F.xxhash64("node"), F.col("node")]
+    part = Window.partitionBy("h", F.pmod(F.xxhash64("node"), F.lit(SALT))).orderBy(*first)
+    some = posts.withColumn("r", F.row_number().over(part)).where(F.col("r") <= most)
+    return some.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy(*first))).where(F.col("r") <= most)
 
 
 def _links(reps: DataFrame, percent: int) -> DataFrame:
@@ -262,40 +291,42 @@ def _links(reps: DataFrame, percent: int) -> DataFrame:
     shared = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     by_order = Window.partitionBy("node").orderBy("df", "h")
     whole = Window.partitionBy("node")
-    ordered = tokens.join(shared, "h").withColumns({"place": F.row_number().over(by_order), "shared": F.count("*").over(whole)})
+    ordered = _joined(tokens, shared, "h").withColumns({"place": F.row_number().over(by_order), "shared": F.count("*").over(whole)})
     # n-grams of one set alone come first in the order and match nothing
     last = F.col("n") - needed_column(F.col("n"), percent) + 1 - (F.col("n") - F.col("shared"))
     ordered = staged(ordered.select("node", "n", "h", "df", "shared", (F.col("shared") - F.col("place") + 1).alias("rest"), (F.col("place") <= last).alias("prefix")), "ordered")
     segments = staged(ordered.groupBy("node", F.floor(F.log2("df")).cast("int").alias("fragment")).agg(F.collect_list("h").alias("tokens")), "segments")
-    posts = staged(ordered.where("prefix").select("h", "node", "n", "shared", "rest"), "posts")
-    links = tested = comps = None
+    # of a posting list with one entry nothing comes
+    posts = ordered.where("prefix").select("h", "node", "n", "shared", "rest")
+    links = tested = labels = None
     for most in LEADERS:
-        p = posts.withColumn("c", F.col("node")) if comps is None else posts.join(comps, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root")
+        p = posts.withColumn("c", F.col("node")) if labels is None else _joined(posts, labels, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root")
         sizes = p.groupBy("h", "c").agg(F.count("*").alias("m"))
-        # lists with one component are done; of others all but the largest component may lead, sets with
+        # lists with one label are done; of others all but the largest label's may lead, sets with
         # the most shared n-grams first: these link to most others of a group of copies
         lists = sizes.groupBy("h").agg(F.count("*").alias("parts"), F.max(F.struct("m", "c")).alias("top")).where("parts > 1").select("h", F.col("top.c").alias("top"))
-        p = p.join(lists, "h")
+        p = staged(_joined(p, lists, "h"), "posts")
         lead = p.where("c <> top")
         if most:
-            lead = lead.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("shared"), F.xxhash64("node"), "node"))).where(F.col("r") <= most)
+            lead = _leaders(lead, most)
         lead = lead.select("h", F.col("node").alias("l"), F.col("n").alias("l_n"), F.col("rest").alias("l_rest"), F.col("c").alias("l_c"))
         # from its first common n-gram on, a pair shares no more than the n-grams that either set has left;
         # a linked pair passes at that n-gram, whatever the later ones say
         reachable = (100 + percent) * F.least("rest", "l_rest") >= percent * (F.col("n") + F.col("l_n"))
         fits = (F.col("c") != F.col("l_c")) & (100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n")) & reachable
-        found = lead.join(p, "h").where(fits).select(F.least("l", "node").alias("a"), F.greatest("l", "node").alias("b")).distinct()
+        one_way = [F.least("l", "node").alias("a"), F.greatest("l", "node").alias("b"), F.when(F.col("l") < F.col("node"), F.col("l_n")).otherwise(F.col("n")).alias("n_a"), F.when(F.col("l") < F.col("node"), F.col("n")).otherwise(F.col("l_n")).alias("n_b")]
+        found = _joined(lead, p, "h").where(fits).select(*one_way).distinct()
         if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
+            found = _joined(found, tested, ["a", "b"], "left_anti")
         found = staged(found, "pairs")
         both = _overlaps(found, segments)
-        n_of = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
-        true = both.join(n_of("a"), "a").join(n_of("b"), "b").where(F.col("both") * 100 >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
-        links = true if links is None else links.union(true)
-        links = staged(links, "links")
-        tested = found if tested is None else tested.union(found)
-        comps = components(links)
-    return comps
+        links_now = both.where(F.col("both") * 100 >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+        links = staged(links_now if links is None else links.union(links_now), "links")
+        tested = found.select("a", "b") if tested is None else tested.union(found.select("a", "b"))
+        if most != LEADERS[-1]:
+            labels = staged(_labels(links), "labels")
+        drop(p)
+    return components(links)
 
 
 def needed_column(n, percent: int):
@@ -305,22 +336,28 @@ def needed_column(n, percent: int):
 def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"), F.col("text").cast("binary").alias("text"))
-    stats = staged(candidates(keyed, _of_texts(words), ["doc_id", "k1", "k2"], percent), "stats")
+    # a word has six bytes or so with its separator; only the number of fragments comes from this
+    ngrams = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    stats = staged(candidates(keyed, _of_texts(words), ["doc_id", "k1", "k2"], percent, ngrams), "stats")
     sets = staged(_sets(keyed, stats.where("may").select("k1"), words), "sets")
     one = sets.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", "k.*")
     reps = staged(sets.join(one, ["node", "k1", "k2"]).dropDuplicates(["node"]).select("node", "n", "tokens"), "reps")
-    may = staged(candidates(reps, _of_arrays, ["node"], percent), "may").where("may").select("node")
-    comps = _links(staged(reps.join(may, "node"), "left"), percent)
-    member = sets.select("doc_id", "k1", "k2", "node").distinct().join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    may = candidates(reps, _of_arrays, ["node"], percent, reps.agg(F.sum("n")).first()[0] or 0).where("may").select("node")
+    comps = _links(staged(_joined(reps, may, "node"), "left"), percent)
+    member = _joined(sets.select("doc_id", "k1", "k2", "node").distinct(), comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # the smallest id of a component is a sum of parts, so a huge component is no task's whole work
     least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = member.join(least, "root").groupBy("k1", "k2").agg(F.min("component_id").alias("component_id"))
+    found = _joined(member, least, "root").groupBy("k1", "k2").agg(F.min("component_id").alias("component_id"))
     return stats.join(found, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents without those that link, however far, to one of smaller id."""
-    gone = similar(docs, words, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The documents without those that link, however far, to one of smaller id, with all their columns.
+
+    Rows go by doc_id: rows that share one go together.  A null doc_id stays.
+    """
+    gone = similar(docs, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*named(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
