@@ -39,10 +39,12 @@ VOCABULARY = "piece_bpe_32k.model"
 HOT_WORDS = 400_000
 #: Distinct words that a counting task holds before it passes them on.
 HELD_WORDS = 300_000
+#: Bytes of words whose lattices are built at once; longer words than LONG are gone through one by one.
+BLOCK_BYTES = 400_000
+LONG = 256
 ROUNDS = 2
 PRIOR = 1000.0
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
 _MARK = "▁".encode()
 
 
@@ -55,28 +57,30 @@ def vocabulary_path() -> str:
 # ---------------------------------------------------------------- the lattice
 
 
-def _poly(b: bytes) -> int:
-    h = 0
-    for c in b:
-        h = (h * int(_BASE) + c + 1) & (2**64 - 1)
-    return h
-
-
 class Lattice(NamedTuple):
-    """Pieces by the hash of their bytes, in two tables (the second for keys that meet in the first)."""
+    """Pieces as a trie: state 0 is the root, a step is found by (state, byte) in an open-addressed table."""
 
-    keys: np.ndarray
-    logp: np.ndarray  # natural logarithm; the last one is the end
-    first: np.ndarray
-    second: np.ndarray
+    logp: np.ndarray  # natural logarithm of each piece; the last one is the end
+    keys: np.ndarray  # state * 256 + byte of each slot, or -1
+    to: np.ndarray  # the state that the slot leads to
+    piece: np.ndarray  # the piece that ends in each state, or -1
     longest: int
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece of each hash, or -1."""
-        h_ = _text.mix(h)
-        a = self.first[h_ >> _U(42)]
-        b = self.second[(h_ >> _U(20)) & _U(0x3FFFF)]
-        return np.where((a >= 0) & (self.keys[a] == h), a, np.where((b >= 0) & (self.keys[b] == h), b, -1))
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The next states, -1 where no piece goes on like this."""
+        key = (state << 8) | byte
+        size = self.keys.size
+        slot = ((key.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(33 - size.bit_length())).astype(np.int64)
+        seen = self.keys[slot]
+        out = np.where(seen == key, self.to[slot], -1)
+        again = np.flatnonzero((seen != key) & (seen >= 0))
+        while again.size:
+            slot[again] = (slot[again] + 1) & (size - 1)
+            seen = self.keys[slot[again]]
+            hit = seen == key[again]
+            out[again[hit]] = self.to[slot[again[hit]]]
+            again = again[~hit & (seen >= 0)]
+        return out
 
 
 def read_vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
@@ -106,76 +110,144 @@ def read_vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
 
 
 def lattice(pieces: list[bytes], logp: np.ndarray) -> Lattice:
-    keys = np.array([_poly(p) for p in pieces], _U)
-    h = _text.mix(keys)
-    first, second = np.full(1 << 22, -1, np.int32), np.full(1 << 18, -1, np.int32)
-    for i, x in enumerate(h.tolist()):
-        if first[x >> 42] < 0:
-            first[x >> 42] = i
-        else:
-            assert second[(x >> 20) & 0x3FFFF] < 0, "two pieces meet twice"
-            second[(x >> 20) & 0x3FFFF] = i
-    return Lattice(keys, logp, first, second, max(map(len, pieces)))
-
-
-def _rows(words: list[bytes]) -> Iterator[tuple[list[int], np.ndarray]]:
-    """Blocks of words of one length, each with a word start mark: positions and bytes."""
-    by_len: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        by_len.setdefault(len(w), []).append(i)
-    for n, rows in sorted(by_len.items()):
-        step = max(1, 200_000 // (n + 3))
-        for at in range(0, len(rows), step):
-            part = rows[at : at + step]
-            yield part, np.frombuffer(b"".join(_MARK + words[i] for i in part), np.uint8).reshape(len(part), n + 3)
-
-
-def _edges(lat: Lattice, data: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(start, end, pieces of all rows) of the spans that are a piece in some row, by end."""
-    n = data.shape[1]
-    pre = np.zeros((n + 1, data.shape[0]), _U)
-    for j in range(n):
-        pre[j + 1] = pre[j] * _BASE + data[:, j] + _U(1)
-    power = [_U(1)]
-    for _ in range(lat.longest):
-        power.append(power[-1] * _BASE)
-    for j in range(1, n + 1):
-        for i in range(max(0, j - lat.longest), j):
-            p = lat.find(pre[j] - pre[i] * power[j - i])
-            if (p >= 0).any():
-                yield i, j, p
+    steps: dict[int, int] = {}
+    ends: dict[int, int] = {}
+    for i, p in enumerate(pieces):
+        state = 0
+        for c in p:
+            state = steps.setdefault((state << 8) | c, len(steps) + 1)
+        ends[state] = i
+    size = 1 << max(4, (5 * len(steps) // 2).bit_length())
+    keys, to = np.full((2, size), -1, np.int32)
+    shift = 33 - size.bit_length()
+    for key, state in steps.items():
+        slot = (key * 2654435761 & 0xFFFFFFFF) >> shift
+        while keys[slot] >= 0:
+            slot = (slot + 1) & (size - 1)
+        keys[slot], to[slot] = key, state
+    piece = np.full(len(steps) + 1, -1, np.int32)
+    piece[list(ends)] = list(ends.values())
+    return Lattice(logp, keys, to, piece, max(map(len, pieces), default=0))
+
+
+class _Edges(NamedTuple):
+    """Spans of some words, each with its start mark, that are pieces."""
+
+    rows: np.ndarray  # the words, longest first
+    size: np.ndarray  # bytes of each
+    word: np.ndarray  # of each edge: place of its word, first and last boundary, piece
+    start: np.ndarray
+    end: np.ndarray
+    piece: np.ndarray
+
+
+def _blocks(lat: Lattice, words: list[bytes]) -> Iterator[_Edges]:
+    """The lattices of the words, block by block."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + len(_MARK)
+    order = np.argsort(-sizes, kind="stable")
+    at = 0
+    while at < order.size:
+        longest = int(sizes[order[at]])
+        rows = order[at : at + (1 if longest > LONG else min(60_000, max(1, BLOCK_BYTES // longest)))]
+        at += rows.size
+        size = sizes[rows]
+        data = np.frombuffer(b"".join([_MARK + words[i] for i in rows.tolist()]), np.uint8).astype(np.int32)
+        first = np.cumsum(size) - size
+        word = np.repeat(np.arange(rows.size, dtype=np.int32), size)
+        left = np.repeat(first + size, size) - np.arange(data.size)
+        # all starts go one byte further at once; those that no piece goes on from are done
+        pos, state, found = np.arange(data.size), np.zeros(data.size, np.int32), []
+        for n in range(1, lat.longest + 1):
+            state = lat.step(state, data[pos + n - 1])
+            live = state >= 0
+            pos, state = pos[live], state[live]
+            piece = lat.piece[state]
+            hit = piece >= 0
+            found.append((pos[hit], n, piece[hit]))
+            more = left[pos] > n
+            pos, state = pos[more], state[more]
+            if not pos.size:
+                break
+        begin = np.concatenate([f[0] for f in found])
+        w = word[begin]
+        start = (begin - first[w]).astype(np.int32)
+        yield _Edges(rows, size, w, start, start + np.repeat(np.array([f[1] for f in found], np.int32), [f[0].size for f in found]), np.concatenate([f[2] for f in found]))
+
+
+def _sums(size: np.ndarray, word: np.ndarray, start: np.ndarray, end: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log of the summed weight of all paths from boundary 0 to every boundary of each word, and the place of each word's boundary 0."""
+    top = int(size[0])
+    first = np.cumsum(size + 1) - (size + 1)
+    out = np.full(int((size + 1).sum()), -np.inf)
+    out[first] = 0
+    order = np.argsort(end.astype(np.uint16) if top < 65536 else end, kind="stable")
+    word, logp = word[order], logp[order]
+    source = first[word] + start[order]
+    cut = np.append(0, np.cumsum(np.bincount(end, minlength=top + 1)))
+    alive = np.searchsorted(-size, -np.arange(top + 1), side="right")  # words that reach each boundary
+    for j in range(1, top + 1):
+        edges = slice(cut[j], cut[j + 1])
+        w = word[edges]
+        v = out[source[edges]] + logp[edges]
+        m = np.full(alive[j], -np.inf)
+        np.maximum.at(m, w, v)
+        m[np.isneginf(m)] = 0
+        out[first[: alive[j]] + j] = m + np.log(np.bincount(w, np.exp(v - m[w]), alive[j]))
+    return out, first
+
+
+def _sums_of_one(size: int, start: np.ndarray, end: np.ndarray, logp: np.ndarray, back: int) -> np.ndarray:
+    """The same for one long word: plain products, rescaled in the ``back`` places that an edge can reach back to."""
+    order = np.argsort(end, kind="stable")
+    starts, weights = start[order].tolist(), np.exp(logp[order]).tolist()
+    cut = np.append(0, np.cumsum(np.bincount(end, minlength=size + 1))).tolist()
+    value, out, scale = [0.0] * (size + 1), [-math.inf] * (size + 1), 0.0
+    value[0], out[0] = 1.0, 0.0
+    for j in range(1, size + 1):
+        total = 0.0
+        for e in range(cut[j], cut[j + 1]):
+            total += value[starts[e]] * weights[e]
+        value[j] = total
+        if total:
+            out[j] = math.log(total) + scale
+            if total < 1e-100:
+                for i in range(max(0, j - back), j + 1):
+                    value[i] /= total
+                scale = out[j]
+    return np.array(out)
+
+
+def _paths(lat: Lattice, e: _Edges, logp: np.ndarray, backward: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Summed log weights up to every boundary, or with ``backward`` from it to the word's end (by boundary from the end)."""
+    n = e.size[e.word].astype(np.int32)
+    start, end = (n - e.end, n - e.start) if backward else (e.start, e.end)
+    if e.size[0] > LONG:
+        return _sums_of_one(int(e.size[0]), start, end, logp, lat.longest), np.zeros(1, np.int64)
+    return _sums(e.size, e.word, start, end, logp)
 
 
 def word_logs(lat: Lattice, words: list[bytes]) -> np.ndarray:
     """Natural log of each word's marginal probability over all segmentations."""
     out = np.zeros(len(words))
-    with np.errstate(over="ignore"):
-        for rows, data in _rows(words):
-            alpha = np.full((data.shape[1] + 1, len(rows)), -np.inf)
-            alpha[0] = 0
-            for i, j, p in _edges(lat, data):
-                alpha[j] = np.logaddexp(alpha[j], alpha[i] + np.where(p >= 0, lat.logp[p], -np.inf))
-            out[rows] = alpha[-1]
+    with np.errstate(divide="ignore"):
+        for e in _blocks(lat, words):
+            alpha, first = _paths(lat, e, lat.logp[e.piece])
+            out[e.rows] = alpha[first + e.size]
     return out
 
 
 def expected_pieces(lat: Lattice, words: list[bytes], counts: np.ndarray) -> np.ndarray:
     """Expected number of uses of each piece over the words, each as often as counted."""
     out = np.zeros(lat.logp.size)
-    with np.errstate(over="ignore", invalid="ignore"):
-        for rows, data in _rows(words):
-            n = data.shape[1]
-            alpha, beta = np.full((2, n + 1, len(rows)), -np.inf)
-            alpha[0] = beta[n] = 0
-            edges = [(i, j, p, np.where(p >= 0, lat.logp[p], -np.inf)) for i, j, p in _edges(lat, data)]
-            for i, j, _, lp in edges:
-                alpha[j] = np.logaddexp(alpha[j], alpha[i] + lp)
-            for i, j, _, lp in sorted(edges, key=lambda e: -e[1]):
-                beta[i] = np.logaddexp(beta[i], lp + beta[j])
-            for i, j, p, lp in edges:
-                share = np.exp(alpha[i] + lp + beta[j] - alpha[n]) * counts[rows]
-                ok = (p >= 0) & np.isfinite(share)
-                out += np.bincount(p[ok], share[ok], out.size)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for e in _blocks(lat, words):
+            logp = lat.logp[e.piece]
+            alpha, first = _paths(lat, e, logp)
+            beta, _ = _paths(lat, e, logp, backward=True)
+            at, n = first[e.word], e.size[e.word]
+            share = np.exp(alpha[at + e.start] + logp + beta[at + n - e.end] - alpha[at + n]) * counts[e.rows][e.word]
+            ok = np.isfinite(share)
+            out += np.bincount(e.piece[ok], share[ok], out.size)
     return out
 
 

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -77,3 +78,25 @@ def test_existing_scores_are_used():
     assert np.isfinite(logp).all()
     by = dict(zip(pieces, logp, strict=False))
     assert by[lm._MARK + b"t"] > by[b"in"] > by[b"er"] > by["梦".encode()]
+
+
+def test_long_words_in_linear_time():
+    lat = lm.lattice(*lm.read_vocabulary(lm.vocabulary_path()))
+    rng = random.Random(2)
+    long = bytes(rng.choice(b"abcdefgh") for _ in range(200_000))
+    began = time.time()
+    whole = lm.word_logs(lat, [long, b"short"])
+    uses = lm.expected_pieces(lat, [long], np.ones(1))
+    assert time.time() - began < 10
+    assert np.isfinite(whole).all()
+    # every byte of the word and its mark lies in one piece of each segmentation
+    pieces, _ = lm.read_vocabulary(lm.vocabulary_path())
+    assert abs(sum(u * len(p) for u, p in zip(uses, pieces, strict=False)) - len(long) - len(lm._MARK)) < 1e-3
+    # both ways of summing agree on a word of a length that either can take
+    for n in (lm.LONG - 3, lm.LONG - 2):
+        w = long[:n]
+        e = next(lm._blocks(lat, [w]))
+        one = lm._sums_of_one(int(e.size[0]), e.start, e.end, lat.logp[e.piece], lat.longest)
+        with np.errstate(divide="ignore"):
+            all_, _ = lm._sums(e.size, e.word, e.start, e.end, lat.logp[e.piece])
+        assert np.allclose(one[np.isfinite(one)], all_[np.isfinite(one)])
