@@ -9,16 +9,19 @@ shape.  Literals over the threshold become spans of kind ``literal`` unless a
 base span already covers them.
 
 A document is scanned whole and on its own, so the scan is a map without a
-shuffle.  Defined cases: a null text is an empty one; an empty text has no spans;
-repeated rows give repeated results; extra columns are ignored.
+shuffle, in time that grows with the text's length alone.  Defined cases: a null
+text is an empty one; an empty text has no spans; repeated rows give repeated
+results; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -61,20 +64,23 @@ def base_spans(text: str) -> list[Span]:
 
 
 class Pair(NamedTuple):
-    """name = literal text[start:end], or name = the constant ``ref``."""
+    """name = literal text[start:end], or name = the constant ``ref``; ``parts`` are the pieces of a joined literal."""
 
     name: str
     start: int
     end: int
-    value: str
-    ref: str
+    ref: str = ""
+    parts: tuple[tuple[int, int], ...] | None = None
+
+    def value(self, text: str) -> str:
+        return text[self.start : self.end] if self.parts is None else "".join([text[a:b] for a, b in self.parts])
 
 
 _OPERATOR = re.compile(r"(?<![=!<>:])(?::=|=>|=(?!=)|:(?![:/=]))")
 _QUOTED = {q: re.compile(rf"{q}((?:[^{q}\\\n]|\\.)*){q}") for q in "\"'`"}
 _BARE = re.compile(r"[^\s\"'`,;<>(){}\[\]#&|]+")
 _REFERENCE = re.compile(r"\$\{([A-Za-z_][\w.-]*)\}|\$([A-Za-z_]\w*)|\{\{\s*([A-Za-z_][\w.]*)\s*\}\}|%\(([A-Za-z_]\w*)\)s")
-_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z_0-9.]*\Z")
+_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z_0-9.]*")
 _JOIN = re.compile(r"[ \t]*(?:\+[ \t]*\n?[ \t]*|\\\n[ \t]*)(?=[\"'`])")
 _ELEMENT = re.compile(r"<([A-Za-z][\w.-]*)>\s*([^<>\s]+)\s*</")
 _FLAG = re.compile(r"(?<![\w-])--([A-Za-z][A-Za-z0-9-]*)[ \t]+([^\s\"'-][^\s\"']*)")
@@ -95,40 +101,59 @@ def _name_before(text: str, at: int) -> tuple[str, int]:
 
 
 def pairs(text: str) -> list[Pair]:
-    """All assignments of a text, in order."""
-    out = []
-    for m in _OPERATOR.finditer(text):
-        name, at = _name_before(text, m.start())
+    """All assignments of a text: by operators in order, then elements, then flags.
+
+    A bare value ends with its run of characters or at the next assignment within
+    it; a colon in the value of an equals sign is no such assignment, and neither
+    is an equals sign that nothing follows (padding).  So values of one kind of
+    operator don't overlap, and nothing is copied before it is scored.
+    """
+    out, n = [], len(text)
+    ops = [(m.start(), m.end()) for m in _OPERATOR.finditer(text)]
+    run_end = 0
+    for k, (op, i) in enumerate(ops):
+        name, at = _name_before(text, op)
         if not name:
             continue
-        if m.group() == "=":  # name: type = value
-            k = at
-            while k and text[k - 1] in " \t":
-                k -= 1
-            if k and text[k - 1] == ":":
-                name = _name_before(text, k - 1)[0] or name
-        i, n = m.end(), len(text)
+        colon = text[op] == ":" and i == op + 1
+        if text[op] == "=" and i == op + 1:  # name: type = value
+            j = at
+            while j and text[j - 1] in " \t":
+                j -= 1
+            if j and text[j - 1] == ":":
+                name = _name_before(text, j - 1)[0] or name
         while i < n and text[i] in " \t(":
             i += 1
         if i < n and text[i] in "rbfuRBFU" and i + 1 < n and text[i + 1] in "\"'":
             i += 1
         if i < n and text[i] in _QUOTED and (q := _QUOTED[text[i]].match(text, i)):
-            start, parts = q.start(1), [q.group(1)]
+            start, parts = q.start(1), [q.span(1)]
             while (j := _JOIN.match(text, q.end())) and (more := _QUOTED[text[j.end()]].match(text, j.end())):
                 q = more
-                parts.append(q.group(1))
-            value = "".join(parts)
-            ref = _REFERENCE.fullmatch(value)
-            out.append(Pair(name, start, q.end(1), value, next(filter(None, ref.groups())) if ref else ""))
+                parts.append(q.span(1))
+            ref = _REFERENCE.fullmatch(text, *parts[0]) if len(parts) == 1 else None
+            out.append(Pair(name, start, q.end(1), next(filter(None, ref.groups())) if ref else "", tuple(parts) if len(parts) > 1 else None))
         elif i < n and (ref := _REFERENCE.match(text, i)):
-            out.append(Pair(name, ref.start(), ref.end(), "", next(filter(None, ref.groups()))))
-        elif i < n and (b := _BARE.match(text, i)):
-            value = b.group().rstrip(".")
-            out.append(Pair(name, i, i + len(value), value, value if _IDENTIFIER.match(value) else ""))
+            out.append(Pair(name, ref.start(), ref.end(), next(filter(None, ref.groups())), ()))
+        elif i < n and (i < run_end or (b := _BARE.match(text, i))):
+            if i >= run_end:
+                run_end = b.end()
+            end, m = run_end, k + 1
+            while m < len(ops) and ops[m][0] < run_end:
+                s, e = ops[m]
+                stops = colon or not (text[s] == ":" and e == s + 1)
+                if s >= i and stops and (e < run_end or text[e : e + 1] in ('"', "'", "`")):
+                    end = s
+                    break
+                m += 1
+            while end > i and text[end - 1] == ".":
+                end -= 1
+            if end > i:
+                out.append(Pair(name, i, end, text[i:end] if _IDENTIFIER.fullmatch(text, i, end) else ""))
     if "</" in text:
-        out += [Pair(m[1], m.start(2), m.end(2), m[2], "") for m in _ELEMENT.finditer(text)]
+        out += [Pair(m[1], m.start(2), m.end(2)) for m in _ELEMENT.finditer(text)]
     if "--" in text:
-        out += [Pair(m[1], m.start(2), m.end(2), m[2], "") for m in _FLAG.finditer(text)]
+        out += [Pair(m[1], m.start(2), m.end(2)) for m in _FLAG.finditer(text)]
     return out
 
 
@@ -136,7 +161,7 @@ def pairs(text: str) -> list[Pair]:
 _SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "apikey": 1.0, "token": 0.9, "credential": 0.9, "credentials": 0.9, "bearer": 0.8, "auth": 0.6, "authorization": 0.7, "signature": 0.5}
 _KEY_OF = {"api", "access", "private", "secret", "encryption", "signing", "master", "account", "storage", "ssh", "client"}
 _HARMLESS = {"name", "url", "uri", "path", "file", "count", "limit", "type", "length", "max", "min", "ttl", "expiry", "expires", "header", "field", "hint", "label", "policy", "public", "endpoint", "dir"}
-_PLACEHOLDER = re.compile(r"(?i)change.?me|example|placeholder|your[_-]?|dummy|redacted|insert|todo|none|null|true|false|x{4,}|\*{3,}|\.{3,}|<.*>")
+_PLACEHOLDER = re.compile(r"(?i)change.?me|example|placeholder|your[_-]?|dummy|redacted|insert|todo|none|null|true|false|x{4,}|\*{3,}|\.{3,}")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -152,7 +177,7 @@ def name_score(name: str) -> float:
 def literal_score(value: str) -> float:
     """How much a literal looks like a key or password: 0 to 1."""
     n = len(value)
-    if n < 8 or any(c.isspace() for c in value) or _PLACEHOLDER.search(value):
+    if n < 8 or any(c.isspace() for c in value) or _PLACEHOLDER.search(value) or ("<" in value and value.rfind(">") > value.find("<")):
         return 0.0
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
     classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
@@ -166,22 +191,28 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
     found = pairs(text)
     if not found:
         return []
-    by_name: dict[str, list[int]] = {}
-    for i, p in enumerate(found):
-        by_name.setdefault(p.name, []).append(i)
-    score = [name_score(p.name) for p in found]
-    # names pass their score to what they refer to, until nothing changes
-    todo = [i for i, p in enumerate(found) if p.ref and score[i] > 0]
-    while todo:
-        i = todo.pop()
-        for j in by_name.get(found[i].ref, ()):
-            if score[j] < score[i]:
-                score[j] = score[i]
-                if found[j].ref:
-                    todo.append(j)
+    score = {name: name_score(name) for name in {p.name for p in found}}
+    refers: dict[str, set[str]] = {}
+    for p in found:
+        if p.ref and p.ref in score:
+            refers.setdefault(p.name, set()).add(p.ref)
+    # names pass their score to what they refer to, the highest first, so each name is settled once
+    settled: set[str] = set()
+    for s in sorted({s for s in score.values() if s > 0}, reverse=True):
+        todo = [name for name, own in score.items() if own == s and name in refers and name not in settled] if refers else []
+        while todo:
+            name = todo.pop()
+            if name in settled:
+                continue
+            settled.add(name)
+            for other in refers.get(name, ()):
+                if score[other] < s:
+                    score[other] = s
+                    todo.append(other)
     out = set()
-    for p, s in zip(found, score, strict=True):
-        if s > 0 and p.value and not (p.ref and p.ref in by_name) and 0.6 * s + 0.4 * (shape := literal_score(p.value)) >= threshold and shape > 0.4:
+    for p in found:
+        s = score[p.name]
+        if s > 0 and p.parts != () and not (p.ref and p.ref in score) and 0.6 * s + 0.4 * (shape := literal_score(p.value(text))) >= threshold and shape > 0.4:
             out.add(Span(p.start, 3, p.end))
     return sorted(out)
 
@@ -189,7 +220,9 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
 def scan(text: str | None) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans."""
     base = base_spans(text or "")
-    more = [s for s in literal_spans(text or "") if not any(b.start <= s.start and s.end <= b.end for b in base)]
+    starts, reach = [b.start for b in base], list(accumulate((b.end for b in base), max))
+    covered = lambda s: (i := bisect_right(starts, s.start)) > 0 and s.end <= reach[i - 1]
+    more = [s for s in literal_spans(text or "") if not covered(s)]
     return base, sorted(base + more)
 
 

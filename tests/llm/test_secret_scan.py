@@ -1,5 +1,8 @@
 import hashlib
+import random
 import re
+import time
+import tracemalloc
 
 from kmerweave.llm import secret_scan as ss
 
@@ -55,6 +58,67 @@ def test_long_text_is_linear():
     assert ss.scan("password" + " " * 200_000)[0] == []
 
 
+def test_hard_texts_are_linear():
+    tracemalloc.start()
+    assert ss.scan("a=" * 50_000) == ([], [])
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+    began = time.time()
+    assert ss.scan("a=" * 500_000) == ([], [])
+    for text in (
+        "password=" * 100_000,
+        "password:" * 100_000,
+        "password = '" + "<" * 100_000 + "'",
+        "password = X\n" * 50_000 + "X = Y\n" * 50_000 + "Y = 'aZ3!kd92Lx#1'",
+        "secret='aZ3!kd92Lx#1' token=abcdefghijklmnop\n" * 20_000,
+        "https://h/?" + "&".join(f"k{i}=v{i}" for i in range(100_000)),
+        "password = " + " + ".join(["'a'"] * 100_000),
+    ):
+        ss.scan(text)
+    assert time.time() - began < 40
+
+
+def test_bare_values():
+    assert literals("password=us3R:aZ3kd92Lx,") == ["us3R:aZ3kd92Lx"]
+    assert literals("a=b=c password=aZ3!kd92Lx==\n") == ["aZ3!kd92Lx=="]
+    assert literals("password=aZ3!kd92Lx1=") == ["aZ3!kd92Lx1="]
+    assert literals("x=1&secret=aZ3!kd92Lx1&y=2") == ["aZ3!kd92Lx1"]
+
+
+def plain_pairs(text):
+    """Assignments of one line each, by one pattern: name, operator, quoted or bare literal."""
+    return [(m[1], m[2][1:-1] if m[2][0] in "\"'" else m[2]) for m in re.finditer(r"""([A-Za-z_]\w*)["']? *[:=] *("[^"\n]*"|'[^'\n]*'|[^\s"',;=:]+)""", text)]
+
+
+def test_planted_secrets_are_found():
+    rng = random.Random(6)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    value = lambda k: "".join(rng.choice(letters) for _ in range(k - 3)) + rng.choice("!%") + rng.choice("23456789") + rng.choice("QRST")
+    names = ["password", "db_password", "clientSecret", "API_KEY", "authToken", "private_key", "pwd"]
+    clean = ["colour", "size", "path", "max_tokens_limit", "display_name"]
+    forms = ["{} = '{}'", '{}: "{}"', '"{}": "{}",', "{}={}", "export {}={}", "{} := '{}'", "<{0}>{1}</{0}>", "  --{} {}"]
+    missed, planted, wrong = [], 0, []
+    for _ in range(300):
+        text, secrets, others = "", [], []
+        for _ in range(rng.randint(1, 6)):
+            v, form, bad = value(rng.randint(12, 30)), rng.choice(forms), rng.random() < 0.5
+            name = rng.choice(names if bad else clean)
+            line = form.format(name.replace("_", "-") if "--" in form else name, v)
+            (secrets if bad else others).append((len(text) + line.index(v), v))
+            text += line + "\n"
+        _, spans = ss.scan(text)
+        planted += len(secrets)
+        missed += [v for at, v in secrets if not any(s.start <= at and at + len(v) <= s.end for s in spans)]
+        wrong += [v for at, v in others if any(s.start < at + len(v) and at < s.end for s in spans if s.kind == 3)]
+    assert wrong == []
+    assert len(missed) <= 0.03 * planted, missed
+
+
+def test_pairs_like_a_plain_reading():
+    text = "a = 'x y'\nb: 12\n\"c\": \"d e\"\nf='g'\nlong_name = value9\n"
+    assert [(p.name, p.value(text)) for p in ss.pairs(text)] == plain_pairs(text)
+
+
 def test_query_columns(spark):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], "x"), (99, "secret=" + "ab1" * 100_000, "y")]
     got = ss.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, spans string"))
