@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import staged, table
+from ._shared import named, staged, table
 
 MIN_WORDS = 50
 
@@ -54,7 +54,8 @@ def _document() -> Column:
 
 def _runs(lines: DataFrame, min_words: int) -> DataFrame:
     """The shortest runs of min_words words from each line on and up to each line: d, first and last line, name."""
-    repeated = lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    # both sides of the join are read from tables, so Spark can split a line that is very frequent
+    repeated = staged(lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
     kept = lines.join(repeated, "id")
     by_doc = Window.partitionBy("d").orderBy("seq")
     kept = kept.withColumn("island", F.col("seq") - F.row_number().over(by_doc))
@@ -92,7 +93,7 @@ def removed_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # the same rows are read for the count and for the join
     runs = staged(_runs(staged(_lines(docs), "lines").distinct(), min_words), "runs")
     at = F.struct("d", "seq")
-    firsts = runs.groupBy("name").agg(F.min(at).alias("kept"), F.max(at).alias("other")).where("kept < other").select("name", "kept")
+    firsts = staged(runs.groupBy("name").agg(F.min(at).alias("kept"), F.max(at).alias("other")).where("kept < other").select("name", "kept"), "firsts")
     later = runs.join(firsts, "name").where(at > F.col("kept")).select("d", "first", "last").distinct()
     own = Window.partitionBy("d").orderBy("first", "last")
     reach = F.max("last").over(own.rowsBetween(Window.unboundedPreceding, -1))
@@ -101,34 +102,37 @@ def removed_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _edited(docs: DataFrame, min_words: int) -> DataFrame:
-    """All columns, the edited text as ``_text``, and the numbers of lines and of removed ones."""
-    cuts = removed_runs(docs, min_words).groupBy("d").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_cuts")).select(F.col("d.k1").alias("_k1"), F.col("d.k2").alias("_k2"), "_cuts")
-    marked = docs.withColumns({"_k1": F.xxhash64("doc_id", "text"), "_k2": F.hash("text", "doc_id")}).join(cuts, ["_k1", "_k2"], "left")
+    """``row`` (the document as it is), ``edited`` (its new text), and the numbers of its lines and of removed ones."""
+    cuts = removed_runs(docs, min_words).groupBy("d").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("cuts")).select(F.col("d.k1").alias("k1"), F.col("d.k2").alias("k2"), "cuts")
+    # the row is one struct, so no name of its columns meets one of these
+    marked = docs.select(F.struct(*named(docs)).alias("row"), F.col("text").alias("text"), F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"))
     lines = F.split("text", "\n")
-    start = lambda i: F.when(i == 0, 0).otherwise(F.try_element_at("_cuts", i)["last"] + 1)
-    stop = lambda i: F.coalesce(F.try_element_at("_cuts", i + 1)["first"], F.size(lines))
-    gaps = F.transform(F.sequence(F.lit(0), F.size("_cuts")), lambda i: F.slice(F.col("_lines"), start(i) + 1, stop(i) - start(i)))
-    gone = F.aggregate("_cuts", F.lit(0), lambda n, c: n + c.last - c.first + 1)
-    return marked.withColumn("_lines", lines).select(
-        *docs.columns,
-        F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(gaps), "\n")).alias("_text"),
-        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("_n_lines"),
-        F.coalesce(gone, F.lit(0)).cast("long").alias("_n_removed"),
+    start = lambda i: F.when(i == 0, 0).otherwise(F.try_element_at("cuts", i)["last"] + 1)
+    stop = lambda i: F.coalesce(F.try_element_at("cuts", i + 1)["first"], F.size("lines"))
+    gaps = F.transform(F.sequence(F.lit(0), F.size("cuts")), lambda i: F.slice(F.col("lines"), start(i) + 1, stop(i) - start(i)))
+    gone = F.aggregate("cuts", F.lit(0), lambda n, c: n + c.last - c.first + 1)
+    return marked.join(cuts, ["k1", "k2"], "left").withColumn("lines", lines).select(
+        "row",
+        F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(gaps), "\n")).alias("edited"),
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with later copies removed; those that lose their last words go, and n_chars follows the text."""
-    edited = _edited(docs, min_words).where("_n_removed = 0 or _text rlike '\\\\S'")
-    out = {"text": F.col("_text")}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_n_removed") > 0, F.length("_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return edited.withColumns(out).select(docs.columns)
+    """The documents with later copies removed; those that lose their last words go, and n_chars follows the text.
+
+    All columns stay, whatever their names.
+    """
+    edited = _edited(docs, min_words).where("n_removed = 0 or edited rlike '\\\\S'")
+    cut = F.col("n_removed") > 0
+    new = {"text": F.col("edited"), "n_chars": F.when(cut, F.length("edited")).otherwise(F.col("row").getField("n_chars")) if "n_chars" in docs.columns else None}
+    return edited.select(*((new[f.name] if f.name in new else F.col("row").getField(f.name)).cast(f.dataType).alias(f.name) for f in docs.schema.fields))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     edited = _edited(table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_WORDS)
-    return edited.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_text").alias("text"))
+    return edited.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.col("edited").alias("text"))
 
 
 SQL = r"""
@@ -151,6 +155,7 @@ kept AS (
   FROM (SELECT doc_id, p, ls[p] AS line FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))) x
   ANTI JOIN gone g ON g.doc_id = x.doc_id AND g.p = x.p GROUP BY x.doc_id),
 n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed, coalesce(kept.text, '') AS text
+SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed,
+       CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """

@@ -45,7 +45,7 @@ def test_like_brute_force(spark):
     rows = cases()
     d = spark.createDataFrame([(a, b, 0, "s") for a, b in rows], "doc_id long, text string, n_chars long, seq string").repartition(5)
     for least in (1, 7, 10):
-        got = ld._edited(d, least).select("doc_id", "_text").collect()
+        got = ld._edited(d, least).select("row.doc_id", "edited").collect()
         # lines with words must agree; blank ones belong to no particular run
         bare = lambda pairs: sorted(((d, [x for x in (t or "").split("\n") if x.split()]) for d, t in pairs), key=repr)
         assert bare(map(tuple, got)) == bare(brute(rows, least))
@@ -62,6 +62,18 @@ def test_stage_keeps_columns(spark):
     assert ld.dedup_lines(d.limit(0), 10).count() == 0
 
 
+def test_clashing_names(spark):
+    rows = cases()
+    names = ["_text", "_cuts", "_k1", "_lines", "_n_removed", "a.b", "row", "edited", "k1", "cuts", "lines", "d", "id"]
+    plain = spark.createDataFrame([(a, b) for a, b in rows], "doc_id long, text string")
+    d = spark.createDataFrame([(a, *[f"{n}{a}" for n in names], b) for a, b in rows], ["doc_id", *names, "text"])
+    got = ld.dedup_lines(d, 10)
+    assert got.columns == d.columns
+    out = got.collect()
+    assert all(r[n] == f"{n}{r.doc_id}" for r in out for n in names)
+    assert sorted(((r.doc_id, r.text) for r in out), key=repr) == sorted(map(tuple, ld.dedup_lines(plain, 10).collect()), key=repr)
+
+
 def test_plan_has_no_python(spark):
     d = spark.createDataFrame(cases(), "doc_id long, text string")
     plan = ld.dedup_lines(d, 10)._jdf.queryExecution().toString()
