@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import _text
-from ._shared import staged, table
+from ._shared import named, staged, table
 
 WINDOW = 10
 GRAM = 5
@@ -94,15 +94,19 @@ def _item_windows(benchmark: DataFrame, window: int, gram: int) -> DataFrame:
     return bench.where("item_id is not null").mapInArrow(run, "kind int, h long, item string")
 
 
-def _broadcast_form(rows: list) -> _Items:
-    prints = np.unique(np.array([r.h for r in rows if r.kind == 0], np.int64).view(_U))
-    names = sorted({r.item for r in rows})
+def _broadcast_form(rows: pa.Table) -> _Items:
+    kind, all_h = rows.column("kind").to_numpy(), rows.column("h").to_numpy().astype(np.int64).view(_U)
+    coded = rows.column("item").combine_chunks().dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    plain = coded.dictionary.to_pylist()
+    names = sorted(plain)
     place = {x: i for i, x in enumerate(names)}
-    h = np.array([r.h for r in rows if r.kind], np.int64).view(_U)
-    item = np.array([place[r.item] for r in rows if r.kind], np.int64)
+    item = np.array([place[x] for x in plain], np.int64)[coded.indices.to_numpy()] if plain else np.zeros(0, np.int64)
+    h, item = all_h[kind > 0], item[kind > 0]
     order = np.lexsort((item, h))
     windows, begin = np.unique(h[order], return_index=True)
-    return _Items(prints, windows, np.append(begin, h.size), item[order], names, sorted({r.kind for r in rows if 0 < r.kind}))
+    return _Items(np.unique(all_h[kind == 0]), windows, np.append(begin, h.size), item[order], names, sorted(set(kind[kind > 0].tolist())))
 
 
 def _member(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
@@ -138,7 +142,7 @@ def _hits(words: _text.Words, h: np.ndarray, items: _Items, window: int, gram: i
     return [x for x in out if x[1].size]
 
 
-def _by_broadcast(docs: DataFrame, rows: list, window: int, gram: int) -> DataFrame:
+def _by_broadcast(docs: DataFrame, rows: pa.Table, window: int, gram: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_broadcast_form(rows))
     tab = _text.alphanumeric_table()
 
@@ -217,17 +221,20 @@ def _by_shuffle(docs: DataFrame, item_rows: DataFrame, window: int, gram: int) -
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit and the ids of occurring items, sorted as strings."""
-    item_rows = _item_windows(benchmark, window, gram)
-    rows = item_rows.limit(max_broadcast + 1).collect()
-    if len(rows) <= max_broadcast:
-        return _by_broadcast(docs, rows, window, gram)
-    return _by_shuffle(docs, staged(item_rows, "items"), window, gram)
+    item_rows = staged(_item_windows(benchmark, window, gram), "items")
+    # counted before any row comes to the driver
+    if item_rows.count() <= max_broadcast:
+        return _by_broadcast(docs, item_rows.toArrow(), window, gram)
+    return _by_shuffle(docs, item_rows, window, gram)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents without any benchmark window, with all their columns."""
-    bad = contamination(docs, benchmark, **how).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The documents without any benchmark window, with all their columns.
+
+    Rows go by doc_id: rows that share one go together.  A null doc_id stays.
+    """
+    bad = contamination(docs, benchmark, **how).where("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti").select(*named(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
