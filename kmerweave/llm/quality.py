@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from . import _text
 from ._labelled import labelled_sample
-from ._shared import fold, table
+from ._shared import fold, named, table
 
 #: Labelled documents of each label that are learnt from, at most.
 SAMPLE = 1500
@@ -124,7 +124,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier doesn't reject, with all their columns."""
     # the text goes through the map as it is, so documents need no join with their scores
-    plain = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    plain = docs.select("doc_id", "text", F.struct(*named(docs)).alias("_row"))
     return score(plain, fit(docs, labels), "_row").where(F.col("score") >= threshold).select("_row.*")
 
 
