@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a block that k-mers are cut from; long texts are blocks in many rows.
-BLOCK = 1000
+#: Characters of the parts that long texts are dealt out in, and of the blocks that k-mers are cut from.
+PART, BLOCK = 16_384, 64
 
 
 def windows(df: DataFrame, text: str, size: int, overlap: int, *keep: str) -> DataFrame:
@@ -25,17 +25,49 @@ def windows(df: DataFrame, text: str, size: int, overlap: int, *keep: str) -> Da
     )
 
 
-def kmers(df: DataFrame, text: str, k: int, *keep: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out over all cores where the scan makes fewer splits than there are cores; a large input and a stream stay as they are."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    split = int(df._jdf.sparkSession().sessionState().conf().filesMaxPartitionBytes())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < cores * split else df
+
+
+def pieces(df: DataFrame, text: str, size: int, overlap: int, *keep: str) -> DataFrame:
+    """Kept columns, start and piece: every ``size`` characters with the ``overlap`` (at most ``size``) that follow, in one pass over the text."""
+    # the cells are a column of their own, so that the lambda doesn't cut the text again for every cell
+    cut = df.select(*keep, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("_cells"))
+    ahead = lambda i: F.coalesce(F.left(F.get("_cells", i + 1), F.lit(overlap)), F.lit(""))
+    return cut.select(*keep, F.inline(F.transform("_cells", lambda c, i: F.struct((i * size).alias("start"), F.concat(c, ahead(i)).alias("piece")))))
+
+
+def kmers(df: DataFrame, text: str, k: int, *keep: str, both_strands: bool = False) -> DataFrame:
     """One row per k-mer: the kept columns, pos (from 0) and kmer.
 
-    Texts shorter than k have none (the guard comes first: a falling sequence
-    would yield rows).  Blocks that overlap by k - 1 characters keep positions
-    cheap to reach in long texts and let Spark spread them.
+    Texts shorter than k have none.  Parts that overlap by k - 1 characters let Spark
+    deal out long texts, and blocks within them keep positions cheap to reach.  With
+    ``both_strands`` a k-mer stands for its reverse complement too: the smaller of
+    the two is given.
     """
-    blocks = windows(df.where(F.length(text) >= k), text, BLOCK + k - 1, k - 1, *keep)
-    at = F.sequence(F.lit(0), F.length("window") - k)
-    cut = F.transform(at, lambda i: F.struct((F.col("start") + i).alias("pos"), F.substring("window", i + 1, F.lit(k)).alias("kmer")))
-    return blocks.where(F.length("window") >= k).select(*keep, F.inline(cut))
+    part, block = max(PART, k), max(BLOCK, k)
+    parts = spread(pieces(df.where(F.length(text) >= k), text, part, k - 1, *keep)).withColumnsRenamed({"start": "_part", "piece": "_text"})
+    blocks = pieces(parts, "_text", block, k - 1, *keep, "_part").where(F.length("piece") >= k)
+    if both_strands:
+        blocks = blocks.withColumn("_back", reverse_complement(F.col("piece")))
+    # a part's last characters are its overlap, whose blocks are shorter than k: none is cut twice
+    at = blocks.select("*", F.explode(F.sequence(F.lit(0), F.length("piece") - k)).alias("_i"))
+    kmer = F.substring("piece", F.col("_i") + 1, F.lit(k))
+    if both_strands:
+        kmer = F.least(kmer, F.substring("_back", F.length("piece") - F.col("_i") - k + 1, F.lit(k)))
+    return at.select(*keep, (F.col("_part") + F.col("start") + F.col("_i")).alias("pos"), kmer.alias("kmer"))
+
+
+def kmer_keys(df: DataFrame, text: str, k: int, *keep: str) -> DataFrame:
+    """``kmers`` of both strands as 96-bit hashes (kmer: struct of a long and an int), which shuffles and joins carry instead of strings."""
+    found = kmers(df, text, k, *keep, both_strands=True)
+    return found.withColumn("kmer", F.struct(F.xxhash64("kmer").alias("h"), F.hash("kmer").alias("c")))
 
 
 def reverse_complement(seq: Column) -> Column:
@@ -47,9 +79,18 @@ def canonical(seq: Column) -> Column:
     return F.least(seq, reverse_complement(seq))
 
 
+def h60_digits(value: Column) -> Column:
+    """The first 15 hexadecimal digits of the md5 sum."""
+    return F.substring(F.md5(value), 1, 15)
+
+
+def from_digits(digits: Column) -> Column:
+    return F.conv(digits, 16, 10).cast("long")
+
+
 def h60(value: Column) -> Column:
     """A non-negative 60-bit hash that any SQL engine with md5 can repeat."""
-    return F.conv(F.substring(F.md5(value), 1, 15), 16, 10).cast("long")
+    return from_digits(h60_digits(value))
 
 
 def end_match(s: Column, t: Column, k: int, direction: str) -> Column:

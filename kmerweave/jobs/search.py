@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import kmers, translate_frames
+from ..functions.sequence import kmer_keys, kmers, translate_frames
 from ..operators import annotate, hierarchy, index
-from ..operators._stage import staged
+from ..operators._stage import checked, staged
 
 
 @dataclass
@@ -29,7 +29,7 @@ def neighborhood_search(nodes: DataFrame, kmer_index: DataFrame, piece: DataFram
     nodes (id, seq), kmer_index (kmer, id), piece (id, dominator), queries (query,
     seq).  A query without k-mers or matches gives an empty neighbourhood and zeros.
     """
-    wanted = index.query_kmers(queries, k)
+    wanted = staged(index.query_kmers(queries, k), "wanted")
     found = staged(index.matches(kmer_index, wanted), "matches")
     near = staged(annotate.neighborhood(found, piece), "near")
     records = annotate.extract(near, nodes)
@@ -56,7 +56,7 @@ def protein_search(nodes: DataFrame, queries: DataFrame, k: int, translate_query
     """
     frames = lambda df, *keep: df.select(*keep, F.explode(translate_frames(F.col("seq"))).alias("seq"))
     asked = frames(queries, "query") if translate_query else queries
-    wanted = kmers(asked, "seq", k).select("kmer").distinct()
+    wanted = checked(kmers(asked, "seq", k).select("kmer").distinct())
     return kmers(frames(nodes, "id"), "seq", k, "id").join(wanted, "kmer", "left_semi").select("id").distinct()
 
 
@@ -68,5 +68,5 @@ def hash_search(sketches: DataFrame, piece: DataFrame, hashes: DataFrame) -> Dat
 
 def sample_abundance(kmer_index: DataFrame, sizes: DataFrame, sample: DataFrame, k: int) -> DataFrame:
     """id, abund, size: occurrences of each node's k-mers in a sample's records, repeats counted; nodes without any have 0."""
-    hit = kmers(sample, "seq", k).groupBy("kmer").agg(F.count("*").alias("n")).join(kmer_index, "kmer").groupBy("id").agg(F.sum("n").alias("abund"))
+    hit = kmer_keys(sample, "seq", k).groupBy("kmer").agg(F.count("*").alias("n")).join(kmer_index, "kmer").groupBy("id").agg(F.sum("n").alias("abund"))
     return sizes.join(hit, "id", "left").select("id", F.coalesce("abund", F.lit(0)).alias("abund"), F.col("n_kmers").alias("size"))

@@ -1,21 +1,30 @@
-"""Written tables between stages, for loops and tables that are read more than once."""
+"""Written tables between stages, and broadcasts of a checked size."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows that a side of a join may have to be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in ``spark.checkpoint.dir`` (a temporary folder only where that is unset) and read it back.
+    """Write ``df`` as Parquet in ``spark.checkpoint.dir`` and read it back.
 
     This cuts the lineage of loops; the folder is deleted when the application ends.
+    Where the setting is unset, a temporary folder serves runs in one process; on a
+    cluster it must be set, as executors don't share their own folders.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="kmerweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
@@ -23,3 +32,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table written and counted: to be broadcast if it has at most ``rows`` rows, to be shuffled if it has more.
+
+    For narrow tables (keys and numbers) that are the small side of a join.
+    """
+    out = staged(df, "side")
+    return F.broadcast(out) if out.count() <= rows else out.hint("merge")

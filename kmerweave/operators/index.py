@@ -1,11 +1,16 @@
-"""k-mer index and matching: node sizes, unique k-mers, query matches, containment."""
+"""k-mer index and matching: node sizes, unique k-mers, query matches, containment.
+
+A k-mer and its reverse complement are one; tables hold the 96-bit hash of the
+smaller strand as ``kmer``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import kmers
+from ..functions.sequence import kmer_keys
+from ._stage import checked
 
 
 def node_sizes(nodes: DataFrame, k: int) -> DataFrame:
@@ -15,7 +20,7 @@ def node_sizes(nodes: DataFrame, k: int) -> DataFrame:
 
 def occurrences(nodes: DataFrame, k: int) -> DataFrame:
     """id, kmer: one row per node and distinct k-mer."""
-    return kmers(nodes, "seq", k, "id").select("id", "kmer").distinct()
+    return kmer_keys(nodes, "seq", k, "id").select("id", "kmer").distinct()
 
 
 def unique_index(nodes: DataFrame, k: int, wanted: DataFrame | None = None) -> DataFrame:
@@ -24,22 +29,22 @@ def unique_index(nodes: DataFrame, k: int, wanted: DataFrame | None = None) -> D
     With ``wanted`` (column kmer) only those are looked up: the semi-join comes
     before the uniqueness count, which needs no other k-mer.
     """
-    found = kmers(nodes, "seq", k, "id").select("id", "kmer")
+    found = kmer_keys(nodes, "seq", k, "id").select("id", "kmer")
     if wanted is not None:
-        found = found.join(wanted.select("kmer").distinct(), "kmer", "left_semi")
+        found = found.join(checked(wanted.select("kmer").distinct()), "kmer", "left_semi")
     # smallest and largest id tell apart one node from several without holding a set
     return found.groupBy("kmer").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").select("kmer", "id")
 
 
 def collisions(nodes: DataFrame, k: int) -> DataFrame:
     """n_kmers, n_multi: distinct k-mers, and those of several nodes."""
-    each = kmers(nodes, "seq", k, "id").groupBy("kmer").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    each = kmer_keys(nodes, "seq", k, "id").groupBy("kmer").agg(F.min("id").alias("a"), F.max("id").alias("b"))
     return each.agg(F.count("*").alias("n_kmers"), F.count_if(F.col("a") < F.col("b")).alias("n_multi"))
 
 
 def query_kmers(queries: DataFrame, k: int) -> DataFrame:
     """query, kmer: distinct k-mers of each query record."""
-    return kmers(queries, "seq", k, "query").select("query", "kmer").distinct()
+    return kmer_keys(queries, "seq", k, "query").select("query", "kmer").distinct()
 
 
 def matches(index: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -66,12 +71,12 @@ def overheads(matched: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def shares_kmer(records: DataFrame, baits: DataFrame, k: int, *keep: str) -> DataFrame:
     """Records (kept columns) that share a k-mer with any bait."""
-    wanted = kmers(baits, "seq", k).select("kmer").distinct()
-    return kmers(records, "seq", k, *keep).join(wanted, "kmer", "left_semi").select(*keep).distinct()
+    wanted = checked(kmer_keys(baits, "seq", k).select("kmer").distinct())
+    return kmer_keys(records, "seq", k, *keep).join(wanted, "kmer", "left_semi").select(*keep).distinct()
 
 
 def missing_report(nodes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """id, least, most, n_bp: the least and most of 0/1 presence over a node's k-mers."""
-    hit = kmers(nodes, "seq", k, "id").join(wanted.select("kmer").distinct().withColumn("hit", F.lit(1)), "kmer", "left")
+    hit = kmer_keys(nodes, "seq", k, "id").join(checked(wanted.select("kmer").distinct().withColumn("hit", F.lit(1))), "kmer", "left")
     each = hit.groupBy("id").agg(F.min(F.coalesce("hit", F.lit(0))).alias("least"), F.max(F.coalesce("hit", F.lit(0))).alias("most"))
     return each.join(nodes.select("id", F.length("seq").alias("n_bp")), "id")

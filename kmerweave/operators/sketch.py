@@ -6,20 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.sequence import h60, kmers
+from ..functions.sequence import from_digits, h60_digits, kmers
 from ._stage import staged
 from .graph import renumber
 from .index import ratio
 
 
-def hashes(nodes: DataFrame, k: int, *keep: str, hash_of=h60) -> DataFrame:
-    """One row per k-mer occurrence: kept columns and hash."""
-    return kmers(nodes, "seq", k, *keep).select(*keep, hash_of(F.col("kmer")).alias("hash"))
+def hashes(nodes: DataFrame, k: int, *keep: str, most: int = 2**60 - 1) -> DataFrame:
+    """One row per k-mer occurrence with a hash of at most ``most``: kept columns and hash; a k-mer and its reverse complement hash alike."""
+    digits = kmers(nodes, "seq", k, *keep, both_strands=True).select(*keep, h60_digits(F.col("kmer")).alias("_digits"))
+    # digits of one length compare like numbers, so only the hashes that stay are converted
+    return digits.where(F.col("_digits") <= format(most, "015x")).select(*keep, from_digits(F.col("_digits")).alias("hash"))
 
 
 def scaled_sketch(nodes: DataFrame, k: int, scaled: int, *keep: str) -> DataFrame:
     """Distinct hashes of at most 2**60 / scaled, with their abundance."""
-    return hashes(nodes, k, *keep).where(F.col("hash") <= 2**60 // scaled).groupBy(*keep, "hash").agg(F.count("*").alias("abund"))
+    return hashes(nodes, k, *keep, most=2**60 // scaled).groupBy(*keep, "hash").agg(F.count("*").alias("abund"))
 
 
 def downsample(sketch: DataFrame, scaled: int) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .functions import sequence as seq
 from .operators import annotate, graph, hierarchy, index, sketch
-from .operators._stage import staged
+from .operators._stage import checked, staged
 
 K = 31
 #: Reads are labelled by shorter k-mers.
@@ -67,26 +67,33 @@ def _km(table: str, key: str, k: int = K) -> str:
       SELECT {key}, substr(text, CAST(1000 * b + 1 AS BIGINT), {1000 + k - 1}) AS w FROM (SELECT {key}, text, unnest(generate_series(0, (length(text) - {k}) // 1000)) AS b FROM {table} WHERE length(text) >= {k}))))"""
 
 
-_UNIQ = f"""q AS (SELECT DISTINCT item_id AS query, kmer FROM {_km("benchmark", "item_id")}),
-idx AS (SELECT kmer, min(doc_id) AS id FROM {_km("documents", "doc_id")} WHERE kmer IN (SELECT kmer FROM q) GROUP BY kmer HAVING min(doc_id) = max(doc_id)),
+def _ck(table: str, key: str, k: int = K) -> str:
+    """SQL of the same k-mers, each as the smaller of itself and its reverse complement."""
+    return f"(SELECT {key}, least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) AS kmer FROM {_km(table, key, k)})"
+
+
+_UNIQ = f"""q AS (SELECT DISTINCT item_id AS query, kmer FROM {_ck("benchmark", "item_id")}),
+idx AS (SELECT kmer, min(doc_id) AS id FROM {_ck("documents", "doc_id")} WHERE kmer IN (SELECT kmer FROM q) GROUP BY kmer HAVING min(doc_id) = max(doc_id)),
 m AS (SELECT id, count(*) AS matches FROM (SELECT DISTINCT kmer FROM q) JOIN idx USING (kmer) GROUP BY id)"""
 
 
 def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.query_kmers(_records(spark, sf_dir), K)
+    return staged(index.query_kmers(_records(spark, sf_dir), K), "wanted")
 
 
-def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.unique_index(_nodes(spark, sf_dir), K, _wanted(spark, sf_dir))
+def _index_of(spark: SparkSession, sf_dir: str, wanted: DataFrame) -> DataFrame:
+    return index.unique_index(_nodes(spark, sf_dir), K, wanted)
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.matches(_index(spark, sf_dir), _wanted(spark, sf_dir))
+    wanted = _wanted(spark, sf_dir)
+    return index.matches(_index_of(spark, sf_dir, wanted), wanted)
 
 
 @register("kmer_count", f"SELECT doc_id, count(*) AS n_kmers, count(DISTINCT kmer) AS n_distinct FROM {_km('documents', 'doc_id')} GROUP BY doc_id")
 def kmer_count(spark, sf_dir):
-    found = seq.kmers(_nodes(spark, sf_dir), "seq", K, "id").groupBy("id", "kmer").agg(F.count("*").alias("n"))
+    # distinct by 96 bits of hash; a node's k-mers are summed up before they are shuffled
+    found = seq.kmers(_nodes(spark, sf_dir), "seq", K, "id").groupBy("id", F.xxhash64("kmer").alias("h"), F.hash("kmer").alias("c")).agg(F.count("*").alias("n"))
     return found.groupBy(F.col("id").alias("doc_id")).agg(F.sum("n").alias("n_kmers"), F.count("*").alias("n_distinct"))
 
 
@@ -97,11 +104,11 @@ def revcomp(spark, sf_dir):
 
 @register(
     "canonical_kmer",
-    f"SELECT item_id, count(DISTINCT least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA')))) AS n FROM {_km('benchmark', 'item_id', 5)} GROUP BY item_id",
+    f"SELECT doc_id, count(DISTINCT kmer) AS n FROM {_ck('documents', 'doc_id', 5)} GROUP BY doc_id",
 )
 def canonical_kmer(spark, sf_dir):
-    found = seq.kmers(_records(spark, sf_dir), "seq", 5, "query")
-    return found.select(F.col("query").alias("item_id"), seq.canonical(F.col("kmer")).alias("c")).distinct().groupBy("item_id").agg(F.count("*").alias("n"))
+    found = seq.kmers(_nodes(spark, sf_dir), "seq", 5, "id", both_strands=True)
+    return found.select(F.col("id").alias("doc_id"), "kmer").distinct().groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @register(
@@ -128,13 +135,13 @@ def chunk_windows(spark, sf_dir):
 
 @register(
     "kmer_index_unique",
-    f"""SELECT id AS doc_id, count(*) AS n_unique FROM (SELECT kmer, min(doc_id) AS id FROM {_km("documents", "doc_id")} GROUP BY kmer HAVING min(doc_id) = max(doc_id)) GROUP BY id""",
+    f"""SELECT id AS doc_id, count(*) AS n_unique FROM (SELECT kmer, min(doc_id) AS id FROM {_ck("documents", "doc_id")} GROUP BY kmer HAVING min(doc_id) = max(doc_id)) GROUP BY id""",
 )
 def kmer_index_unique(spark, sf_dir):
     return index.unique_index(_nodes(spark, sf_dir), K).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_unique"))
 
 
-@register("kmer_collisions", f"SELECT count(*) AS n_kmers, count(*) FILTER (a < b) AS n_multi FROM (SELECT kmer, min(doc_id) AS a, max(doc_id) AS b FROM {_km('documents', 'doc_id')} GROUP BY kmer)")
+@register("kmer_collisions", f"SELECT count(*) AS n_kmers, count(*) FILTER (a < b) AS n_multi FROM (SELECT kmer, min(doc_id) AS a, max(doc_id) AS b FROM {_ck('documents', 'doc_id')} GROUP BY kmer)")
 def kmer_collisions(spark, sf_dir):
     return index.collisions(_nodes(spark, sf_dir), K)
 
@@ -150,7 +157,8 @@ def query_match_counts(spark, sf_dir):
 SELECT item_id, coalesce(n_query, 0) AS n_query, coalesce(n_found, 0) AS n_found, coalesce(n_found / n_query, 0.0) AS containment FROM (SELECT DISTINCT item_id FROM benchmark) LEFT JOIN f ON f.query = item_id""",
 )
 def exact_containment(spark, sf_dir):
-    return index.containment(_index(spark, sf_dir), _wanted(spark, sf_dir), _records(spark, sf_dir)).withColumnRenamed("query", "item_id")
+    wanted = _wanted(spark, sf_dir)
+    return index.containment(_index_of(spark, sf_dir, wanted), wanted, _records(spark, sf_dir)).withColumnRenamed("query", "item_id")
 
 
 @register("node_overhead", f"WITH {_UNIQ} SELECT id AS doc_id, matches, length(text) - {K - 1} AS n_kmers, (length(text) - {K - 1} - matches) / (length(text) - {K - 1}) AS overhead FROM m JOIN documents ON doc_id = id")
@@ -175,7 +183,7 @@ def extract_semijoin(spark, sf_dir):
     return annotate.extract(_matches(spark, sf_dir), _nodes(spark, sf_dir)).select(F.col("id").alias("doc_id"), F.length("seq").cast("long").alias("bp"), F.md5("seq").alias("digest"))
 
 
-@register("bait_filter", f"SELECT DISTINCT doc_id FROM {_km('documents', 'doc_id')} WHERE kmer IN (SELECT kmer FROM {_km('benchmark', 'item_id')})")
+@register("bait_filter", f"SELECT DISTINCT doc_id FROM {_ck('documents', 'doc_id')} WHERE kmer IN (SELECT kmer FROM {_ck('benchmark', 'item_id')})")
 def bait_filter(spark, sf_dir):
     return index.shares_kmer(_nodes(spark, sf_dir), _records(spark, sf_dir), K, "id").withColumnRenamed("id", "doc_id")
 
@@ -183,12 +191,14 @@ def bait_filter(spark, sf_dir):
 @register(
     "homogeneous_missing",
     f"""WITH e AS (SELECT item_id, min(h) AS least, max(h) AS most FROM (
-  SELECT item_id, CASE WHEN kmer IN (SELECT kmer FROM {_km("documents", "doc_id")}) THEN 1 ELSE 0 END AS h FROM {_km("benchmark", "item_id")}) GROUP BY item_id)
+  SELECT item_id, CASE WHEN kmer IN (SELECT kmer FROM {_ck("documents", "doc_id")}) THEN 1 ELSE 0 END AS h FROM {_ck("benchmark", "item_id")}) GROUP BY item_id)
 SELECT count(*) FILTER (least = most) AS homogeneous, count(*) FILTER (most = 0) AS missing, CAST(coalesce(sum(length(text)) FILTER (most = 0), 0) AS BIGINT) AS missing_bp FROM e JOIN benchmark USING (item_id)""",
 )
 def homogeneous_missing(spark, sf_dir):
     items = _records(spark, sf_dir).withColumnRenamed("query", "id")
-    wanted = seq.kmers(_nodes(spark, sf_dir), "seq", K).select("kmer").join(_wanted(spark, sf_dir).select("kmer").distinct(), "kmer", "left_semi")
+    # document k-mers that an item holds, once each
+    asked = checked(_wanted(spark, sf_dir).select("kmer").distinct())
+    wanted = seq.kmer_keys(_nodes(spark, sf_dir), "seq", K).select("kmer").join(asked, "kmer", "left_semi")
     each = index.missing_report(items, wanted, K)
     gone = F.col("most") == 0
     return each.agg(F.count_if(F.col("least") == F.col("most")).alias("homogeneous"), F.count_if(gone).alias("missing"), F.coalesce(F.sum(F.when(gone, F.col("n_bp"))), F.lit(0)).cast("long").alias("missing_bp"))
@@ -207,7 +217,7 @@ _MAX = 2**60 // SCALED
 
 
 def _sk(table: str, key: str, k: int = K) -> str:
-    return f"(SELECT {key}, {_H} AS hash, count(*) AS abund FROM {_km(table, key, k)} WHERE {_H} <= {_MAX} GROUP BY 1, 2)"
+    return f"(SELECT {key}, {_H} AS hash, count(*) AS abund FROM {_ck(table, key, k)} WHERE {_H} <= {_MAX} GROUP BY 1, 2)"
 
 
 def _doc_sketch(spark, sf_dir):
@@ -219,10 +229,9 @@ def fracminhash(spark, sf_dir):
     return _doc_sketch(spark, sf_dir).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_hashes"), F.min("hash").alias("least"), F.max("hash").alias("most"))
 
 
-@register("bottom_n_sketch", f"SELECT item_id, CAST(r AS INTEGER) AS rank, hash FROM (SELECT item_id, hash, row_number() OVER (PARTITION BY item_id ORDER BY hash) AS r FROM (SELECT DISTINCT item_id, {_H} AS hash FROM {_km('benchmark', 'item_id')})) WHERE r <= 5")
+@register("bottom_n_sketch", f"SELECT doc_id, CAST(r AS INTEGER) AS rank, hash FROM (SELECT doc_id, hash, row_number() OVER (PARTITION BY doc_id ORDER BY hash) AS r FROM (SELECT DISTINCT doc_id, {_H} AS hash FROM {_ck('documents', 'doc_id')})) WHERE r <= 5")
 def bottom_n_sketch(spark, sf_dir):
-    items = _records(spark, sf_dir).withColumnRenamed("query", "item_id")
-    return sketch.bottom_sketch(items, K, 5, "item_id").select("item_id", "rank", "hash")
+    return sketch.bottom_sketch(_nodes(spark, sf_dir).withColumnRenamed("id", "doc_id"), K, 5, "doc_id").select("doc_id", "rank", "hash")
 
 
 _PAIRS = f"""WITH a AS MATERIALIZED (SELECT doc_id AS x, hash FROM {_sk("documents", "doc_id")}), b AS MATERIALIZED (SELECT item_id AS y, hash FROM {_sk("benchmark", "item_id")}),
@@ -311,11 +320,11 @@ def minhash_murmur(spark, sf_dir):
 
 # ---------------------------------------------------------------- reads
 
-_LABELS = f"(SELECT DISTINCT conv_id, turn, id AS doc_id FROM (SELECT conv_id, turn, kmer FROM {_km('conversations', 'conv_id, turn', READ_K)}) JOIN (SELECT kmer, min(doc_id) AS id FROM {_km('documents', 'doc_id', READ_K)} GROUP BY kmer HAVING min(doc_id) = max(doc_id)) USING (kmer))"
+_LABELS = f"(SELECT DISTINCT conv_id, turn, id AS doc_id FROM (SELECT conv_id, turn, kmer FROM {_ck('conversations', 'conv_id, turn', READ_K)}) JOIN (SELECT kmer, min(doc_id) AS id FROM {_ck('documents', 'doc_id', READ_K)} GROUP BY kmer HAVING min(doc_id) = max(doc_id)) USING (kmer))"
 
 
 def _labels(spark, sf_dir):
-    reads = seq.kmers(_table(spark, sf_dir, "conversations").withColumnRenamed("text", "seq"), "seq", READ_K, "conv_id", "turn")
+    reads = staged(seq.kmer_keys(_table(spark, sf_dir, "conversations").withColumnRenamed("text", "seq"), "seq", READ_K, "conv_id", "turn").select("conv_id", "turn", "kmer").distinct(), "reads")
     own = index.unique_index(_nodes(spark, sf_dir), READ_K, reads)
     return reads.join(own, "kmer").select("conv_id", "turn", "id").distinct()
 
@@ -344,7 +353,8 @@ _HITS = f"{_UNIQ}, hits AS (SELECT DISTINCT query AS record, id FROM q JOIN idx
 
 
 def _hits(spark, sf_dir):
-    return _wanted(spark, sf_dir).join(_index(spark, sf_dir), "kmer").select(F.col("query").alias("record"), "id").distinct()
+    wanted = _wanted(spark, sf_dir)
+    return wanted.join(_index_of(spark, sf_dir, wanted), "kmer").select(F.col("query").alias("record"), "id").distinct()
 
 
 def _annotation(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import kmers
+from ..functions.sequence import kmer_keys
 
 
 def label_stream(reads: DataFrame, kmer_index: DataFrame, k: int, *keep: str, ts: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -14,7 +14,7 @@ def label_stream(reads: DataFrame, kmer_index: DataFrame, k: int, *keep: str, ts
     With an event-time column each (read, node) pair is passed on once while the
     watermark keeps it; without one a pair may come once per shared k-mer.
     """
-    found = kmers(reads, "seq", k, *keep, *([ts] if ts else [])).join(kmer_index, "kmer")
+    found = kmer_keys(reads, "seq", k, *keep, *([ts] if ts else [])).join(kmer_index, "kmer")
     if ts is None:
         return found.select(*keep, "id")
     return found.withWatermark(ts, late).select(*keep, ts, "id").dropDuplicates([*keep, ts, "id"])
@@ -22,4 +22,4 @@ def label_stream(reads: DataFrame, kmer_index: DataFrame, k: int, *keep: str, ts
 
 def abundance_stream(reads: DataFrame, kmer_index: DataFrame, k: int) -> DataFrame:
     """id, abund: running number of occurrences of each node's k-mers (complete or update mode; the state is one count per node)."""
-    return kmers(reads, "seq", k).join(kmer_index, "kmer").groupBy("id").agg(F.count("*").alias("abund"))
+    return kmer_keys(reads, "seq", k).join(kmer_index, "kmer").groupBy("id").agg(F.count("*").alias("abund"))

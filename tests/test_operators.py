@@ -16,8 +16,20 @@ def nodes(spark):
     return spark.createDataFrame([(i, t, i // 2) for i, t in enumerate(TEXTS)], "id long, seq string, dominator long")
 
 
+def back(x):
+    return x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
 def km(t, k=4):
-    return {t[i : i + k] for i in range(len(t) - k + 1)}
+    """Each k-mer as the smaller of both strands."""
+    return {min(t[i : i + k], back(t[i : i + k])) for i in range(len(t) - k + 1)}
+
+
+def spelt(spark, df):
+    """(k-mer as letters, id) of an index."""
+    all_ = sorted(set().union(*map(km, TEXTS)))
+    of = spark.createDataFrame([(x,) for x in all_], "word string").withColumn("kmer", F.struct(F.xxhash64("word").alias("h"), F.hash("word").alias("c")))
+    return sorted(map(tuple, df.join(of, "kmer").select("word", "id").collect()))
 
 
 def owners(k=4):
@@ -32,25 +44,39 @@ def test_index_and_containment(spark):
     n = nodes(spark)
     own = {x: min(s) for x, s in owners().items() if len(s) == 1}
     idx = index.unique_index(n, 4)
-    assert dict(rows(idx)) == own
+    assert dict(spelt(spark, idx)) == own and idx.count() == len(own)
     q = spark.createDataFrame([(7, "GATTACATTTTCCCCG"), (8, "AA"), (9, "NNNNNN")], "query long, seq string")
     wanted = index.query_kmers(q, 4)
     got = {r.query: (r.n_query, r.n_found, r.containment) for r in index.containment(idx, wanted, q).collect()}
     mine = km("GATTACATTTTCCCCG")
     assert got == {7: (len(mine), len(mine & own.keys()), len(mine & own.keys()) / len(mine)), 8: (0, 0, 0.0), 9: (1, 0, 0.0)}
-    assert dict(rows(index.unique_index(n, 4, wanted))) == {x: i for x, i in own.items() if x in mine}
+    assert dict(spelt(spark, index.unique_index(n, 4, wanted))) == {x: i for x, i in own.items() if x in mine}
     r = index.collisions(n, 4).first()
     assert (r.n_kmers, r.n_multi) == (len(owners()), sum(len(s) > 1 for s in owners().values()))
 
 
+def test_both_strands_match(spark):
+    n = nodes(spark)
+    idx = index.unique_index(n, 4)
+    for turn in (lambda x: x, back):
+        q = spark.createDataFrame([(1, turn("GATTACAGATT"))], "query long, seq string")
+        assert [r.id for r in search.exact_search(n, idx, q, 4).collect()] == [0]
+        asked = km("GATTACAGATT")
+        assert rows(index.shares_kmer(n, q, 4, "id")) == [(i,) for i, t in enumerate(TEXTS) if km(t) & asked]
+        own = [x for x in (min("GATTACAGATT"[i : i + 4], back("GATTACAGATT"[i : i + 4])) for i in range(8)) if owners().get(x) == {0}]
+        assert rows(search.sample_abundance(idx, index.node_sizes(n, 4), q, 4))[0] == (0, len(own), 11)
+    a, b = (sketch.scaled_sketch(spark.createDataFrame([(1, x)], "id long, seq string"), 4, 1, "id") for x in ("GATTACAGATTCC", back("GATTACAGATTCC")))
+    assert rows(a) == rows(b)
+
+
 def test_neighborhood_search(spark):
     n = nodes(spark)
     q = spark.createDataFrame([(1, "ACGTACGT")], "query long, seq string")
     s = search.neighborhood_search(n, index.unique_index(n, 4), n.select("id", "dominator"), q, 4)
-    assert rows(s.matches) == [(2, 4)] and [r[0] for r in rows(s.ids)] == [2, 3]
+    assert rows(s.matches) == [(2, len(km("ACGTACGT")))] and [r[0] for r in rows(s.ids)] == [2, 3]
     got = s.summary.first()
-    assert (got.n_matched, got.num_query_kmers, got.bp, got.best_containment) == (4, 4, 12, 1.0)
-    assert s.curve.first().sum_cont == 4
+    assert (got.n_matched, got.num_query_kmers, got.bp, got.best_containment) == (3, 3, 12, 1.0)
+    assert s.curve.first().sum_cont == 3
     none = spark.createDataFrame([(1, "NNNNNNN")], "query long, seq string")
     assert search.neighborhood_search(n, index.unique_index(n, 4), n.select("id", "dominator"), none, 4).summary.first().best_containment == 0.0
 
@@ -71,8 +97,9 @@ def test_sample_abundance(spark):
     want = {i: [0, len(t) - 3] for i, t in enumerate(TEXTS) if len(t) >= 4}
     for t in TEXTS:
         for i in range(len(t) - 3):
-            if t[i : i + 4] in own:
-                want[own[t[i : i + 4]]][0] += 1
+            x = min(t[i : i + 4], back(t[i : i + 4]))
+            if x in own:
+                want[own[x]][0] += 1
     assert got == sorted((i, a, s) for i, (a, s) in want.items())
 
 

@@ -17,6 +17,20 @@ def test_kmers_over_blocks(spark):
     assert got == sorted((i, p, t[p : p + 3]) for i, t in enumerate(texts) if t for p in range(len(t) - 2))
 
 
+def test_kmers_of_both_strands_in_parts(spark, monkeypatch):
+    text = "ACGTT\nü🙂漢AC" + "GATTACA" * 9
+    d = spark.createDataFrame([(1, text)], "id int, seq string")
+    turned = lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    for part, block in ((7, 3), (5, 5), (20, 4), (1000, 64)):
+        monkeypatch.setattr(seq, "PART", part)
+        monkeypatch.setattr(seq, "BLOCK", block)
+        got = sorted(map(tuple, seq.kmers(d, "seq", 4, "id", both_strands=True).collect()))
+        assert got == [(1, p, min(text[p : p + 4], turned(text[p : p + 4]))) for p in range(len(text) - 3)]
+    back = d.select("id", seq.reverse_complement(F.col("seq")).alias("seq"))
+    keys = lambda x: sorted((r.kmer.h, r.kmer.c) for r in seq.kmer_keys(x, "seq", 4).collect())
+    assert keys(d) == keys(back)
+
+
 def test_windows(spark):
     d = spark.createDataFrame([(1, "abcdefghij"), (2, "abc"), (3, "")], "id int, t string")
     got = sorted(map(tuple, seq.windows(d, "t", 4, 1, "id").collect()))
