@@ -119,6 +119,12 @@ def orient(edges: DataFrame, order: DataFrame) -> DataFrame:
     return edges.join(at("src"), "src").join(at("dst"), "dst").where("src_at > dst_at").select("src", "dst")
 
 
+def orient_by_degree(edges: DataFrame) -> DataFrame:
+    """Arcs of an undirected graph from the vertex of larger degree (then id) to that of smaller: no vertex has more than the root of twice the edges coming in."""
+    at = lambda c: degrees(edges).select(F.col("id").alias(c), F.struct("degree", "id").alias(f"{c}_at"))
+    return edges.join(at("src"), "src").join(at("dst"), "dst").where("src_at > dst_at").select("src", "dst")
+
+
 def dominating_set(edges: DataFrame, vertices: DataFrame, radius: int = 1) -> DataFrame:
     """id of a set that dominates within ``radius`` edges, its members further apart: the greedy one in the order of degree (high first), then id.
 

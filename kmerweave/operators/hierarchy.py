@@ -68,26 +68,22 @@ def first_below(child: DataFrame, values: DataFrame, root: int, holds, depth: in
     return out
 
 
-def response_curve(parts: DataFrame) -> DataFrame:
-    """Running sums of contained and overhead k-mers over nodes in falling order of (cont, overhead, id): place, id, sum_cont, sum_oh, relative_cont, relative_oh.
+def running(df: DataFrame, order: list, **sums) -> DataFrame:
+    """All columns and running sums in an order without ties: sums of range partitions first, then within each, so no task sees all rows."""
+    ranged = staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumns({f"_{name}": value for name, value in sums.items()}), "ranged")
+    parts = ranged.groupBy("_part").agg(*(F.sum(f"_{name}").alias(name) for name in sums))  # one row per partition
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select("_part", *(F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"{name}_before") for name in sums))
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(F.broadcast(before), "_part").select(*df.columns, *((F.col(f"{name}_before") + F.sum(f"_{name}").over(own)).alias(name) for name in sums))
 
-    The running sums are over the distinct (cont, overhead) pairs first, of which
-    there are few beside the rows; ties add their place within the pair.
-    """
-    total = parts.agg(F.sum("cont").alias("t_cont"), F.sum("oh").alias("t_oh"))
-    steps = parts.groupBy("cont", "oh").agg(F.count("*").alias("n"))
-    before = Window.orderBy(F.desc("cont"), F.desc("oh")).rowsBetween(Window.unboundedPreceding, -1)
-    at = steps.select("cont", "oh", *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(y) for x, y in ((F.col("n"), "b_n"), (F.col("n") * F.col("cont"), "b_cont"), (F.col("n") * F.col("oh"), "b_oh"))))
-    own = F.row_number().over(Window.partitionBy("cont", "oh").orderBy(F.desc("id")))
-    curve = parts.withColumn("k", own).join(at, ["cont", "oh"]).crossJoin(F.broadcast(total))
-    return curve.select(
-        (F.col("b_n") + F.col("k")).alias("place"),
-        "id",
-        (F.col("b_cont") + F.col("k") * F.col("cont")).alias("sum_cont"),
-        (F.col("b_oh") + F.col("k") * F.col("oh")).alias("sum_oh"),
-        ratio(F.col("b_cont") + F.col("k") * F.col("cont"), F.col("t_cont")).alias("relative_cont"),
-        ratio(F.col("b_oh") + F.col("k") * F.col("oh"), F.col("t_oh")).alias("relative_oh"),
-    )
+
+def response_curve(parts: DataFrame) -> DataFrame:
+    """Running sums over nodes with contained k-mers, in falling order of (cont, oh, id): place, id, cont, oh, sum_cont, sum_oh, and both as shares of all contained k-mers."""
+    some = parts.where("cont > 0").select("id", "cont", "oh")
+    total = some.agg(F.sum("cont").alias("_total"))
+    curve = running(some, [F.desc("cont"), F.desc("oh"), F.desc("id")], place=F.lit(1), sum_cont=F.col("cont"), sum_oh=F.col("oh")).crossJoin(F.broadcast(total))
+    return curve.select("place", "id", "cont", "oh", "sum_cont", "sum_oh", ratio(F.col("sum_cont"), F.col("_total")).alias("relative_cont"), ratio(F.col("sum_oh"), F.col("_total")).alias("relative_oh"))
 
 
 def sampled(curve: DataFrame, points: int = 200) -> DataFrame:
@@ -98,15 +94,10 @@ def sampled(curve: DataFrame, points: int = 200) -> DataFrame:
 
 
 def keep_prefix(nodes: DataFrame, fraction: float) -> DataFrame:
-    """id, size, ratio of nodes in rising order of (ratio, id) while the running size stays within the fraction of the total.
-
-    Running sums are over ratio values first, then within one value.
-    """
-    total = nodes.agg((F.sum("size") * fraction).alias("most"))
-    steps = nodes.groupBy("ratio").agg(F.sum("size").alias("step"))
-    before = steps.select("ratio", F.coalesce(F.sum("step").over(Window.orderBy("ratio").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
-    own = F.sum("size").over(Window.partitionBy("ratio").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
-    return nodes.withColumn("s", own).join(before, "ratio").crossJoin(F.broadcast(total)).where(F.col("b") + F.col("s") <= F.col("most")).select("id", "size", "ratio")
+    """id, size, ratio of nodes in rising order of (ratio, id) while the running size stays within the fraction of the total."""
+    total = nodes.agg((F.sum("size") * fraction).alias("_most"))
+    some = running(nodes.select("id", "size", "ratio"), [F.col("ratio"), F.col("id")], upto=F.col("size"))
+    return some.crossJoin(F.broadcast(total)).where(F.col("upto") <= F.col("_most")).select("id", "size", "ratio")
 
 
 def log_ratio(part, whole):

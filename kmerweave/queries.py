@@ -2,14 +2,13 @@
 
 Stand-ins: documents are nodes with a sequence, benchmark items are query records,
 conversation turns are reads, supplies are edges between parts and suppliers,
-and region - nation - customer - order is the hierarchy with line items as leaves.  Queries of edges or lineages whose SQL takes
-bulk supplies only (quantity of 45 or more, 49 for components) do so too; those
-named ..._whole take every line item.
+region - nation - customer - order is the hierarchy with line items as leaves and
+the tree whose paths are followed, and customers with their orders are the graph
+of isolated and pendant vertices.  All take their whole tables.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +22,6 @@ K = 31
 #: Reads are labelled by shorter k-mers.
 READ_K = 13
 SCALED = 100
-#: Least quantity of the line items that most SQL of edges and lineages takes.
-BULK = 45
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -40,12 +36,6 @@ def register(name: str, sql: str | None):
     return add
 
 
-def whole(name: str, with_sql: bool = True) -> None:
-    """Register a query of bulk supplies over all line items too."""
-    sql = re.sub(r" WHERE l_quantity >= \d+", "", ORACLES[name]) if with_sql else None
-    register(f"{name}_whole", sql)(lambda spark, sf_dir: QUERIES[name](spark, sf_dir, None))
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -404,22 +394,16 @@ def abundance_estimate(spark, sf_dir):
 
 # ---------------------------------------------------------------- graph
 
-_EDGES = "e AS MATERIALIZED (SELECT DISTINCT 2 * l_partkey AS p, 2 * l_suppkey + 1 AS s FROM lineitem WHERE l_quantity >= 45), arcs AS MATERIALIZED (SELECT p AS src, s AS dst FROM e UNION SELECT s, p FROM e)"
+_EDGES = "e AS MATERIALIZED (SELECT DISTINCT 2 * l_partkey AS p, 2 * l_suppkey + 1 AS s FROM lineitem), arcs AS MATERIALIZED (SELECT p AS src, s AS dst FROM e UNION SELECT s, p FROM e)"
 _VERTS = "v AS MATERIALIZED (SELECT 2 * p_partkey AS id FROM part UNION SELECT 2 * s_suppkey + 1 FROM supplier)"
 
 
-def _items(spark, sf_dir, least: int | None) -> DataFrame:
-    """Line items of at least a quantity, all of them without one."""
-    items = _table(spark, sf_dir, "lineitem")
-    return items if least is None else items.where(F.col("l_quantity") >= least)
-
-
-def _supplies(spark, sf_dir, least: int | None = None) -> DataFrame:
-    return _items(spark, sf_dir, least).select((2 * F.col("l_partkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst")).distinct()
+def _supplies(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").select((2 * F.col("l_partkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst")).distinct()
 
 
-def _edges(spark, sf_dir, least: int | None = None) -> DataFrame:
-    return graph.undirected(_supplies(spark, sf_dir, least))
+def _edges(spark, sf_dir) -> DataFrame:
+    return graph.undirected(_supplies(spark, sf_dir))
 
 
 def _vertices(spark, sf_dir) -> DataFrame:
@@ -428,41 +412,67 @@ def _vertices(spark, sf_dir) -> DataFrame:
 
 
 @register("edge_symmetry_violations", f"WITH {_EDGES} SELECT p AS src, s AS dst FROM e WHERE p % 3 = 0 UNION ALL SELECT p, s FROM e WHERE p % 3 <> 0 AND s % 5 = 0")
-def edge_symmetry_violations(spark, sf_dir, least=BULK):
+def edge_symmetry_violations(spark, sf_dir):
     """Arcs of a graph that lacks some counterparts."""
-    a = _supplies(spark, sf_dir, least)
+    a = _supplies(spark, sf_dir)
     back = a.where((F.col("src") % 3 != 0) & (F.col("dst") % 5 != 0)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return graph.asymmetric(a.union(back))
 
 
 @register("degree_stats", f"WITH {_EDGES}, {_VERTS}, d AS (SELECT id, count(src) AS degree FROM v LEFT JOIN arcs ON src = id GROUP BY id) SELECT degree, count(*) AS n FROM d GROUP BY degree")
-def degree_stats(spark, sf_dir, least=BULK):
-    return graph.degrees(_edges(spark, sf_dir, least), _vertices(spark, sf_dir)).groupBy("degree").agg(F.count("*").alias("n"))
+def degree_stats(spark, sf_dir):
+    return graph.degrees(_edges(spark, sf_dir), _vertices(spark, sf_dir)).groupBy("degree").agg(F.count("*").alias("n"))
+
+
+_PURCHASES = "e AS MATERIALIZED (SELECT 2 * o_custkey AS p, 2 * o_orderkey + 1 AS s FROM orders), arcs AS MATERIALIZED (SELECT p AS src, s AS dst FROM e UNION SELECT s, p FROM e), v AS MATERIALIZED (SELECT 2 * c_custkey AS id FROM customer UNION SELECT 2 * o_orderkey + 1 FROM orders)"
+
+
+def _purchases(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Edges between customers and their orders, and the vertices."""
+    orders = _table(spark, sf_dir, "orders").select((2 * F.col("o_custkey")).alias("src"), (2 * F.col("o_orderkey") + 1).alias("dst"))
+    return graph.undirected(orders), _table(spark, sf_dir, "customer").select((2 * F.col("c_custkey")).alias("id")).union(orders.select("dst"))
 
 
-@register("isolates", f"WITH {_EDGES}, {_VERTS} SELECT id FROM v WHERE id NOT IN (SELECT src FROM arcs)")
-def isolates(spark, sf_dir, least=BULK):
-    return graph.isolates(_edges(spark, sf_dir, least), _vertices(spark, sf_dir))
+_MARKS = "arcs AS MATERIALIZED (SELECT DISTINCT 2 * doc_id AS src, CAST(2 * quality + 1 AS BIGINT) AS dst FROM labels WHERE quality IS NOT NULL UNION SELECT 2 * quality + 1, 2 * doc_id FROM labels WHERE quality IS NOT NULL)"
+
+
+@register("isolates", f"WITH {_MARKS} SELECT 2 * doc_id AS id FROM documents WHERE 2 * doc_id NOT IN (SELECT src FROM arcs)")
+def isolates(spark, sf_dir):
+    """Documents in the graph of documents and the marks that they were given."""
+    marks = _table(spark, sf_dir, "labels").where("quality is not null").select((2 * F.col("doc_id")).alias("src"), (2 * F.col("quality") + 1).cast("long").alias("dst"))
+    return graph.isolates(graph.undirected(marks), _nodes(spark, sf_dir).select((2 * F.col("id")).alias("id")))
 
 
 @register(
     "pendant_disconnect",
-    f"""WITH {_EDGES}, {_VERTS}, weak AS (SELECT src AS id FROM arcs GROUP BY src HAVING count(*) <= 1 AND src % 10 <= 3)
+    f"""WITH {_PURCHASES}, weak AS (SELECT src AS id FROM arcs GROUP BY src HAVING count(*) <= 1 AND src % 10 <= 3)
 SELECT src, dst FROM arcs WHERE src NOT IN (SELECT id FROM weak) AND dst NOT IN (SELECT id FROM weak)""",
 )
-def pendant_disconnect(spark, sf_dir, least=BULK):
-    nodes = _vertices(spark, sf_dir).withColumn("abund", (F.col("id") % 10).cast("double"))
-    return graph.disconnect_pendants(_edges(spark, sf_dir, least), nodes, 3.0)
+def pendant_disconnect(spark, sf_dir):
+    edges, vertices = _purchases(spark, sf_dir)
+    return graph.disconnect_pendants(edges, vertices.withColumn("abund", (F.col("id") % 10).cast("double")), 3.0)
+
+
+_LOW = "d AS MATERIALIZED (SELECT src AS id, count(*) AS n FROM arcs GROUP BY src), low AS MATERIALIZED (SELECT src, dst FROM arcs JOIN d a ON a.id = src JOIN d b ON b.id = dst WHERE a.n > b.n OR a.n = b.n AND src > dst)"
 
 
-@register("transitive_pairs", f"WITH {_EDGES} SELECT DISTINCT b.dst AS x, a.src AS u FROM arcs a JOIN arcs b ON a.dst = b.src WHERE a.src <> b.dst")
-def transitive_pairs(spark, sf_dir, least=BULK):
-    return graph.transitive_pairs(_edges(spark, sf_dir, least))
+@register(
+    "transitive_pairs",
+    f"""WITH {{tree}}, arcs AS MATERIALIZED (SELECT p AS src, s AS dst FROM e UNION SELECT s, p FROM e), {_LOW}
+SELECT DISTINCT b.dst AS x, a.src AS u FROM low a JOIN low b ON a.dst = b.src WHERE a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM arcs WHERE arcs.src = a.src AND arcs.dst = b.dst)""".replace(
+        "{tree}",
+        "e AS MATERIALIZED (SELECT 1000 + 2 * c_custkey AS p, CAST(100 + c_nationkey AS BIGINT) AS s FROM customer UNION ALL SELECT 1001 + 2 * o_orderkey, 1000 + 2 * o_custkey FROM orders UNION ALL SELECT 100 + n_nationkey, n_regionkey FROM nation)",
+    ),
+)
+def transitive_pairs(spark, sf_dir):
+    """Over arcs to the vertex of smaller degree, which bounds the pairs of a hub."""
+    child = _child(spark, sf_dir).where("parent >= 0")
+    return graph.transitive_pairs(staged(graph.orient_by_degree(graph.undirected(child.select(F.col("child").alias("src"), F.col("parent").alias("dst")))), "arcs"))
 
 
-@register("fraternal_pairs", f"WITH {_EDGES} SELECT DISTINCT a.p AS x, b.p AS y FROM e a JOIN e b ON a.s = b.s WHERE a.p < b.p")
-def fraternal_pairs(spark, sf_dir, least=BULK):
-    return graph.fraternal_pairs(_supplies(spark, sf_dir, least))
+@register("fraternal_pairs", f"WITH {_EDGES}, {_LOW} SELECT DISTINCT a.src AS x, b.src AS y FROM low a JOIN low b ON a.dst = b.dst WHERE a.src < b.src AND NOT EXISTS (SELECT 1 FROM arcs WHERE arcs.src = a.src AND arcs.dst = b.src)")
+def fraternal_pairs(spark, sf_dir):
+    return graph.fraternal_pairs(staged(graph.orient_by_degree(_edges(spark, sf_dir)), "arcs"))
 
 
 @register(
@@ -470,35 +480,39 @@ def fraternal_pairs(spark, sf_dir, least=BULK):
     f"""WITH {_EDGES}, z AS (SELECT 2 * s_suppkey + 1 AS id FROM supplier WHERE s_acctbal > 9000), h1 AS (SELECT DISTINCT dst AS id FROM arcs WHERE src IN (SELECT id FROM z)), h2 AS (SELECT DISTINCT dst AS id FROM arcs WHERE src IN (SELECT id FROM h1))
 SELECT id, CAST(min(h) AS INTEGER) AS hops FROM (SELECT id, 0 AS h FROM z UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) GROUP BY id""",
 )
-def bfs_r_hops(spark, sf_dir, least=BULK):
+def bfs_r_hops(spark, sf_dir):
     rich = _table(spark, sf_dir, "supplier").where("s_acctbal > 9000").select((2 * F.col("s_suppkey") + 1).alias("id"))
-    return graph.within_hops(_edges(spark, sf_dir, least), rich, 2)
+    return graph.within_hops(_edges(spark, sf_dir), rich, 2)
 
 
 _MIN_DOM = f"{_EDGES}, {_VERTS}, piece AS MATERIALIZED (SELECT id, id AS dominator FROM v WHERE id % 2 = 1 UNION ALL SELECT p AS id, min(s) AS dominator FROM e GROUP BY p)"
 
 
-def _pieces(spark, sf_dir, least: int | None):
+def _pieces(spark, sf_dir):
     v = _vertices(spark, sf_dir)
-    return graph.assign_pieces(_edges(spark, sf_dir, least), v, v.where(F.col("id") % 2 == 1))
+    return graph.assign_pieces(_edges(spark, sf_dir), v, v.where(F.col("id") % 2 == 1))
 
 
 @register("min_dominator_assign", f"WITH {_MIN_DOM} SELECT id, dominator FROM piece")
-def min_dominator_assign(spark, sf_dir, least=BULK):
-    return _pieces(spark, sf_dir, least)
+def min_dominator_assign(spark, sf_dir):
+    return _pieces(spark, sf_dir)
 
 
 @register("contract_edges", f"WITH {_MIN_DOM} SELECT DISTINCT a.dominator AS src, b.dominator AS dst FROM arcs JOIN piece a ON a.id = src JOIN piece b ON b.id = dst WHERE a.dominator <> b.dominator")
-def contract_edges(spark, sf_dir, least=BULK):
-    return graph.contract(_edges(spark, sf_dir, least), _pieces(spark, sf_dir, least))
+def contract_edges(spark, sf_dir):
+    return graph.contract(_edges(spark, sf_dir), _pieces(spark, sf_dir))
 
 
 @register(
     "components",
-    "WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT l_orderkey AS a, -l_partkey - 1 AS b FROM lineitem WHERE l_quantity >= 49), arcs AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS c FROM arcs UNION SELECT arcs.b, r.c FROM r JOIN arcs ON arcs.a = r.id WHERE r.c < arcs.b) SELECT id, min(c) AS component FROM r GROUP BY id",
+    """WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT l_orderkey AS a, -l_partkey - 1 AS b FROM lineitem), arcs AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(id, component) USING KEY (id) AS (
+  SELECT DISTINCT a, a FROM arcs
+  UNION SELECT arcs.b, min(r.component) FROM r JOIN arcs ON arcs.a = r.id JOIN recurring.r AS old ON old.id = arcs.b WHERE r.component < old.component GROUP BY arcs.b)
+SELECT id, component FROM r""",
 )
-def components(spark, sf_dir, least=49):
-    e = _items(spark, sf_dir, least).select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey") - 1).alias("dst")).distinct()
+def components(spark, sf_dir):
+    e = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey") - 1).alias("dst")).distinct()
     e = graph.undirected(e)
     return graph.components(e, e.select(F.col("src").alias("id")).distinct())
 
@@ -623,7 +637,7 @@ def unassembled_nodes(spark, sf_dir):
 
 
 _PARTS = f"{_TREE}, parts AS (SELECT id, hit AS cont, size - hit AS oh FROM roll WHERE level = 2)"
-_CURVE = f"{_PARTS}, curve AS (SELECT row_number() OVER w AS place, id, CAST(sum(cont) OVER w AS BIGINT) AS sum_cont, CAST(sum(oh) OVER w AS BIGINT) AS sum_oh, sum(cont) OVER w / (SELECT sum(cont) FROM parts) AS relative_cont, sum(oh) OVER w / (SELECT sum(oh) FROM parts) AS relative_oh FROM parts WINDOW w AS (ORDER BY cont DESC, oh DESC, id DESC ROWS UNBOUNDED PRECEDING))"
+_CURVE = f"{_PARTS}, curve AS (SELECT row_number() OVER w AS place, id, cont, oh, CAST(sum(cont) OVER w AS BIGINT) AS sum_cont, CAST(sum(oh) OVER w AS BIGINT) AS sum_oh, sum(cont) OVER w / (SELECT sum(cont) FROM parts) AS relative_cont, sum(oh) OVER w / (SELECT sum(cont) FROM parts) AS relative_oh FROM parts WHERE cont > 0 WINDOW w AS (ORDER BY cont DESC, oh DESC, id DESC ROWS UNBOUNDED PRECEDING))"
 
 
 def _parts(spark, sf_dir) -> DataFrame:
@@ -669,14 +683,14 @@ def articulation_ratio(spark, sf_dir):
 # ---------------------------------------------------------------- taxonomy
 
 _RANKS = ["r_name", "n_name", "c_mktsegment"]
-_LINEAGE = "hit AS MATERIALIZED (SELECT l_suppkey AS g, r_name, n_name, c_mktsegment FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_quantity >= 45)"
+_LINEAGE = "hit AS MATERIALIZED (SELECT l_partkey * 1000000 + l_suppkey AS g, r_name, n_name, c_mktsegment FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 
 
-def _lineages(spark, sf_dir, least: int | None) -> DataFrame:
+def _lineages(spark, sf_dir) -> DataFrame:
     t = lambda n: _table(spark, sf_dir, n)
     who = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     by_order = t("orders").join(who, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", *_RANKS)
-    items = _items(spark, sf_dir, least).select("l_orderkey", F.col("l_suppkey").alias("g"))
+    items = _table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("g"))
     return items.join(by_order, F.col("l_orderkey") == F.col("o_orderkey")).select("g", *_RANKS)
 
 
@@ -685,16 +699,16 @@ n AS (SELECT g, rank, taxon, count(*) AS n FROM t GROUP BY ALL), p AS (SELECT g,
 
 
 @register("lineage_purity", f"WITH {_PURITY} SELECT g, rank, taxon, share FROM p WHERE k = 1")
-def lineage_purity(spark, sf_dir, least=BULK):
-    return annotate.purity(_lineages(spark, sf_dir, least), "g", _RANKS)
+def lineage_purity(spark, sf_dir):
+    return annotate.purity(_lineages(spark, sf_dir), "g", _RANKS)
 
 
 @register("lineage_pure_rank", f"WITH {_PURITY} SELECT g, CAST(coalesce(max(rank) FILTER (share = 1), 0) AS INTEGER) AS rank FROM p WHERE k = 1 GROUP BY g")
-def lineage_pure_rank(spark, sf_dir, least=BULK):
-    return annotate.pure_rank(annotate.purity(_lineages(spark, sf_dir, least), "g", _RANKS), "g")
+def lineage_pure_rank(spark, sf_dir):
+    return annotate.pure_rank(annotate.purity(_lineages(spark, sf_dir), "g", _RANKS), "g")
 
 
-_BY_ORDER = _LINEAGE.replace("l_suppkey AS g", "l_partkey AS g")
+_BY_ORDER = _LINEAGE.replace("l_partkey * 1000000 + l_suppkey AS g", "l_partkey AS g")
 
 
 @register(
@@ -702,20 +716,14 @@ _BY_ORDER = _LINEAGE.replace("l_suppkey AS g", "l_partkey AS g")
     f"""WITH {_BY_ORDER}, x AS (SELECT g, count(DISTINCT r_name) AS a, count(DISTINCT r_name || ';' || n_name) AS b, count(DISTINCT r_name || ';' || n_name || ';' || c_mktsegment) AS c, min(r_name) AS r, min(r_name || ';' || n_name) AS n, min(r_name || ';' || n_name || ';' || c_mktsegment) AS m FROM hit GROUP BY g)
 SELECT g, CAST(CASE WHEN c = 1 THEN 3 WHEN b = 1 THEN 2 WHEN a = 1 THEN 1 ELSE 0 END AS INTEGER) AS rank, CASE WHEN c = 1 THEN m WHEN b = 1 THEN n WHEN a = 1 THEN r ELSE '' END AS lineage FROM x""",
 )
-def lineage_lca(spark, sf_dir, least=BULK):
+def lineage_lca(spark, sf_dir):
     t = lambda n: _table(spark, sf_dir, n)
     who = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     by_order = t("orders").join(who, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", *_RANKS)
-    items = _items(spark, sf_dir, least).select("l_orderkey", F.col("l_partkey").alias("g"))
+    items = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("g"))
     return annotate.lca(items.join(by_order, F.col("l_orderkey") == F.col("o_orderkey")), "g", _RANKS)
 
 
-for _name in ("edge_symmetry_violations", "degree_stats", "isolates", "pendant_disconnect", "bfs_r_hops", "min_dominator_assign", "contract_edges", "lineage_purity", "lineage_pure_rank", "lineage_lca"):
-    whole(_name)
-for _name in ("transitive_pairs", "fraternal_pairs", "components"):  # too slow in SQL on whole tables
-    whole(_name, with_sql=False)
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query records to matching nodes, their neighbourhood, and its response curve."""
     sizes = index.node_sizes(_nodes(spark, sf_dir), K)

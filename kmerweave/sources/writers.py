@@ -68,8 +68,9 @@ def id_list(ids: DataFrame, path: str, as_text: bool = False, compression: str |
 
 
 def response(curve: DataFrame, path: str) -> None:
-    """The response curve with its header, space-separated, in place order."""
-    rows = curve.orderBy("place").select("sum_cont", "relative_cont", "relative_oh", "sum_oh", "id")
+    """The response curve with its header, space-separated, in place order: running and own figures of every node."""
+    # fixed column names
+    rows = curve.orderBy("place").select("sum_cont", "relative_cont", F.col("relative_oh").alias("relative_overhead"), F.col("cont").alias("sum_cont2"), F.col("oh").alias("sum_oh"), F.col("id").alias("catlas_id"))
     rows.coalesce(1).write.mode("overwrite").csv(path, sep=" ", header=True)
 
 

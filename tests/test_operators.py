@@ -153,7 +153,7 @@ def test_curves(spark):
     rng = random.Random(3)
     parts = [(i, rng.randint(0, 5), rng.randint(0, 3)) for i in range(500)]
     df = spark.createDataFrame(parts, "id long, cont long, oh long")
-    order = sorted(parts, key=lambda r: (r[1], r[2], r[0]), reverse=True)
+    order = sorted((r for r in parts if r[1]), key=lambda r: (r[1], r[2], r[0]), reverse=True)
     want, a, b = [], 0, 0
     for k, (i, c, o) in enumerate(order, 1):
         a, b = a + c, b + o
@@ -161,7 +161,9 @@ def test_curves(spark):
     curve = hierarchy.response_curve(df)
     assert rows(curve.select("place", "id", "sum_cont", "sum_oh")) == want
     places = [r.place for r in hierarchy.sampled(curve, 50).orderBy("place").collect()]
-    assert places == [*range(1, 501, 10), 500]
+    assert places == sorted({*range(1, len(order) + 1, len(order) // 50), len(order)})
+    last = curve.orderBy(F.desc("place")).first()
+    assert (last.relative_cont, last.relative_oh) == (1.0, b / a)
     kept = hierarchy.keep_prefix(df.selectExpr("id", "cont + 1 as size", "cast(oh as double) as ratio"), 0.4)
     total, run, ids = sum(c + 1 for _, c, _ in parts), 0, []
     for i, c, _ in sorted(parts, key=lambda r: (r[2], r[0])):
