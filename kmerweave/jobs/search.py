@@ -70,3 +70,27 @@ def sample_abundance(kmer_index: DataFrame, sizes: DataFrame, sample: DataFrame,
     """id, abund, size: occurrences of each node's k-mers in a sample's records, repeats counted; nodes without any have 0."""
     hit = kmer_keys(sample, "seq", k).groupBy("kmer").agg(F.count("*").alias("n")).join(kmer_index, "kmer").groupBy("id").agg(F.sum("n").alias("abund"))
     return sizes.join(hit, "id", "left").select("id", F.coalesce("abund", F.lit(0)).alias("abund"), F.col("n_kmers").alias("size"))
+
+
+def level_abundance(abund: DataFrame, piece: DataFrame, child: DataFrame, level: DataFrame) -> DataFrame:
+    """dom_id, level, abund, size: a sample's abundance under every node of a hierarchy.
+
+    abund (id, abund, size), piece (id: level-1 node, leaf), child (parent, child),
+    level (id, level).  Sums go up one level at a time, so each step reads what the
+    last one left.  A child of the root that ends below the others stands at the
+    levels between too, so every level but the root's holds all leaves once.
+    """
+    top = level.agg(F.max(F.struct("level", "id")).alias("t")).select("t.level", "t.id").first()
+    if top is None or top.level is None:
+        return level.select(F.col("id").alias("dom_id"), "level", F.lit(0).cast("long").alias("abund"), F.lit(0).cast("long").alias("size"))
+    now = piece.join(abund.select(F.col("id").alias("leaf"), "abund", "size"), "leaf").groupBy("id").agg(F.sum("abund").alias("abund"), F.sum("size").alias("size"))
+    up = child.select(F.col("child").alias("id"), "parent")
+    out = None
+    for k in range(1, top.level):
+        now = staged(now.withColumn("level", F.lit(k)), "level")
+        out = now if out is None else out.unionByName(now)
+        now = now.join(up, "id").where(F.col("parent") != top.id).groupBy(F.col("parent").alias("id")).agg(F.sum("abund").alias("abund"), F.sum("size").alias("size"))
+    under_root = child.where(F.col("parent") == top.id).select(F.col("child").alias("id"), F.lit(top.level - 1).alias("last"))
+    each = out.join(under_root, "id", "left").select(F.col("id").alias("dom_id"), F.explode(F.sequence("level", F.coalesce("last", "level"))).alias("level"), "abund", "size")
+    whole = out.join(under_root, "id").agg(F.sum("abund").alias("abund"), F.sum("size").alias("size")).select(F.lit(top.id).alias("dom_id"), F.lit(top.level).alias("level"), F.coalesce("abund", F.lit(0)).alias("abund"), F.coalesce("size", F.lit(0)).alias("size"))
+    return each.unionByName(whole)

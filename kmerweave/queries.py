@@ -392,6 +392,28 @@ def abundance_estimate(spark, sf_dir):
     return found.select("n_found", F.round("containment", 6).alias("containment"), F.round("mean_abund", 6).alias("mean_abund"))
 
 
+_SAMPLE = f"""own AS MATERIALIZED (SELECT kmer, min(doc_id) AS id FROM {_ck("documents", "doc_id", READ_K)} GROUP BY kmer HAVING min(doc_id) = max(doc_id)),
+hit AS (SELECT id, count(*) AS n FROM {_ck("conversations", "turn", READ_K)} JOIN own USING (kmer) GROUP BY id),
+leaf AS (SELECT source, coalesce(n, 0) AS abund, length(text) - {READ_K - 1} AS size FROM documents LEFT JOIN hit ON id = doc_id WHERE length(text) >= {READ_K}),
+dom AS (SELECT source, 2 * CAST(concat('0x', substr(md5(source), 1, 15)) AS BIGINT) AS id FROM documents GROUP BY source)"""
+
+
+@register("abundance_levels", f"WITH {_SAMPLE} SELECT id AS dom_id, 1 AS level, CAST(sum(abund) AS BIGINT) AS abund, CAST(sum(size) AS BIGINT) AS size FROM leaf JOIN dom USING (source) GROUP BY id UNION ALL SELECT -1, 2, CAST(sum(abund) AS BIGINT), CAST(sum(size) AS BIGINT) FROM leaf")
+def abundance_levels(spark, sf_dir):
+    """Conversations as a sample of reads: k-mers of the documents' own in them, under every source and the root."""
+    from .jobs import search
+
+    nodes = _nodes(spark, sf_dir)
+    reads = _table(spark, sf_dir, "conversations").withColumnRenamed("text", "seq")
+    own = index.unique_index(nodes, READ_K, seq.kmer_keys(reads, "seq", READ_K))
+    abund = search.sample_abundance(own, index.node_sizes(nodes, READ_K), reads, READ_K)
+    piece = nodes.select((2 * seq.h60(F.col("dominator"))).alias("id"), F.col("id").alias("leaf"))
+    doms = staged(piece.select("id").distinct(), "dominators")
+    child = doms.select(F.lit(-1).cast("long").alias("parent"), F.col("id").alias("child"))
+    level = doms.select("id", F.lit(1).alias("level")).union(spark.range(1).select(F.lit(-1).cast("long"), F.lit(2)))
+    return search.level_abundance(abund, piece, child, level)
+
+
 # ---------------------------------------------------------------- graph
 
 _EDGES = "e AS MATERIALIZED (SELECT DISTINCT 2 * l_partkey AS p, 2 * l_suppkey + 1 AS s FROM lineitem), arcs AS MATERIALIZED (SELECT p AS src, s AS dst FROM e UNION SELECT s, p FROM e)"
