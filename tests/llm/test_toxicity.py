@@ -71,3 +71,48 @@ def test_no_labels(spark):
     lab = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
     assert {r.score for r in tx.score(d, tx.fit(d, lab)).collect()} == {0.0}
     assert tx.score(d.limit(0), tx.fit(d, lab.limit(0))).count() == 0
+
+
+def test_machine_like_its_definition():
+    """The weights minimise the objective: no small step in any direction does better, and plain gradient descent ends there."""
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.normal(size=(60, 5)), np.ones(60)])
+    rows = np.arange(0, 60, 2)
+    y = np.where(x[rows, 0] + 0.3 * rng.normal(size=rows.size) > 0, 1.0, -1.0)
+    weight = rng.uniform(0.01, 0.1, rows.size)
+    reg = 1e-3 * np.eye(6)
+    reg[-1, -1] = 1e-8
+
+    def objective(w):
+        return 0.5 * w @ reg @ w + 0.5 * sum(a * max(0.0, 1 - s * (b @ w)) ** 2 for a, s, b in zip(weight, y, x[rows], strict=True))
+
+    w = tx._squared_hinge(x, rows, y, weight, 1e-3, steps=200)
+    for _ in range(200):
+        assert objective(w) <= objective(w + 1e-3 * rng.normal(size=6)) + 1e-9
+    slow = np.zeros(6)
+    for _ in range(4000):
+        slow -= 0.3 * (reg @ slow - sum(a * max(0.0, 1 - s * (b @ slow)) * s * b for a, s, b in zip(weight, y, x[rows], strict=True)))
+    assert abs(objective(slow) - objective(w)) < 1e-3
+
+
+def test_score_by_hand():
+    """Sentences, strongest words and their layer, one document at a time from the kernel's definition."""
+    model = tx.train([t for _, t, _ in made(90, 3)], [y for _, _, y in made(90, 3)])
+    for text in ("The river idiot. Never moron other people", "stupid", "a b c idiot. x", "light " * 70 + "idiot"):
+        words = text.lower().encode().split()
+        # runs of three or more single letters are one word
+        begin, runs = tx._layout(_text.split_words(pa.array([text.encode()], pa.binary()), tx._TABLE))
+        spelt = [tx.bare(w) for w in words]
+        for a, b in runs:
+            spelt[a] = tx.bare(b"".join(words[a:b]))
+        value = [float((model.kernel([w])[0].astype(float) ** 2) @ model.word) for w in spelt]
+        for a, b in runs:
+            value[a + 1 : b] = [0.0] * (b - a - 1)
+        sentences, start = [], [i for i, x in enumerate(begin) if x] + [len(words)]
+        for a, b in zip(start, start[1:], strict=False):
+            sentences.append(sum(value[a:b]) / (b - a) ** 0.5 + model.bias)
+        top = lambda xs, k: sum(sorted(xs, reverse=True)[:k]) / min(k, len(xs))
+        f = [top(sentences, 1), top(sentences, 3), top(value, 1), top(value, 3), top(value, 8), 10 * sum(max(0, v) for v in value) / (len(words) + 20), 1.0]
+        want = 1 / (1 + np.exp(-np.dot(f, model.layer)))
+        got = tx.score_words(model, 77, _text.split_words(pa.array([text.encode()], pa.binary()), tx._TABLE))[0]
+        assert abs(got - want) < 1e-4, text
