@@ -93,9 +93,9 @@ def sampled(curve: DataFrame, points: int = 200) -> DataFrame:
     return curve.crossJoin(F.broadcast(n)).where(((F.col("place") - 1) % rate == 0) | (F.col("place") == F.col("last"))).drop("last")
 
 
-def keep_prefix(nodes: DataFrame, fraction: float) -> DataFrame:
-    """id, size, ratio of nodes in rising order of (ratio, id) while the running size stays within the fraction of the total."""
-    total = nodes.agg((F.sum("size") * fraction).alias("_most"))
+def keep_prefix(nodes: DataFrame, fraction: float, whole: DataFrame | None = None) -> DataFrame:
+    """id, size, ratio of nodes in rising order of (ratio, id) while the running size stays within the fraction of the total: that of the nodes, or the one row (size) of ``whole``."""
+    total = (nodes if whole is None else whole).agg((F.sum("size") * fraction).alias("_most"))
     some = running(nodes.select("id", "size", "ratio"), [F.col("ratio"), F.col("id")], upto=F.col("size"))
     return some.crossJoin(F.broadcast(total)).where(F.col("upto") <= F.col("_most")).select("id", "size", "ratio")
 
