@@ -38,6 +38,8 @@ GRAMS = (3, 4)
 EPOCHS = 6
 RATE = 0.25
 THRESHOLD = 0.3
+#: Bytes of text whose features a worker holds at once (about 100 bytes each).
+HELD_BYTES = 500_000
 
 
 def _features(words: _text.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +111,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in _text.chunks(batches, "_text"):
+        for b in _text.chunks(batches, "_text", HELD_BYTES):
             doc, ids = _features(_text.split_words(b.column("_text"), tab))
             n = np.bincount(doc, minlength=b.num_rows)
             z = np.bincount(doc, weights=m.weight[ids], minlength=b.num_rows) / np.maximum(n, 1) + m.bias
