@@ -752,4 +752,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = staged(_matches(spark, sf_dir), "matches")
     near = annotate.neighborhood(found, _nodes(spark, sf_dir).select("id", "dominator"))
     parts = near.join(sizes, "id").join(found, "id", "left").select("id", F.coalesce("matches", F.lit(0)).alias("cont"), (F.col("n_kmers") - F.coalesce("matches", F.lit(0))).alias("oh"))
-    return hierarchy.response_curve(parts)
+    return hierarchy.response_curve(parts).select("place", "id", "sum_cont", "sum_oh", "relative_cont", "relative_oh")
