@@ -20,42 +20,99 @@ class Hierarchy:
     piece: DataFrame
 
 
-def build_hierarchy(edges: DataFrame, vertices: DataFrame, radius: int = 1, top: int = 10) -> Hierarchy:
+class _Levels:
+    """The tables of finished levels in a folder, one folder a level; without a folder they are only staged."""
+
+    PARTS = ("nodes", "child", "waiting", "below", "edges")
+
+    def __init__(self, spark, folder: str | None):
+        self.spark, self.folder = spark, folder
+
+    def _at(self, level: int, part: str) -> str:
+        return f"{self.folder}/level={level}/{part}"
+
+    def _has(self, level: int) -> bool:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._at(level, "done"))
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+    def last(self, most: int | None) -> int:
+        """The last level up to ``most`` that is finished, like all below it."""
+        level = 0
+        while self.folder and (most is None or level < most) and self._has(level + 1):
+            level += 1
+        return level
+
+    def write(self, level: int, **parts: DataFrame) -> dict[str, DataFrame]:
+        if not self.folder:
+            return {name: staged(df, f"level-{name}") for name, df in parts.items()}
+        for name, df in parts.items():
+            df.write.mode("overwrite").parquet(self._at(level, name))
+        # the mark comes last, so a level that was cut short is built again
+        self.spark.range(1).write.mode("overwrite").parquet(self._at(level, "done"))
+        return self.read(level)
+
+    def read(self, level: int) -> dict[str, DataFrame]:
+        return {name: self.spark.read.parquet(self._at(level, name)) for name in self.PARTS}
+
+
+def build_hierarchy(edges: DataFrame, vertices: DataFrame, radius: int = 1, top: int = 10, folder: str | None = None, resume: int | None = None) -> Hierarchy:
     """Dominators of dominators until at most ``top`` vertices are left or nothing shrinks; a root above all.
 
     Level 1 has the given radius, higher ones radius 1.  Ids follow the order of
     dominators within a level.  Dominators without neighbours become children of
     the root at once.  Every level is a written table, so a lost executor costs one
     level at most; the number of levels grows with the logarithm of the graph.
+
+    With a ``folder`` the levels stay there, and a build over the same graph goes on
+    after the last finished one, or after level ``resume`` (0 starts anew).
     """
-    e, v = staged(edges, "level-edges"), staged(vertices.select("id"), "level-vertices")
+    spark = vertices.sparkSession
+    saved = _Levels(spark, folder)
+    done = saved.last(resume)
+    first_id, level, size, ended = 0, 0, None, False
     nodes = child = piece = waiting = below = None
-    first_id, level, size = 0, 0, v.count()
+    e, v = edges, vertices.select("id")
+    if not done:
+        e, v = staged(e, "level-edges"), staged(v, "level-vertices")
+        size = v.count()
     add = lambda all_, more: more if all_ is None else all_.unionByName(more)
-    while True:
+    while not ended:
         level += 1
         reach = radius if level == 1 else 1
-        chosen = staged(graph.dominating_set(e, v, reach), "dominators")
-        pieces = staged(graph.assign_pieces(e, v, chosen, reach), "pieces")
-        new = staged(graph.renumber(chosen, "id").select((F.col("number") + first_id).alias("node"), F.col("id").alias("vertex")), "nodes")
-        n = new.count()
+        if level <= done:
+            parts = saved.read(level)
+            if level == 1:
+                size = vertices.count()
+            n = parts["nodes"].count()
+        else:
+            chosen = staged(graph.dominating_set(e, v, reach), "dominators")
+            pieces = staged(graph.assign_pieces(e, v, chosen, reach), "pieces")
+            new = staged(graph.renumber(chosen, "id").select((F.col("number") + first_id).alias("node"), F.col("id").alias("vertex")), "nodes")
+            n = new.count()
+            up = pieces.join(new.select("node", F.col("vertex").alias("dominator")), "dominator")
+            under = up.select(F.col("node").alias("parent"), F.col("id").alias("child")) if level == 1 else up.join(below.select(F.col("vertex").alias("id"), F.col("node").alias("child")), "id").select(F.col("node").alias("parent"), "child")
+            dom_edges = staged(graph.contract(e, pieces), "contracted")
+            alone = staged(new.join(dom_edges.select(F.col("src").alias("vertex")), "vertex", "left_anti"), "alone")
+            parts = saved.write(
+                level,
+                nodes=new.select(F.col("node").alias("id"), F.lit(level).alias("level"), "vertex"),
+                child=under,
+                waiting=alone.select("node"),
+                below=new.join(alone.select("vertex"), "vertex", "left_anti"),
+                edges=dom_edges,
+            )
         first_id += n
-        nodes = add(nodes, new.select(F.col("node").alias("id"), F.lit(level).alias("level"), "vertex"))
-        up = pieces.join(new.select("node", F.col("vertex").alias("dominator")), "dominator")
+        nodes, waiting = add(nodes, parts["nodes"]), add(waiting, parts["waiting"])
         if level == 1:
-            piece = up.select(F.col("node").alias("id"), F.col("id").alias("leaf"))
+            piece = parts["child"].toDF("id", "leaf")
         else:
-            child = add(child, up.join(below.select(F.col("vertex").alias("id"), F.col("node").alias("child")), "id").select(F.col("node").alias("parent"), "child"))
-        dom_edges = staged(graph.contract(e, pieces), "level-edges")
-        alone = new.join(dom_edges.select(F.col("src").alias("vertex")), "vertex", "left_anti")
-        waiting = add(waiting, alone.select("node"))
-        below = staged(new.join(alone.select("vertex"), "vertex", "left_anti"), "below")
-        e, v = dom_edges, below.select(F.col("vertex").alias("id"))
+            child = add(child, parts["child"])
+        below, e = parts["below"], parts["edges"]
+        v = below.select(F.col("vertex").alias("id"))
         left = v.count()
-        if left <= top or n >= size:
-            break
+        ended = left <= top or n >= size
         size = left
     waiting = add(waiting, below.select("node"))
-    root = vertices.sparkSession.range(1).select(F.lit(first_id).cast("long").alias("id"), F.lit(level + 1).alias("level"), F.lit(None).cast("long").alias("vertex"))
+    root = spark.range(1).select(F.lit(first_id).cast("long").alias("id"), F.lit(level + 1).alias("level"), F.lit(None).cast("long").alias("vertex"))
     to_root = waiting.select(F.lit(first_id).cast("long").alias("parent"), F.col("node").alias("child"))
     return Hierarchy(nodes.unionByName(root), add(child, to_root), piece)

@@ -70,6 +70,20 @@ def shadow_ratio(child: DataFrame, stats: DataFrame, piece: DataFrame, root: int
     return Regions(nodes, under, nodes.agg(F.count("*").alias("n_regions"), F.coalesce(F.sum("size"), F.lit(0)).alias("kmers")))
 
 
+def unassembled(child: DataFrame, stats: DataFrame, piece: DataFrame, root: int, threshold: float, depth: int, least: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The highest nodes of which a query contains at most ``threshold``: their table, and their leaves (region, leaf).
+
+    stats (id, kmers, weighted, shadow, matched).  The table holds all such nodes;
+    leaves are those of nodes with at least ``least`` k-mers.
+    """
+    top = hierarchy.first_below(child, stats, root, ratio(F.col("matched"), F.col("kmers")) <= threshold, depth)
+    table = staged(
+        top.select("id").join(stats, "id").select(F.col("id").alias("node_id"), ratio(F.col("matched"), F.col("kmers")).alias("contained"), F.col("kmers").alias("n_kmers"), F.col("weighted").alias("n_weighted_kmers"), ratio(F.col("weighted"), F.col("kmers")).alias("average_weight"), F.col("shadow").alias("shadow_size")),
+        "unassembled",
+    )
+    return table, leaves_under(child, table.where(F.col("n_kmers") >= least).select(F.col("node_id").alias("id")), piece, depth)
+
+
 def position_profile(queries: DataFrame, kmer_index: DataFrame, piece: DataFrame, info: DataFrame, k: int) -> DataFrame:
     """query, pos, var, neighbors, abund for every k-mer of every query (query, seq).
 

@@ -102,6 +102,20 @@ def lca(hits: DataFrame, group: str, ranks: list[str]) -> DataFrame:
     return agg.select(group, "rank", F.array_join(F.slice(F.array(*(F.col(f"l.{r}") for r in ranks)), F.lit(1), F.col("rank")), ";").alias("lineage"))
 
 
+def hash_lineages(sketches: DataFrame, lineages: DataFrame) -> DataFrame:
+    """hash, lineages (distinct, in order) and lca (the longest prefix that all share), from sketches (name, hash) and lineages (name, lineage array).
+
+    Hashes of unknown names are left out.  A hash holds no more lineages than there are.
+    """
+    each = sketches.select("name", "hash").distinct().join(lineages.select("name", "lineage"), "name").select("hash", "lineage").distinct()
+    all_ = each.groupBy("hash").agg(F.sort_array(F.collect_list("lineage")).alias("lineages"))
+    # sorted, so a prefix that the first and the last share is shared by all
+    a, z = F.element_at("lineages", 1), F.element_at("lineages", -1)
+    least = F.least(F.size(a), F.size(z))
+    apart = F.array_position(F.transform(F.slice(a, F.lit(1), least), lambda x, i: x == F.get(z, i)), False)
+    return all_.select("hash", "lineages", F.slice(a, F.lit(1), F.when(apart > 0, apart.cast("int") - 1).otherwise(least)).alias("lca"))
+
+
 def multiplicity(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """times (0, 1 or 2 for more), n: how often each key of the left side is found on the right."""
     found = left.select(key).distinct().join(right.groupBy(key).agg(F.count("*").alias("m")), key, "left")

@@ -61,6 +61,31 @@ def _not_adjacent(pairs: DataFrame, arcs: DataFrame, x: str, y: str) -> DataFram
     return pairs.join(either, [x, y], "left_anti")
 
 
+def augment(edges: DataFrame, radius: int) -> DataFrame:
+    """src, dst, weight: arcs that tell the distance of every two vertices up to ``radius`` apart.
+
+    Two such vertices have an arc of that weight, or arcs from one common vertex whose
+    weights add up to it.  Edges are oriented by degree first.  For each weight w from
+    2 on come arcs from u to x over u -> v -> x, then those between two tails of one
+    head, oriented by degree among themselves, where the weights add up to w and no arc
+    is there yet.
+    """
+    arcs = staged(orient_by_degree(edges).withColumn("weight", F.lit(1)), "arcs")
+    for w in range(2, radius + 1):
+        first = arcs.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("weight").alias("w1"))
+        then = arcs.select(F.col("src").alias("v"), F.col("dst").alias("x"), F.col("weight").alias("w2"))
+        over = _not_adjacent(first.join(then, "v").where((F.col("w1") + F.col("w2") == w) & (F.col("u") != F.col("x"))).select("u", "x").distinct(), arcs, "u", "x")
+        # of two arcs between the same vertices that from the smaller one stays
+        one = over.groupBy(F.least("u", "x").alias("a"), F.greatest("u", "x").alias("b")).agg(F.min("u").alias("src"))
+        new = one.select("src", (F.col("a") + F.col("b") - F.col("src")).alias("dst"), F.lit(w).alias("weight"))
+        arcs = staged(arcs.union(new), "arcs")
+        tail = lambda c, n: arcs.select(F.col("src").alias(c), F.col("dst").alias("h"), F.col("weight").alias(n))
+        pairs = tail("x", "w1").join(tail("y", "w2"), "h").where((F.col("w1") + F.col("w2") == w) & (F.col("x") < F.col("y"))).select("x", "y").distinct()
+        pairs = staged(_not_adjacent(pairs, arcs, "x", "y").toDF("src", "dst"), "tails")
+        arcs = staged(arcs.union(orient_by_degree(undirected(pairs)).withColumn("weight", F.lit(w))), "arcs")
+    return arcs
+
+
 def within_hops(edges: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:
     """id, hops of all vertices within ``radius`` edges of the seeds."""
     seen = seeds.select("id").distinct().withColumn("hops", F.lit(0))

@@ -21,16 +21,21 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     return rec.select(F.element_at(F.split(head, r"\s+", 2), 1).alias("name"), F.coalesce(F.try_element_at(F.split(head, r"\s+", 2), F.lit(2)), F.lit("")).alias("description"), F.regexp_replace(body, r"\s", "").alias("sequence"))
 
 
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """value, line (from 0): the lines of text files in the order of files and blocks."""
+    from ..operators.graph import renumber
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    return renumber(lines.withColumn("key", F.struct("file", "block", "i")), "key", "line").select("value", "line")
+
+
 def fastq(spark: SparkSession, path: str) -> DataFrame:
     """name, description, sequence, quality, number of strict four-line FASTQ records; a wrong mark or length raises.
 
     Lines are numbered over their file blocks in order, range-partitioned, and every
     four of them are folded into one record.
     """
-    from ..operators.graph import renumber
-
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
-    at = renumber(lines.withColumn("key", F.struct("file", "block", "i")), "key", "line")
+    at = _numbered(spark, path)
     rec = at.groupBy(F.floor(F.col("line") / 4).alias("number")).agg(F.sort_array(F.collect_list(F.struct((F.col("line") % 4).alias("k"), "value"))).alias("l"))
     line = lambda k: F.try_element_at(F.col("l.value"), F.lit(k + 1))
     wrong = (F.size("l") != 4) | ~F.startswith(line(0), F.lit("@")) | (line(2) != "+") | (F.length(line(1)) != F.length(line(3)))
@@ -59,6 +64,49 @@ def gxt(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.range(n), e.union(e.select("dst", "src")).distinct()
 
 
+def two_block_graph(spark: SparkSession, path: str, consecutive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """vertices (id, size, attributes) and edges (src, dst, attributes) of the older comma-separated graph file.
+
+    A header and one line per vertex, a blank line, a header and one line per edge; a
+    second blank line ends the file.  Fields beyond the second are attributes, named by
+    the header.  With ``consecutive`` ids are dense in the order in which they first come.
+    """
+    from ..operators._stage import staged
+    from ..operators.graph import renumber
+
+    at = staged(_numbered(spark, path).select("line", F.trim("value").alias("value")), "lines")
+    blank = [r.line for r in at.where("value = ''").orderBy("line").limit(2).collect()]
+    first = blank[0] if blank else at.count()
+    last = blank[1] if len(blank) > 1 else None
+    field = F.split("value", r"\s*,\s*")
+
+    def block(head: int, end: int | None) -> DataFrame:
+        row = at.where(F.col("line") == head).select(field.alias("f")).first()
+        names = (row.f if row else [])[2:]
+        inside = at.where((F.col("line") > head) & (F.col("line") < end if end is not None else F.lit(True))).select("line", field.alias("f"))
+        attributes = F.map_from_arrays(F.array(*(F.lit(n) for n in names)).cast("array<string>"), F.transform(F.sequence(F.lit(3), F.lit(2 + len(names))), lambda i: F.try_element_at("f", i)) if names else F.array().cast("array<string>"))
+        return inside.select("line", F.col("f")[0].cast("long").alias("a"), F.col("f")[1].cast("long").alias("b"), attributes.alias("attributes"))
+
+    v, e = block(0, first), block(first + 1, last)
+    if consecutive:
+        seen = v.select(F.struct("line", F.lit(0)).alias("at"), F.col("a").alias("old"))
+        for i, c in enumerate("ab"):
+            seen = seen.union(e.select(F.struct("line", F.lit(i)).alias("at"), F.col(c).alias("old")))
+        ids = staged(renumber(seen.groupBy("old").agg(F.min("at").alias("at")), "at").select("old", "number"), "ids")
+        moved = lambda df, c: df.join(ids.withColumnRenamed("old", c), c).drop(c).withColumnRenamed("number", c)
+        v, e = moved(v, "a"), moved(moved(e, "a"), "b")
+    return v.select(F.col("a").alias("id"), F.col("b").alias("size"), "attributes"), e.select(F.col("a").alias("src"), F.col("b").alias("dst"), "attributes")
+
+
+def lineages(spark: SparkSession, path: str) -> DataFrame:
+    """name, lineage (superkingdom to strain) of a CSV of accessions; empty ranks at the end are left out."""
+    ranks = "superkingdom phylum class order family genus species strain".split()  # fixed values of the format
+    rows = spark.read.csv(path, header=True)
+    names = F.array(*(F.coalesce(F.trim(f"`{r}`"), F.lit("")) for r in ranks))
+    known = F.size(F.split(F.regexp_replace(F.array_join(names, "\x1f"), "\x1f+$", ""), "\x1f"))
+    return rows.select(F.col("accession").alias("name"), F.filter(F.slice(names, F.lit(1), known), lambda x, i: (i > 0) | (x != "")).alias("lineage"))
+
+
 def mxt(spark: SparkSession, path: str) -> DataFrame:
     """vertex, hash (unsigned) of lines 'vertex h1 h2 ...'."""
     parts = F.split(F.trim("value"), r"\s+")

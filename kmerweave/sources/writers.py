@@ -88,6 +88,50 @@ def signature(sketch: DataFrame, path: str, ksize: int, max_hash: int, seed: int
     one.select(F.to_json(F.array(F.struct("name", sig.alias("signatures")))).alias("value")).write.mode("overwrite").text(path)
 
 
+def ordered_csv(df: DataFrame, path: str, *order: str) -> None:
+    """CSV with a header, the rows in order over as many files as Spark makes partitions; their names follow the order."""
+    (df.orderBy(*order) if order else df).write.mode("overwrite").csv(path, header=True, emptyValue="")
+
+
+def search_results(summary: DataFrame, path: str) -> None:
+    """One row per query of a search: its containment, similarity, size and overheads."""
+    # fixed column names
+    columns = "query containment similarity bp contigs ksize num_query_kmers best_containment cdbg_min_overhead catlas_min_overhead catlas_name".split()
+    ordered_csv(summary.select(*columns), path, "query")
+
+
+def abundances(nodes: DataFrame, levels: DataFrame, path: str) -> None:
+    """A sample's abundance of graph nodes (id, abund, size) and of dominators (dom_id, level, abund, size): cdbg_abund and dom_abund."""
+    ordered_csv(nodes.select(F.col("id").alias("cdbg_id"), "abund", F.col("size").alias("node_size")), f"{path}/cdbg_abund", "cdbg_id")
+    ordered_csv(levels.select("dom_id", "level", "abund", "size"), f"{path}/dom_abund", "level", "dom_id")
+
+
+def annotation(records: DataFrame, hits: DataFrame, path: str) -> None:
+    """Annotated records (record_number, record_name, ...) and the node ids of each (record_number, cdbg_id), one folder a record."""
+    ordered_csv(records, f"{path}/records", "record_number")
+    by_key(hits.select("record_number", "cdbg_id").distinct(), "record_number", f"{path}/ids")
+
+
+def annotation_hits(hits: DataFrame, path: str) -> None:
+    """hashval, catlas_base, filename, record_name of hashes in annotated neighbourhoods."""
+    ordered_csv(hits.select("hashval", "catlas_base", "filename", "record_name").distinct(), path, "hashval", "record_name")
+
+
+def unassembled(table: DataFrame, contigs: DataFrame, path: str) -> None:
+    """Node table with rounded shares and weights, and FASTA of contigs (id, region, seq) named by id and region."""
+    digits = {"contained": "%.3f", "n_weighted_kmers": "%.1f", "average_weight": "%.2f"}
+    shown = [F.format_string(digits[c], F.col(c).cast("double")).alias(c) if c in digits else F.col(c) for c in "node_id contained n_kmers n_weighted_kmers average_weight shadow_size".split()]
+    ordered_csv(table.select(*shown), f"{path}/nodes", "node_id")
+    sequences(contigs.select(F.concat_ws(" ", F.col("id").cast("string"), F.col("region").cast("string")).alias("name"), F.col("seq").alias("sequence")), f"{path}/contigs")
+
+
+def composition(counts: DataFrame, path: str) -> None:
+    """region, kmer, n as one row per region with a column per k-mer, and the list of regions; Parquet."""
+    names = [r.kmer for r in counts.select("kmer").distinct().orderBy("kmer").collect()]  # bounded by the alphabet and k
+    counts.groupBy("region").pivot("kmer", names).agg(F.sum("n")).na.fill(0).write.mode("overwrite").parquet(f"{path}/matrix")
+    counts.select("region").distinct().write.mode("overwrite").parquet(f"{path}/regions")
+
+
 def by_key(records: DataFrame, key: str, path: str) -> None:
     """Parquet with one folder per key, for results that are read one key at a time."""
     records.write.mode("overwrite").partitionBy(key).parquet(path)
