@@ -1,7 +1,9 @@
 """Sinks: graph, hierarchy, sequence, sketch and table files.
 
-Formats whose line order matters are ordered and written as one file each; tables
-that only feed later stages should stay Parquet.
+Formats whose line order matters are sorted over range partitions, and the names of
+the part files follow that order: joined, they are the file.  CSV files with a header
+have it in every part, as Spark reads them.  A small table is one part.  Tables that
+only feed later stages should stay Parquet.
 """
 
 from __future__ import annotations
@@ -11,8 +13,8 @@ from pyspark.sql import functions as F
 
 
 def _lines(df: DataFrame, path: str, compression: str | None = None) -> None:
-    """Text lines of an ordered single-column table, as one file."""
-    df.coalesce(1).write.mode("overwrite").text(path, compression=compression)
+    """Text lines of an ordered single-column table."""
+    df.write.mode("overwrite").text(path, compression=compression)
 
 
 def gxt(edges: DataFrame, vertices: DataFrame, path: str) -> None:
@@ -47,7 +49,7 @@ def hierarchy(nodes: DataFrame, child: DataFrame, path: str) -> None:
     """'id,vertex,level,children' lines, children ascending."""
     below = child.groupBy(F.col("parent").alias("id")).agg(F.array_join(F.sort_array(F.collect_list("child")), " ").alias("children"))
     rows = nodes.join(below, "id", "left").orderBy("id").select("id", "vertex", "level", F.coalesce("children", F.lit("")).alias("children"))
-    rows.coalesce(1).write.mode("overwrite").csv(path, emptyValue="")
+    rows.write.mode("overwrite").csv(path, emptyValue="")
 
 
 def pieces(piece: DataFrame, path: str) -> None:
@@ -59,7 +61,7 @@ def pieces(piece: DataFrame, path: str) -> None:
 def node_info(info: DataFrame, path: str) -> None:
     """contig_id, offset (always 0), mean_abund with three digits, n_kmers."""
     rows = info.orderBy("id").select(F.col("id").alias("contig_id"), F.lit(0).alias("offset"), F.format_string("%.3f", F.col("abund").cast("double")).alias("mean_abund"), "n_kmers")
-    rows.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    rows.write.mode("overwrite").csv(path, header=True)
 
 
 def id_list(ids: DataFrame, path: str, as_text: bool = False, compression: str | None = "gzip") -> None:
@@ -71,7 +73,7 @@ def response(curve: DataFrame, path: str) -> None:
     """The response curve with its header, space-separated, in place order: running and own figures of every node."""
     # fixed column names
     rows = curve.orderBy("place").select("sum_cont", "relative_cont", F.col("relative_oh").alias("relative_overhead"), F.col("cont").alias("sum_cont2"), F.col("oh").alias("sum_oh"), F.col("id").alias("catlas_id"))
-    rows.coalesce(1).write.mode("overwrite").csv(path, sep=" ", header=True)
+    rows.write.mode("overwrite").csv(path, sep=" ", header=True)
 
 
 def sequences(records: DataFrame, path: str, compression: str | None = None) -> None:
