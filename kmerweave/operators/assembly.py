@@ -49,13 +49,13 @@ def _follow(pointer: DataFrame) -> DataFrame:
     left = None
     while True:
         far = now.select(F.col("number").alias("head"), F.col("head").alias("head2"), F.col("steps").alias("steps2"), F.col("low").alias("low2"))
-        now = staged(now.join(far, "head").select("number", F.col("head2").alias("head"), (F.col("steps") + F.col("steps2")).alias("steps"), F.least("low", "low2").alias("low")), "pointers")
-        starts = now.where("head = number and steps = 0").select(F.col("number").alias("head"))
-        open_ = now.join(starts, "head", "left_anti").agg(F.count("*"), F.min("steps")).first()
-        # on cycles alone every pointer has gone further than there are vertices left
-        if open_[0] == 0 or (left == open_[0] and open_[1] > open_[0]):
+        now = staged(now.join(far, "head").select("number", F.col("head2").alias("head"), (F.col("steps") + F.col("steps2")).alias("steps"), F.least("low", "low2").alias("low"), (F.col("steps2") > 0).alias("moved")), "pointers")
+        moved = now.where("moved").agg(F.count("*"), F.min("steps")).first()
+        now = now.drop("moved")
+        # on open paths fewer move each round, so where as many moved as before they are on cycles, and have gone round once there are fewer of them than steps
+        if moved[0] == 0 or (left == moved[0] and moved[1] > moved[0]):
             return now
-        left = open_[0]
+        left = moved[0]
 
 
 def compact(counts: DataFrame, k: int) -> Unitigs:
