@@ -19,10 +19,10 @@ CHUNK_BYTES = 2_000_000
 
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
-_BYTE_KEYS = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 2**64)
+_LANE_SEED, _LENGTH_KEY = _RNG.integers(1, 2**63, 2, dtype=np.uint64) | _U(1)
 _POS_KEYS = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | _U(1)
+#: Masks of the first 0 to 8 bytes of a lane.
+_FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
 
 
 def whitespace_table() -> np.ndarray:
@@ -54,25 +54,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-_pows: tuple[np.ndarray, np.ndarray] = (np.ones(1, _U), np.ones(1, _U))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n; kept between calls up to CHUNK_BYTES."""
-    global _pows
-    if _pows[0].size > n:
-        return _pows
-    size = max(n + 1, min(CHUNK_BYTES + 1, 2 * n))
-    out = []
-    for base in (_BASE, _BASE_INV):
-        p = np.full(size, base, _U)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    if size <= 4 * CHUNK_BYTES:
-        _pows = (out[0], out[1])
-    return out[0], out[1]
-
-
 @dataclass
 class Words:
     """Words of some texts: byte spans, and for each text its first word and count."""
@@ -93,14 +74,25 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(self.count.size), self.count)
 
+    def lanes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every word as 8-byte numbers, the last one filled with zeros: the numbers of all words in a row, the place of each within its word, and where each word's begin."""
+        size = self.ends - self.starts
+        n = (size + 7) >> 3
+        begin = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) - np.repeat(begin, n)
+        # a view of 8 bytes from every byte on
+        padded = np.append(self.data, np.zeros(8, np.uint8))
+        every = np.ndarray(self.data.size + 1, "<u8", padded, strides=(1,))
+        left = np.repeat(size, n) - 8 * at
+        return every[np.repeat(self.starts, n) + 8 * at] & _FIRST_BYTES[np.minimum(left, 8)], at, begin
+
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of every word."""
-        p, q = _powers(self.data.size)
-        pre = np.empty(self.data.size + 1, _U)
-        pre[0] = 0
-        np.cumsum(_BYTE_KEYS[self.data] * p[: self.data.size], out=pre[1:])
-        h = (pre[self.ends] - pre[self.starts]) * q[self.starts]
-        return mix(h + (self.ends - self.starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+        """A 64-bit hash of every word: its lanes are mixed each with its place before they are summed, so no pattern of letters cancels out."""
+        if not self.starts.size:
+            return np.zeros(0, _U)
+        value, at, begin = self.lanes()
+        h = mix(value ^ mix((at + 1).astype(_U) * _LANE_SEED))
+        return mix(np.add.reduceat(h, begin) + (self.ends - self.starts).astype(_U) * _LENGTH_KEY)
 
     def words(self) -> list[bytes]:
         raw = self.data.tobytes()
