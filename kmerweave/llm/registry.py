@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, line_dedup, lm_score, packing, quality, secret_scan, topk, toxicity
+from . import decontaminate, jaccard, language, line_dedup, lm_score, mixing, packing, quality, secret_scan, topk, toxicity
 
 QUERIES = {
     "op1_secrets": secret_scan.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.query,
     "op9_line_dedup": line_dedup.query,
     "op10_packing": packing.query,
+    "op11_mixing": mixing.query,
 }
 
 ORACLES = {
