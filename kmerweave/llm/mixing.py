@@ -15,8 +15,8 @@ by the bracket's middle.  Multipliers, targets and counts stay tables; one numbe
 
 Copies: the running sum of rates over a source's sizes, longest first, is rounded
 at every size, so a source misses its target by half its longest document at most.
-Then single copies of the size nearest to what is missing are added or taken away,
-which leaves a few words.  Documents of one size and source share its copies in
+Then copies are added or taken away, of the longest that fit first, until a few
+words are missing.  Documents of one size and source share its copies in
 hash order of their ids, so reruns agree.
 
 Defined cases: a null or empty text has size 0 and nothing is taken; a null source
@@ -45,7 +45,7 @@ PARTS = 256
 BROADCAST_ROWS = 500_000
 #: Relative error of a source's words at which Newton's iterations end, and their bound (halving alone needs fewer).
 TOLERANCE, ITERATIONS = 1e-9, 200
-#: Rounds in which every source adds or drops one copy.
+#: Rounds in which sources add or drop copies; each leaves less than one document of those it moved.
 CORRECTIONS = 3
 
 
@@ -139,17 +139,26 @@ def copies(cells: DataFrame, wanted: DataFrame, most: int = MOST) -> DataFrame:
     before = F.coalesce(F.lag("upto").over(Window.partitionBy("source").orderBy(F.desc("size"))), F.lit(0))
     k = F.greatest(F.lit(0), F.least(F.col("upto") - before, most * F.col("n")))
     now = staged(upto_all.select("source", "size", "n", "target", k.cast("long").alias("k")), "copies")
-    for _ in range(CORRECTIONS):
+    gap, sign = F.abs("missing"), F.signum("missing").cast("long")
+    room = F.when(F.col("missing") > 0, most * F.col("n") - F.col("k")).otherwise(F.col("k"))
+    ahead = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    for nearest in [False] * CORRECTIONS + [True]:
         missing = now.groupBy("source").agg((F.max("target") - F.sum(F.col("k") * F.col("size"))).alias("missing"))
         side = _side(staged(missing.withColumnRenamed("source", "_source"), "missing"))
-        sign = F.signum("missing").cast("long")
-        room = F.when(F.col("missing") > 0, F.col("k") < most * F.col("n")).otherwise(F.col("k") > 0)
-        left = F.abs(F.abs(F.col("missing")) - F.col("size"))
-        best = now.join(side, _same(F.col("source"), F.col("_source"))).where(room & (left < F.abs("missing"))).groupBy("source").agg(F.min(F.struct(left.alias("left"), F.col("size").alias("size"), sign.alias("sign"))).alias("b"))
-        best = _side(staged(best.select(F.col("source").alias("_source"), F.col("b.size").alias("_size"), F.col("b.sign").alias("sign")), "corrections"))
+        open_ = now.join(side, _same(F.col("source"), F.col("_source"))).withColumn("room", room).where("room > 0")
+        if nearest:
+            left = F.abs(gap - F.col("size"))
+            best = open_.where(left < gap).groupBy("source").agg(F.min(F.struct(left.alias("left"), F.col("size").alias("size"), sign.alias("more"))).alias("b")).select("source", "b.size", "b.more")
+        else:
+            # as many copies of the longest that fit as there are, then of the next
+            used = F.coalesce(F.sum(F.col("room") * F.col("size")).over(ahead), F.lit(0))
+            best = open_.where(F.col("size") <= gap).withColumn("more", F.least("room", F.floor((gap - used) / F.col("size")))).where("more > 0").select("source", "size", (F.col("more") * sign).alias("more"))
+        best = staged(best.toDF("_source", "_size", "more"), "corrections")
+        if best.isEmpty():
+            continue
         last = now
         at = _same(F.col("source"), F.col("_source")) & (F.col("size") == F.col("_size"))
-        now = staged(now.join(best, at, "left").select("source", "size", "n", "target", (F.col("k") + F.coalesce("sign", F.lit(0))).alias("k")), "copies")
+        now = staged(now.join(_side(best), at, "left").select("source", "size", "n", "target", (F.col("k") + F.coalesce("more", F.lit(0))).cast("long").alias("k")), "copies")
         drop(last)
     return now.select("source", "size", "n", "k")
 
