@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, line_dedup, lm_score, mixing, packing, quality, secret_scan, topk, toxicity
+from . import decontaminate, importance, jaccard, language, line_dedup, lm_score, mixing, packing, quality, secret_scan, topk, toxicity
 
 QUERIES = {
     "op1_secrets": secret_scan.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.query,
     "op10_packing": packing.query,
     "op11_mixing": mixing.query,
+    "op12_importance": importance.query,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op4_ngram_jaccard": jaccard.SQL,
     "op8_decontamination": decontaminate.SQL,
     "op9_line_dedup": line_dedup.SQL,
+    "op12_importance": importance.SQL,
 }
