@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, importance, jaccard, language, line_dedup, lm_score, mixing, packing, quality, secret_scan, topk, toxicity
+from . import alignment, decontaminate, importance, jaccard, language, line_dedup, lm_score, mixing, packing, quality, secret_scan, topk, toxicity
 
 QUERIES = {
     "op1_secrets": secret_scan.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_packing": packing.query,
     "op11_mixing": mixing.query,
     "op12_importance": importance.query,
+    "op13_alignment": alignment.query,
 }
 
 ORACLES = {
