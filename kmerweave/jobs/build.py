@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from ..operators._stage import staged
+from ..operators._stage import drop, staged
 
 
 @dataclass
@@ -101,6 +101,7 @@ def build_hierarchy(edges: DataFrame, vertices: DataFrame, radius: int = 1, top:
                 below=new.join(alone.select("vertex"), "vertex", "left_anti"),
                 edges=dom_edges,
             )
+            drop(chosen, pieces, new, dom_edges, alone)
         first_id += n
         nodes, waiting = add(nodes, parts["nodes"]), add(waiting, parts["waiting"])
         if level == 1:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._stage import staged
+from ._stage import Parts, counted, drop, staged
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -61,16 +63,17 @@ def _not_adjacent(pairs: DataFrame, arcs: DataFrame, x: str, y: str) -> DataFram
     return pairs.join(either, [x, y], "left_anti")
 
 
-def augment(edges: DataFrame, radius: int) -> DataFrame:
+def augment(edges: DataFrame, radius: int, orient: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """src, dst, weight: arcs that tell the distance of every two vertices up to ``radius`` apart.
 
     Two such vertices have an arc of that weight, or arcs from one common vertex whose
-    weights add up to it.  Edges are oriented by degree first.  For each weight w from
-    2 on come arcs from u to x over u -> v -> x, then those between two tails of one
-    head, oriented by degree among themselves, where the weights add up to w and no arc
-    is there yet.
+    weights add up to it.  Edges are oriented first, by degree or as ``orient`` does.  For
+    each weight w from 2 on come arcs from u to x over u -> v -> x, then those between
+    two tails of one head, oriented alike among themselves, where the weights add up to w
+    and no arc is there yet.
     """
-    arcs = staged(orient_by_degree(edges).withColumn("weight", F.lit(1)), "arcs")
+    orient = orient or orient_by_degree
+    arcs = staged(orient(edges).withColumn("weight", F.lit(1)), "arcs")
     for w in range(2, radius + 1):
         first = arcs.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("weight").alias("w1"))
         then = arcs.select(F.col("src").alias("v"), F.col("dst").alias("x"), F.col("weight").alias("w2"))
@@ -82,7 +85,7 @@ def augment(edges: DataFrame, radius: int) -> DataFrame:
         tail = lambda c, n: arcs.select(F.col("src").alias(c), F.col("dst").alias("h"), F.col("weight").alias(n))
         pairs = tail("x", "w1").join(tail("y", "w2"), "h").where((F.col("w1") + F.col("w2") == w) & (F.col("x") < F.col("y"))).select("x", "y").distinct()
         pairs = staged(_not_adjacent(pairs, arcs, "x", "y").toDF("src", "dst"), "tails")
-        arcs = staged(arcs.union(orient_by_degree(undirected(pairs)).withColumn("weight", F.lit(w))), "arcs")
+        arcs = staged(arcs.union(orient(undirected(pairs)).withColumn("weight", F.lit(w))), "arcs")
     return arcs
 
 
@@ -92,23 +95,25 @@ def within_hops(edges: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:
     front = seen
     for r in range(1, radius + 1):
         front = edges.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hops", F.lit(r))
-        front = staged(front, "front")
+        # one hop needs no table, as nothing reads it twice
+        front = staged(front, "front") if radius > 1 else front
         seen = seen.union(front)
     return seen
 
 
 def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """id, component (its smallest vertex) by alternating large and small stars."""
-    e = staged(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b").distinct(), "star")
-    before = None
+    e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b").distinct()
+    last, before = None, None
     while True:
         both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        e = staged(small.distinct(), "star")
-        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+        e, seen = counted(small.distinct(), "star", x=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+        drop(last)
+        last, now = e, tuple(seen)
         if now == before:
             break
         before = now
@@ -117,33 +122,44 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def peel_order(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """id, round: all vertices of at most the least degree left go together, until none is left.
+    """id, round, degree: in every round all vertices of at most twice the average degree left go, until none is left.
 
-    Orienting every edge from the later to the earlier vertex (ties by id) gives an
-    acyclic graph of low in-degree.
+    At least half the vertices go in a round, so there are no more rounds than the
+    logarithm of their number, whatever the graph, and all rounds together read a small
+    multiple of its edges.  A vertex that goes has at most twice the average degree of
+    what is left, which is at most four times the graph's degeneracy.
     """
-    left = staged(vertices.select("id"), "peel")
-    live = staged(edges, "peel-edges")
-    out, bound, round_ = None, 0, 0
+    out = Parts(vertices.sparkSession, "id long, round int, degree long", "peeled")
+    left, live, round_ = staged(vertices.select("id"), "peel"), staged(edges.select("src", "dst"), "peel-edges"), 0
     while True:
-        d = staged(degrees(live, left), "degrees")
-        least = d.agg(F.min("degree")).first()[0]
-        if least is None:
-            return out if out is not None else vertices.select("id", F.lit(0).alias("round"))
-        bound, round_ = max(bound, least), round_ + 1
-        gone = d.where(F.col("degree") <= bound).select("id", F.lit(round_).alias("round"))
-        out = gone if out is None else out.union(gone)
-        left = staged(left.join(gone, "id", "left_anti"), "peel")
-        keep = lambda e, c: e.join(gone.select(F.col("id").alias(c)), c, "left_anti")
-        live = staged(keep(keep(live, "src"), "dst").select("src", "dst"), "peel-edges")
+        d, seen = counted(degrees(live, left), "degrees", m=F.sum("degree"))
+        if not seen.n:
+            drop(d, left, live)
+            return out.read()
+        most, round_ = 2 * seen.m // seen.n, round_ + 1
+        out.add(d.where(F.col("degree") <= most).select("id", F.lit(round_).alias("round"), "degree"))
+        old = (d, left, live)
+        left = staged(d.where(F.col("degree") > most).select("id"), "peel")
+        end = lambda c: left.select(F.col("id").alias(c))
+        live = staged(live.join(end("src"), "src", "left_semi").join(end("dst"), "dst", "left_semi").select("src", "dst"), "peel-edges")
+        drop(*old)
 
 
 def orient(edges: DataFrame, order: DataFrame) -> DataFrame:
-    """Arcs of an undirected graph from the later to the earlier vertex of a peeling order."""
-    at = lambda c: order.select(F.col("id").alias(c), F.struct("round", "id").alias(f"{c}_at"))
+    """Arcs of an undirected graph from the later to the earlier vertex of a peeling order (round, then degree, then id): acyclic, and few come in anywhere."""
+    at = lambda c: order.select(F.col("id").alias(c), F.struct("round", "degree", "id").alias(f"{c}_at"))
     return edges.join(at("src"), "src").join(at("dst"), "dst").where("src_at > dst_at").select("src", "dst")
 
 
+def low_degree_arcs(edges: DataFrame) -> DataFrame:
+    """The acyclic orientation of an undirected graph by its peeling order: no vertex has more arcs coming in than four times the degeneracy."""
+    e = staged(edges.select("src", "dst"), "edges")
+    order = peel_order(e, e.select(F.col("src").alias("id")).distinct())
+    out = staged(orient(e, order), "arcs")
+    drop(e, order)
+    return out
+
+
 def orient_by_degree(edges: DataFrame) -> DataFrame:
     """Arcs of an undirected graph from the vertex of larger degree (then id) to that of smaller: no vertex has more than the root of twice the edges coming in."""
     at = lambda c: degrees(edges).select(F.col("id").alias(c), F.struct("degree", "id").alias(f"{c}_at"))
@@ -151,23 +167,54 @@ def orient_by_degree(edges: DataFrame) -> DataFrame:
 
 
 def dominating_set(edges: DataFrame, vertices: DataFrame, radius: int = 1) -> DataFrame:
-    """id of a set that dominates within ``radius`` edges, its members further apart: the greedy one in the order of degree (high first), then id.
-
-    In each round every undecided vertex that comes before all undecided vertices
-    within the radius is chosen and these are covered; this gives the same set as
-    visiting one vertex after the other.  Paths lead through decided vertices too.
+    """id, promoted, round: a set that dominates all vertices within ``radius`` edges.
+
+    Vertices come in falling order of the arcs that lead into them in the low-degree
+    orientation (for larger radii, with the augmented arcs), so those at the rim first;
+    ties are broken by a hash of the id, which keeps rounds few on paths and grids too.
+    In each round every undecided vertex that comes before all undecided vertices within
+    the radius is a candidate.  A vertex with arcs to more than ``(2 * radius) ** 2``
+    candidates and members is promoted: it becomes a member itself and takes the place
+    of the candidates within its radius.  Candidates that are left become members, and
+    what members reach is decided.  Paths lead through decided vertices too.
+
+    Members that aren't promoted are further apart than the radius.
     """
-    left = staged(degrees(edges, vertices).select("id", F.struct((-F.col("degree")).alias("d"), F.col("id").alias("i")).alias("at")), "undecided")
-    chosen = None
-    while not left.isEmpty():
+    spark = vertices.sparkSession
+    e = staged(edges.select("src", "dst"), "domset-edges")
+    arcs = low_degree_arcs(e) if radius == 1 else staged(augment(e, radius, low_degree_arcs).where(F.col("weight") <= radius), "domset-arcs")
+    into = arcs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("into"))
+    at = F.struct((-F.coalesce("into", F.lit(0))).alias("d"), F.xxhash64("id").alias("h"), F.col("id").alias("i"))
+    left, seen = counted(vertices.select("id").join(into, "id", "left").select("id", at.alias("at")), "undecided")
+    most = (2 * radius) ** 2
+    busy = arcs.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > most).select("src")
+    hubs, some = counted(arcs.join(busy, "src", "left_semi").select("src", "dst"), "hub-arcs")
+    members, round_ = Parts(spark, "id long, promoted boolean, round int", "members"), 0
+    tally = spark.createDataFrame([], "src long, n long")
+    drop(arcs)
+    while seen.n:
         first = left
         for _ in range(radius):
-            near = edges.join(first.select(F.col("id").alias("src"), "at"), "src").select(F.col("dst").alias("id"), "at")
+            near = e.join(first.select(F.col("id").alias("src"), "at"), "src").select(F.col("dst").alias("id"), "at")
             first = first.union(near).groupBy("id").agg(F.min("at").alias("at"))
-        new = staged(left.join(first, ["id", "at"], "left_semi").select("id"), "chosen")
-        chosen = new if chosen is None else chosen.union(new)
-        left = staged(left.join(within_hops(edges, new, radius), "id", "left_anti"), "undecided")
-    return vertices.select("id").limit(0) if chosen is None else chosen
+        new = candidates = staged(left.join(first, ["id", "at"], "left_semi").select("id", F.lit(False).alias("promoted")), "candidates")
+        spent = [left, candidates]
+        if some.n:
+            hits = hubs.join(candidates.select(F.col("id").alias("dst")), "dst").groupBy("src").agg(F.count("*").alias("n"))
+            over = tally.union(hits).groupBy("src").agg(F.sum("n").alias("n")).where(F.col("n") > most).select(F.col("src").alias("id"))
+            risen, up = counted(over.join(members.read(), "id", "left_anti").select("id", F.lit(True).alias("promoted")), "promoted")
+            if up.n:
+                new = staged(candidates.join(within_hops(e, risen, radius), "id", "left_anti").union(risen), "new")
+                spent.append(new)
+            kept = hubs.join(new.where("not promoted").select(F.col("id").alias("dst")), "dst").groupBy("src").agg(F.count("*").alias("n"))
+            spent += [risen, tally]
+            tally = staged(tally.union(kept).groupBy("src").agg(F.sum("n").alias("n")), "tally")
+        round_ += 1
+        members.add(new.withColumn("round", F.lit(round_)))
+        left, seen = counted(left.join(within_hops(e, new, radius), "id", "left_anti"), "undecided")
+        drop(*spent)
+    drop(e, hubs, left)
+    return members.read()
 
 
 def assign_pieces(edges: DataFrame, vertices: DataFrame, dominators: DataFrame, radius: int = 1) -> DataFrame:

@@ -16,14 +16,12 @@ def test_hierarchy_at_radius_two(spark):
             adj[a].add(b)
             adj[b].add(a)
     near = {i: {i} | adj[i] | {y for x in adj[i] for y in adj[x]} for i in range(n)}
-    chosen = set()
-    for i in sorted(range(n), key=lambda i: (-len(adj[i]), i)):
-        if not near[i] & chosen:
-            chosen.add(i)
+    e = graph.undirected(spark.createDataFrame(pairs, "src long, dst long"))
+    chosen = {r.id for r in graph.dominating_set(e, spark.range(n), 2).collect()}
+    assert all(near[i] & chosen for i in range(n))
     piece = {i: i for i in chosen}
     for _ in range(2):
         piece = {i: min(piece[x] for x in adj[i] & piece.keys()) for i in range(n) if i not in piece and adj[i] & piece.keys()} | piece
-    e = graph.undirected(spark.createDataFrame(pairs, "src long, dst long"))
     h = build_hierarchy(e, spark.range(n), radius=2, top=len(chosen))  # one level and the root
     vertex = {r.id: r.vertex for r in h.nodes.where("level = 1").collect()}
     assert set(vertex.values()) == chosen
