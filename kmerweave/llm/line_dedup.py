@@ -1,24 +1,23 @@
 """Removal of repeated line runs, with DataFrame functions alone.
 
 The lines of every document are a sequence of line ids; together they are the
-text of a generalised suffix array.  Prefix doubling names blocks of 1, 2, 4, ...
-lines: the name of a block of 2**(j+1) lines is made of the names of its halves.
-Suffixes with one name at depth 2**j are an interval of the suffix array whose
-longest common prefix has that many lines; two overlapping blocks name a run of
-any length, so a run's name is its LCP interval.  The order of suffixes within
-an interval plays no part, so names are 64-bit hashes rather than dense ranks and
-need no global sort.
-
-A maximal repeated run of ``min_words`` words or more is the union of the
-shortest such runs that start at its lines and the shortest that end at its
-lines, and each of these lies in the same interval as its counterparts.  So only
-these two runs per line are named and grouped; of each group the first run in
-(doc_id, position) order stays and the lines of the later ones are deleted.
-
-Lines that occur once in the corpus end all runs and leave the data first.  One
-shuffle by document then serves all doubling steps (a shortest run has at most
-``min_words`` lines, so their number doesn't grow with the input), one shuffle by
-name finds the first copies; both aggregate before they shuffle.
+text of a generalised suffix array.  Prefix doubling ranks the blocks of 1, 2, 4, ...
+lines from every line on: the rank of a block of 2**(j+1) lines is the dense number, in
+sorted order, of the pair of its halves' ranks.  Every round sorts the distinct pairs by
+range partitions and joins their numbers back.  A block that occurs once is a unique
+suffix at its depth and leaves the rounds, so each round is smaller than the one before.
+
+Suffixes of one rank at depth 2**j are an interval of the suffix array whose longest
+common prefix has that many lines, and an interval of any other depth is that of two
+overlapping blocks.  A maximal repeated run of ``min_words`` words or more is the union
+of the shortest such runs that start at its lines and the shortest that end at its
+lines, and each of these lies in the same interval as its counterparts.  So the
+intervals of these two runs per line are looked up; in each the first run in
+(doc_id, position) order stays and the lines of the later ones are deleted.  A shortest
+run has at most ``min_words`` lines, so the number of rounds doesn't grow with the input.
+
+Lines that occur once in the corpus end all runs and leave the data first.  A line's
+identity is 128 bits of two hashes with different seeds; all further names are exact.
 
 Defined cases: a null text stays null; blank lines have no words, take no part in
 comparison and go with a shortest run that they lie in; runs may overlap their own
@@ -33,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import named, staged, table
+from ._shared import drop, named, staged, table
 
 MIN_WORDS = 50
 
@@ -41,7 +40,7 @@ MIN_WORDS = 50
 def _lines(docs: DataFrame) -> DataFrame:
     """One row per line with words: document (id and text hashes), seq among such lines, pos among all, id, words."""
     marked = F.filter(
-        F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x).alias("id"), F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")).alias("words"))),
+        F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")).alias("id"), F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")).alias("words"))),
         lambda s: s.words > 0,
     )
     # repeated rows are one document: their lines are equal in all columns
@@ -52,21 +51,42 @@ def _document() -> Column:
     return F.struct(F.col("doc_id"), F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"))
 
 
+def _numbered(df: DataFrame, *key: str) -> DataFrame:
+    """Dense numbers from 1 in the order of ``key``: range partitions, their counts, and a number within each."""
+    ranged = staged(df.repartitionByRange(*key).withColumn("part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))  # one row per partition
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return ranged.join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(*key))).drop("part", "before")
+
+
+def _block_ranks(kept: DataFrame, levels: int) -> DataFrame:
+    """The lines with n0, n1, ...: the rank of the block of 2**j lines from each on among all such blocks of the corpus; null where the island ends before, or the block occurs once."""
+    now = staged(kept.select("d", "island", "seq", F.col("n0").alias("rank")), "ranks-0")
+    out = kept
+    for j in range(levels - 1):
+        ahead = now.select("d", "island", (F.col("seq") - 2**j).alias("seq"), F.col("rank").alias("second"))
+        pairs = staged(now.withColumnRenamed("rank", "first").join(ahead, ["d", "island", "seq"]), "pairs")
+        # how often a pair comes is summed up before the shuffle, so a frequent one is few rows
+        repeated = pairs.groupBy("first", "second").agg(F.count("*").alias("n")).where("n > 1").select("first", "second")
+        numbers = staged(_numbered(repeated, "first", "second"), "numbers")
+        now = staged(pairs.join(numbers, ["first", "second"]).select("d", "island", "seq", "rank"), f"ranks-{j + 1}")
+        out = out.join(now.withColumnRenamed("rank", f"n{j + 1}"), ["d", "island", "seq"], "left")
+        drop(pairs)
+        drop(numbers)
+    return out
+
+
 def _runs(lines: DataFrame, min_words: int) -> DataFrame:
     """The shortest runs of min_words words from each line on and up to each line: d, first and last line, name."""
     # both sides of the join are read from tables, so Spark can split a line that is very frequent
-    repeated = staged(lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
-    kept = lines.join(repeated, "id")
+    repeated = staged(_numbered(lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "id"), "repeated")
+    kept = lines.join(repeated, "id").withColumnRenamed("rank", "n0").drop("id")
     by_doc = Window.partitionBy("d").orderBy("seq")
-    kept = kept.withColumn("island", F.col("seq") - F.row_number().over(by_doc))
+    kept = staged(kept.withColumn("island", F.col("seq") - F.row_number().over(by_doc)), "kept")
     own = Window.partitionBy("d", "island").orderBy("seq")
     whole = Window.partitionBy("d", "island").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    levels = range(max(0, min_words - 1).bit_length() + 1)
-    # doubling: n0 is the line, n(j+1) joins n(j) here and 2**j lines on
-    kept = kept.withColumn("n0", F.col("id"))
-    for j in levels[:-1]:
-        ahead = F.lead(f"n{j}", 2**j).over(own)
-        kept = kept.withColumn(f"n{j + 1}", F.when(ahead.isNotNull(), F.xxhash64(f"n{j}", ahead, F.lit(j))))
+    levels = range(max(1, min_words).bit_length())  # the last is that of the longest block in a run of min_words lines
+    kept = _block_ranks(kept, len(levels))
     # blocks by their last line; words are counted up to min_words a line, which changes no shortest run
     kept = kept.select("d", "island", "seq", "pos", F.least("words", F.lit(min_words)).alias("words"), F.array(*(F.col(f"n{j}") for j in levels)).alias("from_here"), F.array(*(F.lag(f"n{j}", 2**j - 1).over(own) for j in levels)).alias("to_here"))
     kept = kept.withColumn("upto", F.sum("words").over(own).cast("long")).withColumn("before", F.col("upto") - F.col("words"))
@@ -85,7 +105,9 @@ def _runs(lines: DataFrame, min_words: int) -> DataFrame:
     length = F.col("z.seq") - F.col("a.seq") + 1
     depth = F.floor(F.log2(length + F.lit(0.5))).cast("int") + 1
     name = F.struct(length.alias("length"), F.element_at("a.names", depth).alias("head"), F.element_at("z.names", depth).alias("tail"))
-    return runs.select("d", F.col("a.seq").alias("seq"), F.col("a.pos").alias("first"), F.col("z.pos").alias("last"), name.alias("name"))
+    # a run that holds a block of one occurrence has no copy
+    named = runs.select("d", F.col("a.seq").alias("seq"), F.col("a.pos").alias("first"), F.col("z.pos").alias("last"), name.alias("name"))
+    return named.where("name.head is not null and name.tail is not null")
 
 
 def removed_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -78,3 +78,47 @@ def test_plan_has_no_python(spark):
     d = spark.createDataFrame(cases(), "doc_id long, text string")
     plan = ld.dedup_lines(d, 10)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def shortest_runs(rows, least):
+    """The rule with blank lines: shortest runs from and up to each line, named by their lines; the first copy in order of document and place stays."""
+    docs = sorted({(d, t) for d, t in rows if t is not None}, key=lambda r: r[0])
+    runs = []
+    for n, r in enumerate(docs):
+        ls = [(p, x) for p, x in enumerate(r[1].split("\n")) if x.split()]
+        upto = lambda i, j: sum(len(x.split()) for _, x in ls[i : j + 1])  # noqa: B023, E731
+        ends = {(i, min((j for j in range(i, len(ls)) if upto(i, j) >= least), default=None)) for i in range(len(ls))}
+        ends |= {(max((i for i in range(j + 1) if upto(i, j) >= least), default=None), j) for j in range(len(ls))}
+        runs += [(n, i, ls[i][0], ls[j][0], tuple(x for _, x in ls[i : j + 1])) for i, j in ends if i is not None and j is not None]
+    first, gone = {}, {}
+    for n, i, p, q, name in sorted(runs, key=lambda r: r[:2]):
+        if first.setdefault(name, (n, i)) != (n, i):
+            gone.setdefault(docs[n], set()).update(range(p, q + 1))
+    return sorted(((d, t if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone.get((d, t), ()))) for d, t in rows), key=repr)
+
+
+def test_blank_lines(spark):
+    rows = cases()
+    big = " ".join(f"b{i}" for i in range(12))
+    rows += [(200 + i, f"{big}\n\n  \n{big[::-1]}\n\nend{i}\n\n{big}") for i in range(3)]
+    rows += [(300 + i, "\n\none two three\n\nfour five six\n \nseven eight nine ten\n\n\n" + f"own{i}") for i in range(3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for least in (1, 7, 10):
+        got = sorted(map(tuple, ld._edited(d, least).select("row.doc_id", "edited").collect()), key=repr)
+        assert got == shortest_runs(rows, least)
+
+
+def test_ranks_are_those_of_sorted_blocks(spark):
+    rng = random.Random(5)
+    rows = [(d, "\n".join(rng.choice("abc") for _ in range(rng.randint(1, 25)))) for d in range(12)]
+    lines = ld._lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    ids = {r.line: (r.a, r.b) for r in spark.createDataFrame([(x,) for x in "abc"], "line string").selectExpr("line", "xxhash64(line) a", "xxhash64(1, line) b").collect()}
+    numbers = {x: 1 + sorted(ids.values()).index(v) for x, v in ids.items()}
+    kept = lines.withColumn("island", lines.seq * 0).withColumn("n0", lines.id.a)
+    kept = kept.replace({ids[x][0]: numbers[x] for x in "abc"}, subset=["n0"])
+    got = {(r.doc_id, r.seq): (r.n0, r.n1, r.n2, r.n3) for r in ld._block_ranks(kept, 4).select("d.doc_id", "seq", "n0", "n1", "n2", "n3").collect()}
+    text = {d: [numbers[x] for x in t.split("\n")] for d, t in rows}
+    for j in range(4):
+        blocks = {(d, s): tuple(x[s : s + 2**j]) for d, x in text.items() for s in range(len(x) - 2**j + 1)}
+        often = sorted({b for b in blocks.values() if list(blocks.values()).count(b) > 1 or j == 0})
+        assert {k: v[j] for k, v in got.items()} == {k: 1 + often.index(blocks[k]) if blocks.get(k) in often else None for k in got}
