@@ -15,14 +15,11 @@ from ..operators.graph import renumber
 from ..operators.index import ratio
 
 
-def leaves_under(child: DataFrame, chosen: DataFrame, piece: DataFrame, depth: int) -> DataFrame:
-    """region, leaf: graph nodes under each chosen node (id) of a hierarchy of ``depth`` levels; one join a level."""
-    front = chosen.select(F.col("id").alias("region"), "id")
-    all_ = front
-    for _ in range(depth - 1):
-        front = front.join(child, front.id == child.parent).select("region", F.col("child").alias("id"))
-        all_ = all_.union(front)
-    return all_.join(piece, "id").select("region", "leaf").distinct()
+def leaves_under(child: DataFrame, chosen: DataFrame, piece: DataFrame) -> DataFrame:
+    """region, leaf: graph nodes under each chosen node (id) of a hierarchy."""
+    own = chosen.select(F.col("id").alias("region"), "id")
+    below = hierarchy.ancestors(child).withColumnsRenamed({"anc": "region", "desc": "id"}).join(own.select("region"), "region", "left_semi")
+    return own.unionByName(below).join(piece, "id").select("region", "leaf").distinct()
 
 
 @dataclass
@@ -34,14 +31,14 @@ class Regions:
     summary: DataFrame
 
 
-def decompose(child: DataFrame, sizes: DataFrame, piece: DataFrame, kmers_of: DataFrame, most: int, least: int, depth: int) -> Regions:
+def decompose(child: DataFrame, sizes: DataFrame, piece: DataFrame, kmers_of: DataFrame, most: int, least: int) -> Regions:
     """The hierarchy cut into its highest nodes of at most ``most`` leaves, of which those with more than ``least`` k-mers stay.
 
     sizes (id, size in leaves), kmers_of (id, kmers).
     """
     cut = hierarchy.antichain(child, sizes, most).join(kmers_of, "id")
     nodes = staged(cut.where(F.col("kmers") > least), "regions")
-    under = staged(leaves_under(child, nodes, piece, depth), "leaves")
+    under = staged(leaves_under(child, nodes, piece), "leaves")
     total = kmers_of.agg(F.max("kmers").alias("total"))  # that of the root
     own = nodes.agg(F.count("*").alias("n_regions"), F.coalesce(F.sum("kmers"), F.lit(0)).alias("kmers"))
     n = under.agg(F.count("*").alias("n_leaves"))
@@ -55,7 +52,7 @@ def characterise(regions: Regions, nodes: DataFrame, alphabet: str, k: int) -> D
     return sketch.composition(grouped, alphabet, k, "region")
 
 
-def shadow_ratio(child: DataFrame, stats: DataFrame, piece: DataFrame, root: int, most: int, least: int, fraction: float, depth: int) -> Regions:
+def shadow_ratio(child: DataFrame, stats: DataFrame, piece: DataFrame, root: int, most: int, least: int, fraction: float) -> Regions:
     """Nodes of the lowest k-mers per graph node: where a graph is most tangled.
 
     stats (id, kmers, shadow).  Of the first nodes under the root's children with fewer
@@ -66,22 +63,22 @@ def shadow_ratio(child: DataFrame, stats: DataFrame, piece: DataFrame, root: int
     rated = some.join(stats.select("id", "shadow"), "id").select("id", "size", hierarchy.log_ratio(F.col("size"), F.col("shadow")).alias("ratio"))
     whole = stats.where(F.col("id") == root).select(F.col("kmers").alias("size"))
     nodes = staged(hierarchy.keep_prefix(rated, fraction, whole), "kept")
-    under = staged(leaves_under(child, nodes, piece, depth), "leaves")
+    under = staged(leaves_under(child, nodes, piece), "leaves")
     return Regions(nodes, under, nodes.agg(F.count("*").alias("n_regions"), F.coalesce(F.sum("size"), F.lit(0)).alias("kmers")))
 
 
-def unassembled(child: DataFrame, stats: DataFrame, piece: DataFrame, root: int, threshold: float, depth: int, least: int = 0) -> tuple[DataFrame, DataFrame]:
+def unassembled(child: DataFrame, stats: DataFrame, piece: DataFrame, root: int, threshold: float, least: int = 0) -> tuple[DataFrame, DataFrame]:
     """The highest nodes of which a query contains at most ``threshold``: their table, and their leaves (region, leaf).
 
     stats (id, kmers, weighted, shadow, matched).  The table holds all such nodes;
     leaves are those of nodes with at least ``least`` k-mers.
     """
-    top = hierarchy.first_below(child, stats, root, ratio(F.col("matched"), F.col("kmers")) <= threshold, depth)
+    top = hierarchy.first_below(child, stats, root, ratio(F.col("matched"), F.col("kmers")) <= threshold)
     table = staged(
         top.select("id").join(stats, "id").select(F.col("id").alias("node_id"), ratio(F.col("matched"), F.col("kmers")).alias("contained"), F.col("kmers").alias("n_kmers"), F.col("weighted").alias("n_weighted_kmers"), ratio(F.col("weighted"), F.col("kmers")).alias("average_weight"), F.col("shadow").alias("shadow_size")),
         "unassembled",
     )
-    return table, leaves_under(child, table.where(F.col("n_kmers") >= least).select(F.col("node_id").alias("id")), piece, depth)
+    return table, leaves_under(child, table.where(F.col("n_kmers") >= least).select(F.col("node_id").alias("id")), piece)
 
 
 def position_profile(queries: DataFrame, kmer_index: DataFrame, piece: DataFrame, info: DataFrame, k: int) -> DataFrame:

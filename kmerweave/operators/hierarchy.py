@@ -10,18 +10,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._stage import staged
+from ._stage import counted, drop, staged
 from .index import ratio
 
+#: Rounds of doubling: a tree of 2**40 levels is a cycle.
+MOST_ROUNDS = 40
 
-def closure(child: DataFrame, level: DataFrame, depth: int) -> DataFrame:
-    """anc, desc: every node with itself and all level-1 nodes below; one join per level."""
-    ones = level.where("level = 1").select(F.col("id").alias("anc"), F.col("id").alias("desc"))
-    out = front = ones
-    for _ in range(depth - 1):
-        front = front.join(child, front.anc == child.child).select(F.col("parent").alias("anc"), "desc").distinct()
-        out = out.union(front)
-    return out.distinct()
+
+def ancestors(child: DataFrame) -> DataFrame:
+    """anc, desc: all pairs with one or more steps between them, for any depth.
+
+    Ancestor doubling: each round joins the pairs of exactly d steps with those of 1 to
+    d, and with themselves, so the rounds are the logarithm of the depth.  A node may
+    have several parents.  A cycle raises.
+    """
+    exact = staged(child.select(F.col("parent").alias("anc"), F.col("child").alias("desc")).distinct(), "steps")
+    all_ = exact
+    for _ in range(MOST_ROUNDS):
+        upper = exact.select("anc", F.col("desc").alias("mid"))
+        far, seen = counted(upper.join(exact.withColumnRenamed("anc", "mid"), "mid").select("anc", "desc").distinct(), "steps")
+        longer = upper.join(all_.withColumnRenamed("anc", "mid"), "mid").select("anc", "desc")
+        wider = staged(all_.union(longer).distinct(), "ancestors")
+        drop(*{id(t): t for t in (exact, all_)}.values())
+        if not seen.n:
+            drop(far)
+            return wider
+        exact, all_ = far, wider
+    raise ValueError("the parents of some node lead back to it")
+
+
+def closure(child: DataFrame, level: DataFrame) -> DataFrame:
+    """anc, desc: every node with itself and all level-1 nodes below, whatever the depth."""
+    ones = level.where("level = 1").select("id")
+    below = ancestors(child).join(ones.withColumnRenamed("id", "desc"), "desc", "left_semi").select("anc", "desc")
+    return below.union(ones.select(F.col("id").alias("anc"), F.col("id").alias("desc"))).distinct()
 
 
 def rollup(anc: DataFrame, leaves: DataFrame, *values: str) -> DataFrame:
@@ -56,16 +78,11 @@ def terminal_nodes(child: DataFrame, sizes: DataFrame, most: int, root: int) ->
     return sizes.join(parent, "id").join(p, "parent").where((F.col("size") < most) & ((F.col("parent") == root) | (F.col("parent_size") >= most))).select("id", "size")
 
 
-def first_below(child: DataFrame, values: DataFrame, root: int, holds, depth: int) -> DataFrame:
+def first_below(child: DataFrame, values: DataFrame, root: int, holds) -> DataFrame:
     """id: nodes that hold, no ancestor of which (but the root) does; for conditions that don't grow towards the root."""
     good = staged(values.where(holds).where(F.col("id") != root).select("id"), "good")
-    out, above = good, child.select(F.col("child").alias("id"), F.col("parent").alias("up"))
-    chain = above
-    for _ in range(depth):
-        # nodes with a good ancestor this many levels up
-        out = out.join(chain.join(good.select(F.col("id").alias("up")), "up", "left_semi").select("id").distinct(), "id", "left_anti")
-        chain = chain.join(above.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up"))
-    return out
+    under = ancestors(child).join(good.withColumnRenamed("id", "anc"), "anc", "left_semi").select(F.col("desc").alias("id")).distinct()
+    return good.join(under, "id", "left_anti")
 
 
 def running(df: DataFrame, order: list, **sums) -> DataFrame:

@@ -22,6 +22,8 @@ K = 31
 #: Reads are labelled by shorter k-mers.
 READ_K = 13
 SCALED = 100
+#: No abundance is told for a query of which less is found.
+LEAST = 0.05
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -385,10 +387,10 @@ def annotation_by_signature(spark, sf_dir):
     return found.select(F.col("hash").alias("hashval"), F.col("record").alias("item_id")).distinct()
 
 
-@register("abundance_estimate", f"WITH {_UNIQ}, {_INFO}, w AS (SELECT count(DISTINCT kmer) AS n FROM q) SELECT CAST(sum(matches) AS BIGINT) AS n_found, round(sum(matches) / any_value(w.n), 6) AS containment, round(sum(matches * abund) / sum(matches), 6) AS mean_abund FROM m JOIN info USING (id), w HAVING sum(matches) / any_value(w.n) >= 0.0")
+@register("abundance_estimate", f"WITH {_UNIQ}, {_INFO}, w AS (SELECT count(DISTINCT kmer) AS n FROM q) SELECT CAST(sum(matches) AS BIGINT) AS n_found, round(sum(matches) / any_value(w.n), 6) AS containment, round(sum(matches * abund) / sum(matches), 6) AS mean_abund FROM m JOIN info USING (id), w HAVING sum(matches) / any_value(w.n) >= {LEAST}")
 def abundance_estimate(spark, sf_dir):
     wanted = _wanted(spark, sf_dir).select("kmer").distinct().count()
-    found = annotate.query_abundance(_matches(spark, sf_dir), _info(spark, sf_dir), 0.0, wanted)
+    found = annotate.query_abundance(_matches(spark, sf_dir), _info(spark, sf_dir), LEAST, wanted)
     return found.select("n_found", F.round("containment", 6).alias("containment"), F.round("mean_abund", 6).alias("mean_abund"))
 
 
@@ -573,7 +575,6 @@ leaf AS MATERIALIZED (SELECT 1001 + 2 * l_orderkey AS id, count(*) AS size, CAST
 path AS MATERIALIZED (SELECT 1001 + 2 * o_orderkey AS o, 1000 + 2 * c_custkey AS c, 100 + n_nationkey AS n, n_regionkey AS r FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 anc AS MATERIALIZED (SELECT o AS id, o AS leaf, 1 AS level FROM path UNION ALL SELECT c, o, 2 FROM path UNION ALL SELECT n, o, 3 FROM path UNION ALL SELECT r, o, 4 FROM path UNION ALL SELECT -1, o, 5 FROM path),
 roll AS MATERIALIZED (SELECT anc.id, any_value(anc.level) AS level, CAST(sum(size) AS BIGINT) AS size, CAST(sum(weight) AS BIGINT) AS weight, CAST(sum(hit) AS BIGINT) AS hit FROM anc JOIN leaf ON leaf.id = anc.leaf GROUP BY anc.id)"""
-_DEPTH = 5
 
 
 def _child(spark, sf_dir) -> DataFrame:
@@ -601,7 +602,7 @@ def _leaves(spark, sf_dir) -> DataFrame:
 
 def _closure(spark, sf_dir) -> DataFrame:
     child = _child(spark, sf_dir)
-    return hierarchy.closure(child, _level(child), _DEPTH)
+    return hierarchy.closure(child, _level(child))
 
 
 def _roll(spark, sf_dir) -> DataFrame:
@@ -655,7 +656,7 @@ up AS (SELECT o AS id, c AS a FROM path UNION SELECT o, n FROM path UNION SELECT
 SELECT id FROM g WHERE id NOT IN (SELECT up.id FROM up JOIN g ON g.id = up.a)""",
 )
 def unassembled_nodes(spark, sf_dir):
-    return hierarchy.first_below(_child(spark, sf_dir), _roll(spark, sf_dir), -1, index.ratio(F.col("hit"), F.col("size")) <= 0.2, _DEPTH)
+    return hierarchy.first_below(_child(spark, sf_dir), _roll(spark, sf_dir), -1, index.ratio(F.col("hit"), F.col("size")) <= 0.2)
 
 
 _PARTS = f"{_TREE}, parts AS (SELECT id, hit AS cont, size - hit AS oh FROM roll WHERE level = 2)"

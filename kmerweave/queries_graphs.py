@@ -54,7 +54,7 @@ def _unassembled(spark, sf_dir):
     child, roll, piece = _tree(spark, sf_dir)
     shadow = q._closure(spark, sf_dir).groupBy(F.col("anc").alias("id")).agg(F.count("*").alias("shadow"))
     stats = staged(roll.join(shadow, "id").select("id", F.col("size").alias("kmers"), F.col("weight").alias("weighted"), "shadow", F.col("hit").alias("matched")), "stats")
-    return regions.unassembled(child, stats, piece, -1, 0.2, q._DEPTH, 8)
+    return regions.unassembled(child, stats, piece, -1, 0.2, 8)
 
 
 @register(

@@ -25,13 +25,13 @@ def _tree(spark, sf_dir):
 @register("region_leaves", f"WITH {q._TREE}, {_PIECE_SQL}, {_CUT_SQL} SELECT cut.id AS region, leaf FROM cut JOIN leaves USING (id)")
 def region_leaves(spark, sf_dir):
     child, roll, piece = _tree(spark, sf_dir)
-    return regions.decompose(child, roll.select("id", "size"), piece, roll.select("id", F.col("weight").alias("kmers")), q._CUT, 500, q._DEPTH).leaves
+    return regions.decompose(child, roll.select("id", "size"), piece, roll.select("id", F.col("weight").alias("kmers")), q._CUT, 500).leaves
 
 
 @register("region_summary", f"WITH {q._TREE}, {_PIECE_SQL}, {_CUT_SQL} SELECT (SELECT count(*) FROM cut) AS n_regions, (SELECT count(*) FROM cut JOIN leaves USING (id)) AS n_leaves, (SELECT CAST(coalesce(sum(weight), 0) AS BIGINT) FROM cut) AS kmers, (SELECT coalesce(sum(weight), 0) FROM cut) / (SELECT max(weight) FROM roll) AS share")
 def region_summary(spark, sf_dir):
     child, roll, piece = _tree(spark, sf_dir)
-    return regions.decompose(child, roll.select("id", "size"), piece, roll.select("id", F.col("weight").alias("kmers")), q._CUT, 500, q._DEPTH).summary
+    return regions.decompose(child, roll.select("id", "size"), piece, roll.select("id", F.col("weight").alias("kmers")), q._CUT, 500).summary
 
 
 @register(
@@ -43,7 +43,7 @@ SELECT kept.id AS region, leaf FROM kept JOIN leaves USING (id)""",
 def shadow_ratio_extract(spark, sf_dir):
     child, roll, piece = _tree(spark, sf_dir)
     stats = roll.select("id", F.col("weight").alias("kmers"), F.col("size").alias("shadow"))
-    return regions.shadow_ratio(child, stats, piece, -1, 2000, 100, 0.1, q._DEPTH).leaves
+    return regions.shadow_ratio(child, stats, piece, -1, 2000, 100, 0.1).leaves
 
 
 _AT = f"spots AS MATERIALIZED (SELECT item_id, j - 1 AS pos, least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) AS kmer FROM (SELECT item_id, j, substr(text, j, {K}) AS kmer FROM (SELECT item_id, text, unnest(generate_series(1, length(text) - {K - 1})) AS j FROM benchmark WHERE length(text) >= {K})))"
