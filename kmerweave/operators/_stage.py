@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
-def _root(spark: SparkSession) -> str:
+def stage_root(spark: SparkSession) -> str:
+    """The folder of written tables, which the driver and all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
@@ -37,7 +38,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     folders.
     """
     spark = df.sparkSession
-    path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     place, files = _place(spark, path)
     files.deleteOnExit(place)
@@ -64,7 +65,7 @@ class Parts:
 
     def __init__(self, spark: SparkSession, schema: str, name: str):
         self.spark, self.schema = spark, schema
-        self.path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
         spark.createDataFrame([], schema).write.parquet(self.path)
         place, files = _place(spark, self.path)
         files.deleteOnExit(place)

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import kmer_keys
-from ._stage import checked
+from . import bloom
+from ._stage import BROADCAST_ROWS, checked, counted, staged
 
 
 def node_sizes(nodes: DataFrame, k: int) -> DataFrame:
@@ -26,14 +27,22 @@ def occurrences(nodes: DataFrame, k: int) -> DataFrame:
 def unique_index(nodes: DataFrame, k: int, wanted: DataFrame | None = None) -> DataFrame:
     """kmer, id of the k-mers that occur in one node only; k-mers of several nodes are left out.
 
-    With ``wanted`` (column kmer) only those are looked up: the semi-join comes
-    before the uniqueness count, which needs no other k-mer.
+    With ``wanted`` (column kmer) only those are looked up: a semi-join comes before the
+    uniqueness count, which needs no other k-mer.  Where there are too many to be
+    broadcast, a Bloom filter comes before the count instead, and the semi-join after it:
+    tasks then sum up repeated k-mers before these are shuffled.
     """
     found = kmer_keys(nodes, "seq", k, "id").select("id", "kmer")
-    if wanted is not None:
-        found = found.join(checked(wanted.select("kmer").distinct()), "kmer", "left_semi")
     # smallest and largest id tell apart one node from several without holding a set
-    return found.groupBy("kmer").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").select("kmer", "id")
+    summed = lambda df: df.groupBy("kmer").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").select("kmer", "id")
+    if wanted is None:
+        return summed(found)
+    keys, seen = counted(wanted.select("kmer").distinct(), "wanted-keys")
+    if seen.n <= BROADCAST_ROWS:
+        return summed(found.join(F.broadcast(keys), "kmer", "left_semi"))
+    filter_ = bloom.build(keys, "kmer", seen.n)
+    some = found if filter_ is None else bloom.sift(found, "kmer", staged(filter_, "filter"))
+    return summed(some).join(keys.hint("shuffle_hash"), "kmer", "left_semi")
 
 
 def collisions(nodes: DataFrame, k: int) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from . import queries as q
 from .jobs import neighborhoods
-from .operators import index, sketch
-from .operators._stage import staged
+from .operators import index, protein, sketch
+from .operators._stage import stage_root, staged
+from .operators.kept import KeptIndex
 from .queries import K, SCALED, _sk, register
 
 _EACH = f"""{q._UNIQ}, pm AS MATERIALIZED (SELECT query, id, count(*) AS matches FROM q JOIN idx USING (kmer) GROUP BY query, id),
@@ -83,3 +86,38 @@ def node_info_by_query(spark, sf_dir):
     child = staged(q._child(spark, sf_dir), "child")
     piece = sizes.select(F.col("leaf").alias("id"), "leaf")
     return neighborhoods.node_info(matches, piece, child, q._level(child), sizes, -1, q._CUT, 5)
+
+
+# ---------------------------------------------------------------- indexes
+
+
+def _kept(spark, sf_dir):
+    """The documents' index, built of one language and grown by the others."""
+    nodes = q._nodes(spark, sf_dir)
+    first = F.coalesce(F.col("lang") == "en", F.lit(False))
+    kept = KeptIndex(spark, f"{stage_root(spark)}/kept-{uuid.uuid4().hex}", K, 8)
+    return kept.build(nodes.where(first)).grow(nodes.where(~first))
+
+
+@register("kept_index_matches", f"WITH {q._UNIQ}, m2 AS (SELECT id, count(*) AS m FROM (SELECT DISTINCT kmer FROM q WHERE query % 2 = 0) JOIN idx USING (kmer) GROUP BY id) SELECT m.id AS doc_id, matches, coalesce(m, 0) AS even FROM m LEFT JOIN m2 USING (id)")
+def kept_index_matches(spark, sf_dir):
+    """Two questions to one kept index: all items, and those of even number."""
+    kept = _kept(spark, sf_dir)
+    wanted = q._wanted(spark, sf_dir)
+    even = kept.matches(wanted.where(F.col("query") % 2 == 0)).withColumnRenamed("matches", "even")
+    return kept.matches(wanted).join(even, "id", "left").select(F.col("id").alias("doc_id"), "matches", F.coalesce("even", F.lit(0)).alias("even"))
+
+
+@register("kept_index_collisions", q.ORACLES["kmer_collisions"])
+def kept_index_collisions(spark, sf_dir):
+    return _kept(spark, sf_dir).collisions()
+
+
+_AMINO = 10
+
+
+@register("protein_record_hits", f"SELECT DISTINCT item_id, doc_id FROM {q._km('benchmark', 'item_id', _AMINO)} JOIN {q._km('documents', 'doc_id', _AMINO)} USING (kmer)")
+def protein_record_hits(spark, sf_dir):
+    """Items as protein records, documents as proteins: all pairs that share ten letters."""
+    index_ = staged(protein.record_index(q._records(spark, sf_dir).withColumnRenamed("query", "item_id"), _AMINO, "item_id"), "record-index")
+    return protein.protein_hits(q._nodes(spark, sf_dir), index_, _AMINO, "item_id").withColumnRenamed("id", "doc_id")
