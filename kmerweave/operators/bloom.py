@@ -23,8 +23,10 @@ def expected_rate(bits_per_key: int = BITS_PER_KEY, hashes: int = HASHES) -> flo
 
 
 def _positions(key: Column, bits: int, hashes: int) -> list[Column]:
-    one, two = F.xxhash64(key, F.lit(1)), F.xxhash64(key, F.lit(2))
-    return [F.pmod(one + i * two, F.lit(bits)) for i in range(hashes)]
+    # two halves of one hash, so nothing overflows
+    h = F.xxhash64(key, F.lit(1))
+    one, two = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
+    return [(one + i * two) % bits for i in range(hashes)]
 
 
 def build(keys: DataFrame, key: str, n: int, bits_per_key: int = BITS_PER_KEY, hashes: int = HASHES) -> DataFrame | None:

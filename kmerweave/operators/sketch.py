@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.sequence import from_digits, h60_digits, kmers
-from ._stage import staged
+from ._stage import checked, staged
 from .graph import renumber
 from .index import ratio
 
@@ -21,7 +21,7 @@ def hashes(nodes: DataFrame, k: int, *keep: str, most: int = 2**60 - 1) -> DataF
 
 def scaled_sketch(nodes: DataFrame, k: int, scaled: int, *keep: str) -> DataFrame:
     """Distinct hashes of at most 2**60 / scaled, with their abundance."""
-    return hashes(nodes, k, *keep, most=2**60 // scaled).groupBy(*keep, "hash").agg(F.count("*").alias("abund"))
+    return hashes(nodes, k, *keep, most=min(2**60 // scaled, 2**60 - 1)).groupBy(*keep, "hash").agg(F.count("*").alias("abund"))
 
 
 def downsample(sketch: DataFrame, scaled: int) -> DataFrame:
@@ -97,3 +97,27 @@ def murmur_sketch(seq: DataFrame, k: int, scaled: int, hash_of, *keep: str) -> D
 
 def max_hash(scaled: int) -> Column:
     return F.lit(2**60 // scaled)
+
+
+def theta_sketches(records: DataFrame, k: int, *keep: str, lg: int = 12) -> DataFrame:
+    """Kept columns and sketch: approximate sets of the k-mers of both strands, of 2**lg hashes at most, built by partial aggregation."""
+    return hashes(records, k, *keep).groupBy(*keep).agg(F.theta_sketch_agg("hash", F.lit(lg)).alias("sketch"))
+
+
+def theta_merged(sketches: DataFrame, *keep: str, lg: int = 12) -> DataFrame:
+    """Kept columns and sketch: unions, such as those of all nodes under a dominator."""
+    return sketches.groupBy(*keep).agg(F.theta_union_agg("sketch", F.lit(lg)).alias("sketch"))
+
+
+def theta_overlap(few: DataFrame, many: DataFrame, key_few: str, key_many: str) -> DataFrame:
+    """key_few, key_many, n_few, n_many, both, containment (of few in many), similarity: estimates for every pair of a query and a row.
+
+    Two sketches hold enough for any of these; no k-mer is read again.  The queries are
+    written and counted, and broadcast only if they are few.  Relative errors of sizes are
+    about 1 / sqrt(2**lg), those of containments about that over the root of the larger
+    of both sizes' ratio.
+    """
+    left = few.select(key_few, F.col("sketch").alias("_a"), F.theta_sketch_estimate("sketch").alias("n_few"))
+    right = many.select(key_many, F.col("sketch").alias("_b"), F.theta_sketch_estimate("sketch").alias("n_many"))
+    pairs = right.crossJoin(checked(left, 10_000)).withColumn("both", F.theta_sketch_estimate(F.theta_intersection("_a", "_b")))  # a set of queries against all rows
+    return pairs.select(key_few, key_many, "n_few", "n_many", "both", ratio(F.col("both"), F.col("n_few")).alias("containment"), ratio(F.col("both"), F.col("n_few") + F.col("n_many") - F.col("both")).alias("similarity"))

@@ -121,3 +121,23 @@ def protein_record_hits(spark, sf_dir):
     """Items as protein records, documents as proteins: all pairs that share ten letters."""
     index_ = staged(protein.record_index(q._records(spark, sf_dir).withColumnRenamed("query", "item_id"), _AMINO, "item_id"), "record-index")
     return protein.protein_hits(q._nodes(spark, sf_dir), index_, _AMINO, "item_id").withColumnRenamed("id", "doc_id")
+
+
+@register(
+    "theta_containment",
+    f"""WITH a AS MATERIALIZED (SELECT DISTINCT item_id, kmer FROM {q._ck("benchmark", "item_id")})
+SELECT item_id, source, true AS close FROM (SELECT DISTINCT item_id FROM a) CROSS JOIN (SELECT DISTINCT source FROM documents WHERE length(text) >= {K})""",
+)
+def theta_containment(spark, sf_dir):
+    """Items in sources by approximate sketches; ``close``: within five standard errors of the exact containment, by the hashes of an item that both sketches sample."""
+    of_docs = sketch.theta_sketches(q._nodes(spark, sf_dir), K, "dominator", lg=18)
+    items = staged(sketch.theta_sketches(q._records(spark, sf_dir), K, "query", lg=18), "item-sketches")
+    near = sketch.theta_overlap(items, staged(of_docs, "source-sketches"), "query", "dominator")
+    wanted = q._wanted(spark, sf_dir)
+    asked = wanted.groupBy("query").agg(F.count("*").alias("asked"))
+    own = q.seq.kmer_keys(q._nodes(spark, sf_dir), "seq", K, "dominator").select("dominator", "kmer").join(q.checked(wanted.select("kmer").distinct()), "kmer", "left_semi").distinct()
+    exact = own.join(wanted, "kmer").groupBy("query", "dominator").agg(F.count("*").alias("n"))
+    both = near.join(asked, "query").join(exact, ["query", "dominator"], "left")
+    sampled = F.col("n_few") * F.least(F.lit(1.0), F.lit(2.0**18) / F.greatest("n_few", "n_many"))
+    close = F.abs(F.col("containment") - index.ratio(F.coalesce("n", F.lit(0)), F.col("asked"))) <= 2.5 / F.sqrt(sampled)
+    return both.select(F.col("query").alias("item_id"), F.col("dominator").alias("source"), close.alias("close"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -144,3 +145,73 @@ def signatures(spark: SparkSession, path: str, scaled: int | None = None) -> Dat
     whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", schema)).alias("s"))
     rows = whole.select(F.coalesce("s.name", "s.filename").alias("name"), F.explode("s.signatures").alias("g")).select("name", "g.ksize", "g.molecule", F.explode("g.mins").alias("hash"))
     return rows if scaled is None else rows.where(F.col("hash") <= F.lit(str(2**64 // scaled)).cast("decimal(20,0)"))
+
+
+def _fasta_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of FASTA files in order, with what comes before each: record (headers up to it), bases (of all sequence lines before) and bytes."""
+    from ..operators.hierarchy import running
+
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    head = F.startswith("value", F.lit(">"))
+    lines = lines.withColumns({"head": head, "seq": F.when(head, F.lit("")).otherwise(F.regexp_replace("value", r"\s", ""))})
+    order = [F.col("file"), F.col("block"), F.col("i")]
+    return running(lines, order, record=F.col("head").cast("long"), bases=F.length("seq"), bytes=F.octet_length("value") + 1)
+
+
+def fasta_pieces(spark: SparkSession, path: str, size: int = 16_384, overlap: int = 0) -> DataFrame:
+    """record, name, start, piece: the sequences of FASTA files in pieces of about ``size`` letters and the ``overlap`` letters that follow.
+
+    A record of many lines is read by as many tasks as its file has splits: running sums
+    over range partitions tell every line its record and its place in it, and lines are
+    put together within pieces only.  Pieces that overlap by k - 1 hold every k-mer of a
+    record once.  A line before the first header of its file raises.  (A line is never
+    split, so a record on one line is read by one task, like any text.)
+    """
+    from ..operators._stage import staged
+
+    at = staged(_fasta_lines(spark, path), "fasta-lines")
+    heads = at.where("head").select("record", F.col("file").alias("_file"), F.col("bases").alias("base"), F.element_at(F.split(F.regexp_replace("value", r"^>\s*|\r", ""), r"\s+", 2), 1).alias("name"))
+    body = at.where("not head and seq <> ''").join(heads, "record", "left")
+    lost = F.col("_file").isNull() | (F.col("_file") != F.col("file"))
+    name = F.when(lost, F.raise_error(F.concat(F.lit("no record starts before line "), F.col("value")))).otherwise(F.col("name"))
+    start = F.col("bases") - F.length("seq") - F.col("base")
+    cells = body.select("record", name.alias("name"), start.alias("start"), "seq").withColumn("cell", F.floor(F.col("start") / size))
+    whole = cells.groupBy("record", "name", "cell").agg(F.min("start").alias("start"), F.array_join(F.array_sort(F.collect_list(F.struct("start", "seq")))["seq"], "").alias("piece"))
+    if not overlap:
+        return whole.select("record", "name", "start", "piece")
+    whole = staged(whole, "fasta-cells")
+    # only the first letters of the pieces are looked at across a record
+    ahead = whole.select("record", "cell", F.lead(F.left("piece", F.lit(overlap))).over(Window.partitionBy("record").orderBy("cell")).alias("ahead"))
+    return whole.join(ahead, ["record", "cell"]).select("record", "name", "start", F.concat("piece", F.coalesce("ahead", F.lit(""))).alias("piece"))
+
+
+def fasta_offsets(spark: SparkSession, path: str) -> DataFrame:
+    """file, name, description, offset (bytes before the record in its file), length of every record."""
+    from ..operators._stage import staged
+
+    at = staged(_fasta_lines(spark, path), "fasta-lines")
+    own = F.col("bytes") - F.octet_length("value") - 1
+    first = at.groupBy("file").agg(F.min(own).alias("_first"))
+    lengths = at.groupBy("record").agg(F.sum(F.length("seq")).alias("length"))
+    head = F.split(F.regexp_replace("value", r"^>\s*|\r", ""), r"\s+", 2)
+    named = at.where("head").select("record", "file", F.element_at(head, 1).alias("name"), F.coalesce(F.try_element_at(head, F.lit(2)), F.lit("")).alias("description"), own.alias("_own"))
+    return named.join(first, "file").join(lengths, "record").select("file", "name", "description", (F.col("_own") - F.col("_first")).alias("offset"), "length")
+
+
+def lca_database(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(name, hash) and (name, lineage) of a lowest-common-ancestor database: one JSON object whose keys are data.
+
+    Hashes are unsigned; a name without a lineage has none, and ranks without a name at a
+    lineage's end are left out.
+    """
+    # fixed field names of the format
+    schema = "ident_to_idx map<string, bigint>, idx_to_lid map<string, bigint>, lid_to_lineage map<string, array<array<string>>>, hashval_to_idx map<string, array<bigint>>"
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d"))
+    part = lambda field, k, v: whole.select(F.explode(f"d.{field}").alias(k, v))
+    names = part("ident_to_idx", "name", "idx")
+    hashes = part("hashval_to_idx", "hash", "all").select(F.col("hash").cast("decimal(20,0)").alias("hash"), F.explode("all").alias("idx"))
+    taxa = F.transform("ranks", lambda r: F.coalesce(r[1], F.lit("")))
+    known = F.size(F.split(F.regexp_replace(F.array_join(taxa, "\x1f"), "\x1f+$", ""), "\x1f"))
+    lineages_ = part("idx_to_lid", "idx", "lid").join(part("lid_to_lineage", "lid_", "ranks"), F.col("lid") == F.col("lid_").cast("long"))
+    lineages_ = lineages_.select(F.col("idx").cast("long").alias("idx"), F.filter(F.slice(taxa, F.lit(1), known), lambda x, i: (i > 0) | (x != "")).alias("lineage"))
+    return names.join(hashes, "idx").select("name", "hash"), names.join(lineages_, "idx").select("name", "lineage")
