@@ -92,7 +92,7 @@ def compact(counts: DataFrame, k: int) -> Unitigs:
     kept = staged(graph.renumber(path.join(chosen, ["name", "head"]), "head", "id"), "kept")
     # one row per unitig: the first k-mer and one character of each that follows
     letters = way.join(kept.select("head", "id"), "head").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("steps", F.when(F.col("steps") == 0, F.col("kmer")).otherwise(F.right("kmer", F.lit(1))).alias("c")))).alias("c"))
-    nodes = letters.join(kept, "id").select("id", F.array_join("c.c", "").alias("seq"), "n_kmers", (F.col("total") / F.col("n_kmers")).alias("abund"))
+    nodes = staged(letters.join(kept, "id").select("id", F.array_join("c.c", "").alias("seq"), "n_kmers", (F.col("total") / F.col("n_kmers")).alias("abund")), "unitigs")
     # a step that no path holds leads from the tail of one oriented path to the head of another
     named = path.join(kept.select("name", "id"), "name")
     tails, heads = named.select(F.col("tail").alias("u"), F.col("id").alias("src")), named.select(F.col("head").alias("v"), F.col("id").alias("dst"))

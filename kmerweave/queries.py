@@ -302,6 +302,16 @@ def greedy_gather(spark, sf_dir):
     return sketch.gather(items, _doc_sketch(spark, sf_dir), "id")
 
 
+@register("gather_check", _PAIRS + " SELECT CAST(count(DISTINCT hash) AS BIGINT) AS explained, true AS falling, true AS ranked FROM b WHERE hash IN (SELECT hash FROM a)")
+def gather_check(spark, sf_dir):
+    """What gather explains adds up to all hashes that any document has; shares fall, and ranks are dense."""
+    found = staged(greedy_gather(spark, sf_dir), "gathered")
+    after = found.select((F.col("rank") - 1).alias("rank"), F.col("unique").alias("next"))
+    fall = found.join(after, "rank").agg(F.coalesce(F.bool_and(F.col("next") <= F.col("unique")), F.lit(True)).alias("falling"))
+    sums = found.agg(F.coalesce(F.sum("unique"), F.lit(0)).cast("long").alias("explained"), ((F.max("rank") == F.count("*")) & (F.countDistinct("rank") == F.count("*"))).alias("ranked"))
+    return sums.crossJoin(fall)  # one row each
+
+
 @register("minhash_murmur", None)
 def minhash_murmur(spark, sf_dir):
     """Strand-symmetric murmur sketches of the nodes' nucleotide letters."""
@@ -548,8 +558,7 @@ def domset(spark, sf_dir):
 
 @register("low_degree_orientation", None)
 def low_degree_orientation(spark, sf_dir):
-    e = staged(_edges(spark, sf_dir), "edges")
-    return graph.orient(e, staged(graph.peel_order(e, _vertices(spark, sf_dir)), "order"))
+    return graph.low_degree_arcs(_edges(spark, sf_dir))
 
 
 @register("dominator_hierarchy", None)
@@ -559,6 +568,42 @@ def dominator_hierarchy(spark, sf_dir):
     return build_hierarchy(_edges(spark, sf_dir), _vertices(spark, sf_dir)).nodes
 
 
+@register("orientation_check", f"WITH {_EDGES} SELECT count(*) AS n_arcs, 0 AS both_ways, true AS few_in, true AS few_rounds FROM e")
+def orientation_check(spark, sf_dir):
+    """Every edge has one arc; no vertex has more coming in than neighbours when it was peeled; rounds are logarithmic."""
+    e = staged(_edges(spark, sf_dir), "edges")
+    order = graph.peel_order(e, _vertices(spark, sf_dir))
+    arcs = staged(graph.orient(e, order), "arcs")
+    twice = arcs.join(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi").agg(F.count("*").cast("int").alias("both_ways"))
+    into = arcs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("into"))
+    low = order.join(into, "id", "left").agg(F.bool_and(F.coalesce("into", F.lit(0)) <= F.col("degree")).alias("few_in"), (F.max("round") <= F.floor(F.log2(F.count("*"))) + 1).alias("few_rounds"))
+    return arcs.agg(F.count("*").alias("n_arcs")).crossJoin(twice).crossJoin(low)  # one row each
+
+
+@register("domset_check", f"WITH {_VERTS} SELECT count(*) AS n_vertices, 0 AS n_uncovered, 0 AS n_close FROM v")
+def domset_check(spark, sf_dir):
+    """All vertices are within one edge of a member, and members that weren't promoted aren't adjacent."""
+    e, v = staged(_edges(spark, sf_dir), "edges"), _vertices(spark, sf_dir)
+    members = staged(graph.dominating_set(e, v), "members")
+    open_ = v.join(graph.within_hops(e, members, 1), "id", "left_anti").agg(F.count("*").cast("int").alias("n_uncovered"))
+    plain = members.where("not promoted")
+    close = e.join(plain.select(F.col("id").alias("src")), "src").join(plain.select(F.col("id").alias("dst")), "dst").agg(F.count("*").cast("int").alias("n_close"))
+    return v.agg(F.count("*").alias("n_vertices")).crossJoin(open_).crossJoin(close)  # one row each
+
+
+@register("hierarchy_check", f"WITH {_VERTS} SELECT count(*) AS n_leaves, 0 AS n_orphans, 0 AS n_double, true AS dense FROM v")
+def hierarchy_check(spark, sf_dir):
+    """Every vertex is a leaf once, every node but the root has one parent, ids are dense."""
+    from .jobs.build import build_hierarchy
+
+    h = build_hierarchy(_edges(spark, sf_dir), _vertices(spark, sf_dir))
+    nodes, child = staged(h.nodes, "nodes"), staged(h.child, "child")
+    parents = nodes.join(child.groupBy(F.col("child").alias("id")).agg(F.count("*").alias("n")), "id", "left")
+    top = F.max("level")
+    both = parents.agg(F.count_if(F.col("n").isNull() & F.col("vertex").isNotNull()).cast("int").alias("n_orphans"), F.count_if(F.col("n") > 1).cast("int").alias("n_double"), ((F.max("id") + 1 == F.count("*")) & (F.countDistinct("id") == F.count("*")) & (top > 1)).alias("dense"))
+    return h.piece.agg(F.countDistinct("leaf").alias("n_leaves")).crossJoin(both)  # one row each
+
+
 @register("dense_renumber_text_order", "SELECT doc_id, row_number() OVER (ORDER BY key) - 1 AS number FROM (SELECT doc_id, CAST(CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 15)) AS BIGINT) AS VARCHAR) AS key FROM documents)")
 def dense_renumber_text_order(spark, sf_dir):
     keyed = _nodes(spark, sf_dir).select(F.col("id").alias("doc_id"), seq.h60(F.col("id").cast("string")).cast("string").alias("key"))

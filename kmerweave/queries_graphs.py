@@ -29,6 +29,13 @@ def unitig_kmers(spark, sf_dir):
     return nodes.agg(F.sum("n_kmers").alias("n_kmers"), F.sum(F.round(F.col("n_kmers") * F.col("abund")).cast("long")).alias("total"))
 
 
+@register("contracted_kmers", f"WITH {_COUNTED} SELECT CAST(count(*) AS BIGINT) AS n_kmers, CAST(sum(n) AS BIGINT) AS total FROM c")
+def contracted_kmers(spark, sf_dir):
+    """Contraction loses no k-mer and no abundance."""
+    nodes = assembly.contract_chains(assembly.unitigs(_table(spark, sf_dir, "benchmark").select(F.col("text").alias("seq")), K), K).nodes
+    return nodes.agg(F.sum("n_kmers").alias("n_kmers"), F.round(F.sum(F.col("n_kmers") * F.col("abund"))).cast("long").alias("total"))
+
+
 @register(
     "augmented_arcs",
     f"""WITH {q._EDGES}, {q._LOW},
@@ -101,3 +108,13 @@ def principal_components(spark, sf_dir):
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     length = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
     return vectors.principal_components(rows, "vec_id", "embedding", min(50, max(length, 1)))[0]
+
+
+@register("components_check", "SELECT count(*) AS n, true AS centred, true AS uncorrelated, true AS falling FROM embeddings")
+def components_check(spark, sf_dir):
+    """Scores have mean 0, the first three are uncorrelated, and their variances fall."""
+    scores = principal_components(spark, sf_dir).select(*(F.col("scores")[i].alias(f"s{i}") for i in range(3)))
+    zero = lambda x: F.abs(x) < 1e-6
+    centred = zero(F.avg("s0")) & zero(F.avg("s1")) & zero(F.avg("s2"))
+    apart = zero(F.corr("s0", "s1")) & zero(F.corr("s0", "s2")) & zero(F.corr("s1", "s2"))
+    return scores.agg(F.count("*").alias("n"), centred.alias("centred"), apart.alias("uncorrelated"), ((F.var_pop("s0") >= F.var_pop("s1")) & (F.var_pop("s1") >= F.var_pop("s2"))).alias("falling"))
