@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import queries as q
 from .jobs import regions
-from .operators import annotate, assembly, graph, vectors
+from .operators import annotate, assembly, density, graph, vectors
 from .operators._stage import staged
 from .queries import K, _sk, _table, register
 from .queries_regions import _PIECE_SQL, _tree
@@ -118,3 +118,21 @@ def components_check(spark, sf_dir):
     centred = zero(F.avg("s0")) & zero(F.avg("s1")) & zero(F.avg("s2"))
     apart = zero(F.corr("s0", "s1")) & zero(F.corr("s0", "s2")) & zero(F.corr("s1", "s2"))
     return scores.agg(F.count("*").alias("n"), centred.alias("centred"), apart.alias("uncorrelated"), ((F.var_pop("s0") >= F.var_pop("s1")) & (F.var_pop("s1") >= F.var_pop("s2"))).alias("falling"))
+
+
+@register(
+    "density_tree",
+    """WITH RECURSIVE x AS MATERIALIZED (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS MATERIALIZED (SELECT a.id AS i, b.id AS j, list_distance(a.v, b.v) AS d FROM x a, x b),
+core AS MATERIALIZED (SELECT i, max(d) AS core FROM (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d) AS k FROM d) WHERE k <= 5 GROUP BY i),
+m AS MATERIALIZED (SELECT d.i, d.j, greatest(d.d, a.core, b.core) AS w FROM d JOIN core a ON a.i = d.i JOIN core b ON b.i = d.j),
+r(step, id, d, total) AS (
+  SELECT 1, j, w, CAST(0 AS DOUBLE) FROM m WHERE i = (SELECT min(id) FROM x) AND j <> i
+  UNION ALL
+  SELECT r.step + 1, r.id, least(r.d, m.w), r.total + n.d FROM r JOIN (SELECT arg_min(id, d) AS id, min(d) AS d FROM r) n ON r.id <> n.id JOIN m ON m.i = n.id AND m.j = r.id)
+SELECT (SELECT count(*) - 1 FROM x) AS n_edges, round(total + d, 4) AS total FROM r ORDER BY step DESC LIMIT 1""",
+)
+def density_tree(spark, sf_dir):
+    """The spanning tree of the vectors' mutual reachability: its edges and weight."""
+    tree = density.spanning_tree(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 5)
+    return tree.agg(F.count("*").alias("n_edges"), F.round(F.sum("weight"), 4).alias("total"))
