@@ -111,7 +111,7 @@ def test_unassembled(spark, tmp_path):
     child = spark.createDataFrame([(9, 5), (9, 6), (5, 1), (5, 2), (6, 3)], "parent long, child long")
     piece = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (3, 30)], "id long, leaf long")
     stats = spark.createDataFrame([(1, 8, 16, 2, 6), (2, 4, 2, 1, 0), (3, 10, 20, 1, 1), (5, 12, 18, 3, 6), (6, 10, 20, 1, 1), (9, 22, 38, 4, 7)], "id long, kmers long, weighted long, shadow long, matched long")
-    table, leaves = regions.unassembled(child, stats, piece, 9, 0.2, 3, least=5)
+    table, leaves = regions.unassembled(child, stats, piece, 9, 0.2, least=5)
     assert sorted(map(tuple, table.collect())) == [(2, 0.0, 4, 2, 0.5, 1), (6, 0.1, 10, 20, 2.0, 1)]
     assert sorted(map(tuple, leaves.collect())) == [(6, 30)]
     contigs = leaves.select(F.col("leaf").alias("id"), "region", F.lit("ACGT").alias("seq"))

@@ -145,7 +145,7 @@ def test_hierarchy_cuts_against_walks(spark):
     def firsts(i):
         return [i] if odd(i) else [x for c in kids.get(i, ()) for x in firsts(c)]
 
-    got = hierarchy.first_below(child, df, 0, F.col("size") % 3 == 0, 60)
+    got = hierarchy.first_below(child, df, 0, F.col("size") % 3 == 0)
     assert [r[0] for r in rows(got)] == sorted(x for c in kids[0] for x in firsts(c))
 
 
@@ -185,3 +185,26 @@ def test_mates_share_labels(spark):
     reads = spark.createDataFrame([(1, 0, "u"), (1, 1, "a"), (1, 2, "u"), (1, 3, "u"), (1, 4, "a")], "c long, t long, role string")
     labels = spark.createDataFrame([(1, 0, 10), (1, 1, 11), (1, 2, 12), (1, 4, 13)], "c long, t long, id long")
     assert rows(annotate.pair_reads(labels, reads, "c", "t")) == [(1, 0, 10), (1, 0, 11), (1, 2, 12), (1, 3, 13)]
+
+
+def test_ancestors_of_any_depth(spark):
+    """A chain of 100 levels, and a graph whose nodes have several parents."""
+    chain = [(i + 1, i) for i in range(100)]
+    got = {tuple(r) for r in hierarchy.ancestors(spark.createDataFrame(chain, "parent long, child long")).collect()}
+    assert got == {(a, d) for a in range(101) for d in range(a)}
+    level = spark.range(101).selectExpr("id", "cast(id + 1 as int) as level")
+    assert hierarchy.closure(spark.createDataFrame(chain, "parent long, child long"), level).count() == 101
+    pairs = [(5, 1), (5, 2), (6, 2), (6, 3), (7, 5), (7, 6), (8, 6), (9, 7), (9, 8), (9, 1)]
+    want = {(p, c) for p, c in pairs}
+    while more := {(a, d) for a, m in want for n, d in want if m == n} - want:
+        want |= more
+    assert {tuple(r) for r in hierarchy.ancestors(spark.createDataFrame(pairs, "parent long, child long")).collect()} == want
+    assert hierarchy.ancestors(spark.createDataFrame([], "parent long, child long")).count() == 0
+
+
+def test_a_cycle_raises(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(hierarchy, "MOST_ROUNDS", 4)
+    with pytest.raises(ValueError, match="lead back"):
+        hierarchy.ancestors(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "parent long, child long"))

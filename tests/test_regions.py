@@ -42,7 +42,7 @@ def test_decompose_and_characterise(spark):
     seqs = spark.createDataFrame([(i, "ACGT" * i + "AAC") for i in range(8)], "id long, seq string")
     for most, least in ((3, 0), (2, 15), (8, 0), (1, 0)):
         want = {n for n in first(30, most) if sum(KMERS[x] for x in under(n)) > least}
-        got = regions.decompose(child, stats.select("id", "size"), piece, stats.select("id", "kmers"), most, least, 3)
+        got = regions.decompose(child, stats.select("id", "size"), piece, stats.select("id", "kmers"), most, least)
         assert {r.id for r in got.nodes.collect()} == want
         assert rows(got.leaves) == sorted((n, x) for n in want for x in under(n))
         kmers = sum(KMERS[x] for n in want for x in under(n))
@@ -67,7 +67,7 @@ def test_shadow_ratio(spark):
             if run > fraction * kmers[30]:
                 break
             kept.append(n)
-        got = regions.shadow_ratio(child, stats.withColumnRenamed("size", "shadow"), piece, 30, most, least, fraction, 3)
+        got = regions.shadow_ratio(child, stats.withColumnRenamed("size", "shadow"), piece, 30, most, least, fraction)
         assert [r[0] for r in rows(got.nodes)] == sorted(kept)
         assert rows(got.leaves) == sorted((n, x) for n in kept for x in under(n))
 
