@@ -13,7 +13,6 @@ Cut at a distance, the tree falls into clusters; those of fewer than a least siz
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +26,8 @@ from .vectors import _usable
 
 #: Vectors of a block, about; pivots at most (they and their distances are broadcast).
 BLOCK, MOST_PIVOTS = 256, 1024
+#: Edges of a round that the driver merges at most; more are merged by table joins.
+DRIVER_EDGES = 100_000
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -46,7 +47,7 @@ def blocks(df: DataFrame, key: str, vector: str, size: int = BLOCK) -> tuple[Dat
     rows, seen = counted(_usable(df, vector).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")), "vectors")
     if not seen.n:
         return rows.select("id", "v", F.lit(0).alias("block"), F.lit(0).alias("pivot"), F.lit(0.0).alias("away")), np.zeros((0, 0))
-    wanted = min(MOST_PIVOTS, max(1, math.isqrt(seen.n)))
+    wanted = min(MOST_PIVOTS, -(-2 * seen.n // size))
     chosen = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()])  # MOST_PIVOTS vectors at most
     shared = df.sparkSession.sparkContext.broadcast(chosen)
 
@@ -150,13 +151,34 @@ def spanning_tree(df: DataFrame, key: str, vector: str, samples: int = 5, size:
             return out.read()
         new = staged(edges.select("a", "b", "weight").distinct(), "new-edges")
         out.add(new)
+        last = part
+        if seen.n <= DRIVER_EDGES:
+            part = staged(_merged_here(new, part), "parts")
+            drop(last, packed, own, edges, new)
+            continue
         ends = new.join(part.select(F.col("id").alias("a"), F.col("comp").alias("src")), "a").join(part.select(F.col("id").alias("b"), F.col("comp").alias("dst")), "b").select("src", "dst")
         joined = graph.components(staged(ends, "joined"), part.select(F.col("comp").alias("id")).distinct())
-        last = part
         part = staged(part.join(joined.select(F.col("id").alias("comp"), "component"), "comp").select("id", F.col("component").alias("comp")), "parts")
         drop(last, packed, own, edges, new)
 
 
+def _merged_here(edges: DataFrame, part: DataFrame) -> DataFrame:
+    """id, comp: the components after a round of few edges, merged in the driver."""
+    both = edges.join(part.select(F.col("id").alias("a"), F.col("comp").alias("src")), "a").join(part.select(F.col("id").alias("b"), F.col("comp").alias("dst")), "b").select("src", "dst").collect()  # DRIVER_EDGES at most
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for r in both:
+        a, b = sorted((root(r.src), root(r.dst)))
+        up[b] = a
+    roots = edges.sparkSession.createDataFrame([(x, root(x)) for x in up], "comp long, root long")
+    return part.join(F.broadcast(roots), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"))
+
+
 def clusters(tree: DataFrame, ids: DataFrame, distance: float, least: int) -> DataFrame:
     """id, cluster: the vectors (id) that edges of at most ``distance`` connect, by the smallest id; null for noise, which is what lies in fewer than ``least``."""
     near = tree.where(F.col("weight") <= distance).select(F.col("a").alias("src"), F.col("b").alias("dst"))

@@ -37,7 +37,8 @@ def unique_index(nodes: DataFrame, k: int, wanted: DataFrame | None = None) -> D
     summed = lambda df: df.groupBy("kmer").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").select("kmer", "id")
     if wanted is None:
         return summed(found)
-    keys, seen = counted(wanted.select("kmer").distinct(), "wanted-keys")
+    # a semi-join and a filter need no distinct keys
+    keys, seen = counted(wanted.select("kmer"), "wanted-keys")
     if seen.n <= BROADCAST_ROWS:
         return summed(found.join(F.broadcast(keys), "kmer", "left_semi"))
     filter_ = bloom.build(keys, "kmer", seen.n)

@@ -326,7 +326,7 @@ _LABELS = f"(SELECT DISTINCT conv_id, turn, id AS doc_id FROM (SELECT conv_id, t
 
 
 def _labels(spark, sf_dir):
-    reads = staged(seq.kmer_keys(_table(spark, sf_dir, "conversations").withColumnRenamed("text", "seq"), "seq", READ_K, "conv_id", "turn").select("conv_id", "turn", "kmer").distinct(), "reads")
+    reads = staged(seq.kmer_keys(_table(spark, sf_dir, "conversations").withColumnRenamed("text", "seq"), "seq", READ_K, "conv_id", "turn").select("conv_id", "turn", "kmer"), "reads")
     own = index.unique_index(_nodes(spark, sf_dir), READ_K, reads)
     return reads.join(own, "kmer").select("conv_id", "turn", "id").distinct()
 

@@ -76,6 +76,15 @@ def test_cuts(spark, found):
         assert (row.n_clusters, row.n_noise, row.largest) == (len(set(kept)), len(x) - len(kept), max(map(kept.count, set(kept))))
 
 
+def test_merging_by_tables(spark, monkeypatch):
+    x = cloud(90, 3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    here = sorted(map(tuple, density.spanning_tree(df, "id", "v", 4, 20).collect()))
+    monkeypatch.setattr(density, "DRIVER_EDGES", 0)
+    assert here == sorted(map(tuple, density.spanning_tree(df, "id", "v", 4, 20).collect()))
+    assert [(a, b) for a, b, _ in here] == sorted((a, b) for a, b, _ in literal_tree(x, 4)[1])
+
+
 def test_small_inputs(spark):
     schema = "id long, v array<double>"
     assert density.spanning_tree(spark.createDataFrame([], schema), "id", "v").count() == 0
