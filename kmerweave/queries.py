@@ -504,6 +504,15 @@ def transitive_pairs(spark, sf_dir):
     return graph.transitive_pairs(staged(graph.orient_by_degree(graph.undirected(child.select(F.col("child").alias("src"), F.col("parent").alias("dst")))), "arcs"))
 
 
+@register(
+    "transitive_pairs_edges",
+    f"WITH {_EDGES}, {_LOW} SELECT DISTINCT b.dst AS x, a.src AS u FROM low a JOIN low b ON a.dst = b.src WHERE a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM arcs WHERE arcs.src = a.src AND arcs.dst = b.dst)",
+)
+def transitive_pairs_edges(spark, sf_dir):
+    """The same over the edges of the line items."""
+    return graph.transitive_pairs(staged(graph.orient_by_degree(_edges(spark, sf_dir)), "arcs"))
+
+
 @register("fraternal_pairs", f"WITH {_EDGES}, {_LOW} SELECT DISTINCT a.src AS x, b.src AS y FROM low a JOIN low b ON a.dst = b.dst WHERE a.src < b.src AND NOT EXISTS (SELECT 1 FROM arcs WHERE arcs.src = a.src AND arcs.dst = b.src)")
 def fraternal_pairs(spark, sf_dir):
     return graph.fraternal_pairs(staged(graph.orient_by_degree(_edges(spark, sf_dir)), "arcs"))

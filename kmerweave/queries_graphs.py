@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import queries as q
 from .jobs import regions
-from .operators import annotate, assembly, density, graph, vectors
+from .operators import annotate, assembly, condensed, density, graph, vectors
 from .operators._stage import staged
 from .queries import K, _sk, _table, register
 from .queries_regions import _PIECE_SQL, _tree
@@ -136,3 +136,37 @@ def density_tree(spark, sf_dir):
     """The spanning tree of the vectors' mutual reachability: its edges and weight."""
     tree = density.spanning_tree(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 5)
     return tree.agg(F.count("*").alias("n_edges"), F.round(F.sum("weight"), 4).alias("total"))
+
+
+#: Vectors of a cluster at least.
+CLUSTER = 15
+
+
+def _condensed(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings")
+    tree = density.spanning_tree(rows, "vec_id", "embedding", 5)
+    return condensed.condense(tree, rows.select(F.col("vec_id").cast("long").alias("id")), CLUSTER)
+
+
+@register("density_clusters", None)
+def density_clusters(spark, sf_dir):
+    """Every vector with its most stable cluster (null for noise), the smallest it was in, and the distance at which it left that one."""
+    return _condensed(spark, sf_dir).points.select(F.col("id").alias("vec_id"), "cluster", "own", F.round("left", 6).alias("left"))
+
+
+@register("density_check", "SELECT count(*) AS n, true AS root_holds_all, true AS sizes_add_up, true AS in_pairs, true AS nearer_below, true AS stable, true AS one_chosen FROM embeddings")
+def density_check(spark, sf_dir):
+    """The root holds all vectors, a cluster's are those that leave it and those of its two parts, distances fall towards the leaves, no stability is negative, and every vector has one chosen cluster at most."""
+    found = _condensed(spark, sf_dir)
+    c, p = found.clusters, found.points
+    left = p.where("own is not null").groupBy(F.col("own").alias("cluster")).agg(F.count("*").alias("n"), F.min("left").alias("nearest"), F.max("left").alias("widest"))
+    parts = c.where("parent is not null").groupBy(F.col("parent").alias("cluster")).agg(F.sum("size").alias("held"), F.count("*").alias("parts"), F.max("birth").alias("split"))
+    each = c.join(left, "cluster", "left").join(parts, "cluster", "left").select(
+        (F.col("parent").isNull()).alias("is_root"), "size", "stability",
+        (F.col("size") == F.coalesce("n", F.lit(0)) + F.coalesce("held", F.lit(0))).alias("adds"),
+        (F.coalesce("parts", F.lit(2)) == 2).alias("pair"),
+        (F.coalesce(F.greatest("widest", "split") <= F.col("birth"), F.lit(True)) & F.coalesce(F.col("nearest") >= F.coalesce("split", F.lit(0.0)), F.lit(True))).alias("falls"),
+    )
+    n = p.agg(F.count("*").alias("n"), (F.count("*") == F.countDistinct("id")).alias("one_chosen"))  # one row
+    told = each.agg(F.sum(F.when(F.col("is_root"), F.col("size"))).alias("rooted"), F.every("adds").alias("sizes_add_up"), F.every("pair").alias("in_pairs"), F.every("falls").alias("nearer_below"), F.min(F.col("stability") >= 0).alias("stable"))
+    return n.crossJoin(told).select("n", (F.col("rooted") == F.col("n")).alias("root_holds_all"), "sizes_add_up", "in_pairs", "nearer_below", "stable", "one_chosen")
