@@ -115,6 +115,32 @@ def core_distances(rows: DataFrame, apart: np.ndarray, samples: int) -> DataFram
     return staged(least(staged(_pairs(packed, apart, bound), "block-pairs")).select("id", F.element_at("d", -1).alias("core")), "core")
 
 
+def neighbours(rows: DataFrame, apart: np.ndarray, k: int) -> DataFrame:
+    """id, near: the ``k`` nearest other vectors as (d, id), in rising order; all others where there are fewer."""
+    packed = staged(_packed(rows), "packed")
+    pair = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())]))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                d = _distances(_matrix(b.column("one_v"), i), _matrix(b.column("two_v"), i))
+                ids, to = np.array(b.column("one_id")[i].as_py()), np.array(b.column("two_id")[i].as_py())
+                d[ids[:, None] == to[None, :]] = np.inf
+                order = np.lexsort((np.broadcast_to(to, d.shape), d), axis=1)[:, :k]
+                near = [[{"d": x[j], "id": int(to[j])} for j in o if np.isfinite(x[j])] for x, o in zip(d, order)]
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(near, pair)], ["id", "near"])
+
+    def least(pairs: DataFrame) -> DataFrame:
+        found = _met(packed, pairs, ["id", "v"]).mapInArrow(nearest, "id long, near array<struct<d: double, id: long>>")
+        # at most k per vector and pair of blocks
+        return found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+
+    own = least(packed.select(F.col("block").alias("one"), F.col("block").alias("two")))
+    upper = F.when(F.size("near") >= k, F.element_at("near", k)["d"]).otherwise(F.lit(float("inf")))
+    bound = rows.select("id", "block").join(own.select("id", upper.alias("u")), "id").groupBy("block").agg(F.max("u").alias("most"))
+    return staged(least(staged(_pairs(packed, apart, bound), "block-pairs")), "near")
+
+
 def spanning_tree(df: DataFrame, key: str, vector: str, samples: int = 5, size: int = BLOCK) -> DataFrame:
     """a, b, weight: the minimum spanning tree of the vectors' mutual reachability (a < b; equal weights go to the smaller ids)."""
     spark = df.sparkSession

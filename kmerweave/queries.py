@@ -506,11 +506,11 @@ def transitive_pairs(spark, sf_dir):
 
 @register(
     "transitive_pairs_edges",
-    f"WITH {_EDGES}, {_LOW} SELECT DISTINCT b.dst AS x, a.src AS u FROM low a JOIN low b ON a.dst = b.src WHERE a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM arcs WHERE arcs.src = a.src AND arcs.dst = b.dst)",
+    f"WITH {_EDGES}, low AS MATERIALIZED (SELECT src, dst FROM arcs WHERE src > dst) SELECT DISTINCT b.dst AS x, a.src AS u FROM low a JOIN low b ON a.dst = b.src WHERE NOT EXISTS (SELECT 1 FROM arcs WHERE arcs.src = a.src AND arcs.dst = b.dst)",
 )
 def transitive_pairs_edges(spark, sf_dir):
-    """The same over the edges of the line items."""
-    return graph.transitive_pairs(staged(graph.orient_by_degree(_edges(spark, sf_dir)), "arcs"))
+    """The same over the edges of the line items, from the larger id to the smaller: by degree all arcs of this graph of two sides lead to one of them, and there is no pair."""
+    return graph.transitive_pairs(staged(_edges(spark, sf_dir).where("src > dst"), "arcs"))
 
 
 @register("fraternal_pairs", f"WITH {_EDGES}, {_LOW} SELECT DISTINCT a.src AS x, b.src AS y FROM low a JOIN low b ON a.dst = b.dst WHERE a.src < b.src AND NOT EXISTS (SELECT 1 FROM arcs WHERE arcs.src = a.src AND arcs.dst = b.src)")

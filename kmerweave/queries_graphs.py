@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import queries as q
 from .jobs import regions
-from .operators import annotate, assembly, condensed, density, graph, vectors
+from .operators import annotate, assembly, condensed, density, graph, neighbour_map, vectors
 from .operators._stage import staged
 from .queries import K, _sk, _table, register
 from .queries_regions import _PIECE_SQL, _tree
@@ -170,3 +170,34 @@ def density_check(spark, sf_dir):
     n = p.agg(F.count("*").alias("n"), (F.count("*") == F.countDistinct("id")).alias("one_chosen"))  # one row
     told = each.agg(F.sum(F.when(F.col("is_root"), F.col("size"))).alias("rooted"), F.every("adds").alias("sizes_add_up"), F.every("pair").alias("in_pairs"), F.every("falls").alias("nearer_below"), F.min(F.col("stability") >= 0).alias("stable"))
     return n.crossJoin(told).select("n", (F.col("rooted") == F.col("n")).alias("root_holds_all"), "sizes_add_up", "in_pairs", "nearer_below", "stable", "one_chosen")
+
+
+@register(
+    "nearest_vectors",
+    """WITH x AS MATERIALIZED (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS MATERIALIZED (SELECT a.id AS i, b.id AS j, list_distance(a.v, b.v) AS d FROM x a JOIN x b ON a.id <> b.id)
+SELECT i AS vec_id, count(*) AS n, round(min(d), 4) AS nearest, round(max(d), 4) AS furthest FROM (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM d) WHERE k <= 15 GROUP BY i""",
+)
+def nearest_vectors(spark, sf_dir):
+    """The distances of every vector's first and fifteenth neighbour."""
+    rows, apart = density.blocks(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    near = F.col("near")
+    return density.neighbours(rows, apart, 15).select(F.col("id").alias("vec_id"), F.size(near).cast("long").alias("n"), F.round(near[0]["d"], 4).alias("nearest"), F.round(F.element_at(near, -1)["d"], 4).alias("furthest"))
+
+
+#: Rounds of the map as a query.
+MAP_ROUNDS = 40
+
+
+@register("vector_map", None)
+def vector_map(spark, sf_dir):
+    """Every vector's place on a plane."""
+    return neighbour_map.placed(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 15.0, MAP_ROUNDS).points.select(F.col("id").alias("vec_id"), "x", "y")
+
+
+@register("vector_map_check", "SELECT count(*) AS n, true AS finite, true AS nearer FROM embeddings")
+def vector_map_check(spark, sf_dir):
+    """Every vector has a place, and the divergence falls."""
+    points, losses = neighbour_map.placed(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 15.0, MAP_ROUNDS)
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return points.agg(F.count("*").alias("n"), F.every(finite("x") & finite("y")).alias("finite"), F.lit(losses[-1] < losses[0]).alias("nearer"))
