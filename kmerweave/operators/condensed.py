@@ -22,7 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import graph
+from . import density, graph
 from ._stage import Parts, counted, drop, staged
 from .hierarchy import running
 
@@ -62,7 +62,11 @@ def chains(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
             drop(*old)
             return out.read(), first.select(F.col("x").alias("id"), F.col("p").alias("e")), level
         taken = staged(live.join(least.select(F.col("p").alias("e")).distinct(), "e", "left_semi"), "taken")
-        comp = staged(graph.components(taken.select(F.col("x").alias("src"), F.col("y").alias("dst")), least.select(F.col("x").alias("id"))), "contracted")
+        if seen.n <= density.DRIVER_EDGES:  # every vertex takes one edge
+            comp = density._merged_here(taken.select(F.col("x").alias("a"), F.col("y").alias("b")), least.select(F.col("x").alias("id"), F.col("x").alias("comp"))).select("id", F.col("comp").alias("component"))
+        else:
+            comp = graph.components(taken.select(F.col("x").alias("src"), F.col("y").alias("dst")), least.select(F.col("x").alias("id")))
+        comp = staged(comp, "contracted")
         to = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"{c}2"))  # noqa: B023, E731
         mine = taken.select("e", "x")
         moved = (mine if waiting is None else mine.union(waiting)).join(to("x"), "x").select("e", F.col("x2").alias("x"))
@@ -170,7 +174,7 @@ def condense(tree: DataFrame, ids: DataFrame, least: int = 15, root: bool = Fals
     """
     if least < 2:
         raise ValueError("a cluster holds at least two vectors")
-    density = lambda c: F.lit(1.0) / F.greatest(c, F.lit(floor))
+    dense = lambda c: F.lit(1.0) / F.greatest(c, F.lit(floor))
     edges = staged(graph.renumber(tree.select("a", "b", "weight", F.struct("weight", "a", "b").alias("at")), "at", "e").select("e", "a", "b", "weight"), "ranked")
     weight = edges.select("e", "weight")
     chain, first, levels = chains(edges)
@@ -195,11 +199,11 @@ def condense(tree: DataFrame, ids: DataFrame, least: int = 15, root: bool = Fals
     at = of.select("e", "c", "weight").join(whole, "c").select("e", F.col("to").alias("own"), F.col("weight").alias("left"))
     left = staged(_leaving(staged(flat, "flat"), first).join(at, "e").select("id", "own", "left"), "left")
 
-    since = F.coalesce(density(F.col("birth")), F.lit(0.0))
-    leave = left.groupBy(F.col("own").alias("c")).agg(F.sum(density(F.col("left"))).alias("d"), F.count("*").alias("n"))
-    parted = born.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("c")).agg(F.sum(density(F.col("birth")) * F.col("size")).alias("d"), F.sum("size").alias("n"))
+    since = F.when(F.col("birth").isNull(), F.lit(0.0)).otherwise(dense(F.col("birth")))
+    leave = left.groupBy(F.col("own").alias("c")).agg(F.sum(dense(F.col("left"))).alias("d"))
+    parted = born.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("c")).agg(F.sum(dense(F.col("birth")) * F.col("size")).alias("d"))
     gone = leave.union(parted).groupBy("c").agg(F.sum("d").alias("d"))
-    stable = staged(born.join(gone, "c").select("c", "parent", "birth", "size", (F.col("d") - F.when(F.col("birth").isNull(), F.lit(0.0)).otherwise(since) * F.col("size")).alias("stability")), "stable")
+    stable = staged(born.join(gone, "c").select("c", "parent", "birth", "size", (F.col("d") - since * F.col("size")).alias("stability")), "stable")
     best = _best(stable).join(stable.select("c", "parent"), "c").select("c", "parent", (F.col("wins") & (F.col("parent").isNotNull() | F.lit(root))).alias("wins"))
     top = staged(_topmost(staged(best, "winners")), "top")
     clusters = stable.join(top, "c").select(F.col("c").alias("cluster"), "parent", "birth", "size", "stability", F.coalesce(F.col("top") == F.col("c"), F.lit(False)).alias("chosen"))

@@ -86,7 +86,8 @@ def test_cloud(spark):
     same(spark, tree, 300, 5)
 
 
-def test_ties_and_root(spark):
+def test_ties_and_root_by_tables(spark, monkeypatch):
+    monkeypatch.setattr(density, "DRIVER_EDGES", 0)
     rng = np.random.default_rng(5)
     same(spark, [(int(rng.integers(0, i)), i, float(rng.integers(0, 4))) for i in range(1, 120)], 120, 3, root=True)
 

@@ -11,7 +11,7 @@ from kmerweave import queries as library
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SOME = ["query_match_counts", "exact_containment", "neighborhood_expand", "composition_matrix", "mate_pairing", "record_mean_abundance", "pendant_disconnect", "contract_edges", "components", "partition_antichain", "unassembled_nodes", "response_curve", "lineage_purity", "lineage_lca", "dense_renumber_text_order"]
-SOME += ["query_results", "query_reads", "abundance_by_query", "node_info_by_query", "kept_index_matches", "protein_record_hits", "orientation_check", "domset_check", "gather_check", "contracted_kmers", "density_tree", "unassembled_table", "region_leaves", "named_read_pairs", "augmented_arcs"]
+SOME += ["query_results", "query_reads", "abundance_by_query", "node_info_by_query", "kept_index_matches", "protein_record_hits", "orientation_check", "domset_check", "gather_check", "contracted_kmers", "density_tree", "unassembled_table", "region_leaves", "named_read_pairs", "augmented_arcs", "nearest_vectors", "transitive_pairs_edges"]
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
