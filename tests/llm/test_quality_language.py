@@ -55,6 +55,21 @@ def test_language(spark):
     assert {r.lang_pred for r in language.predict(none, language.fit(none)).collect()} == {"und"}
 
 
+def test_language_of_empty_tables_and_repeated_rows(spark):
+    schema = "doc_id long, text string, lang string"
+    empty = spark.createDataFrame([], schema)
+    model = language.fit(empty)
+    assert model.languages == [] and language.predict(empty, model).count() == 0
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(("the and river people", "der und fluss leute")[i % 2].split()) for _ in range(12)), ("en", "de")[i % 2]) for i in range(60)]
+    once, twice = spark.createDataFrame(rows, schema), spark.createDataFrame(rows + rows, schema)
+    model, again = language.fit(once), language.fit(twice)
+    assert again.languages == model.languages == ["de", "en"] and np.array_equal(again.weights, model.weights)
+    assert language.predict(empty, model).count() == 0
+    got = sorted(map(tuple, language.predict(twice, again).collect()))
+    assert len(got) == 120 and got[::2] == got[1::2]
+
+
 def test_presence_kernel_by_hand():
     x = language.presence([b"ab", b"AB", b"a  b", b"", b"b"])
     assert x[0].sum() == 3 and (x[0] == x[1]).all()
