@@ -138,8 +138,8 @@ def density_tree(spark, sf_dir):
     return tree.agg(F.count("*").alias("n_edges"), F.round(F.sum("weight"), 4).alias("total"))
 
 
-#: Vectors of a cluster at least.
-CLUSTER = 15
+#: Vectors of a cluster at least; of 15 the given vectors form none but the root.
+CLUSTER = 5
 
 
 def _condensed(spark, sf_dir):
