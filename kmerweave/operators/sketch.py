@@ -114,10 +114,12 @@ def theta_overlap(few: DataFrame, many: DataFrame, key_few: str, key_many: str)
 
     Two sketches hold enough for any of these; no k-mer is read again.  The queries are
     written and counted, and broadcast only if they are few.  Relative errors of sizes are
-    about 1 / sqrt(2**lg), those of containments about that over the root of the larger
-    of both sizes' ratio.
+    about 1 / sqrt(2**lg).  Containment is the share of those hashes of a query that both
+    sketches sample, so its standard error is at most 0.5 over the root of their number.
     """
     left = few.select(key_few, F.col("sketch").alias("_a"), F.theta_sketch_estimate("sketch").alias("n_few"))
     right = many.select(key_many, F.col("sketch").alias("_b"), F.theta_sketch_estimate("sketch").alias("n_many"))
-    pairs = right.crossJoin(checked(left, 10_000)).withColumn("both", F.theta_sketch_estimate(F.theta_intersection("_a", "_b")))  # a set of queries against all rows
-    return pairs.select(key_few, key_many, "n_few", "n_many", "both", ratio(F.col("both"), F.col("n_few")).alias("containment"), ratio(F.col("both"), F.col("n_few") + F.col("n_many") - F.col("both")).alias("similarity"))
+    # intersection and difference have one sampling rate, unlike the whole sketch of a query
+    estimate = lambda of: F.theta_sketch_estimate(of("_a", "_b"))
+    pairs = right.crossJoin(checked(left, 10_000)).withColumns({"both": estimate(F.theta_intersection), "_rest": estimate(F.theta_difference)})  # a set of queries against all rows
+    return pairs.select(key_few, key_many, "n_few", "n_many", "both", ratio(F.col("both"), F.col("both") + F.col("_rest")).alias("containment"), ratio(F.col("both"), F.col("n_few") + F.col("n_many") - F.col("both")).alias("similarity"))

@@ -138,3 +138,12 @@ def test_approximate_sketches(spark):
     merged = sketch.theta_merged(many.withColumn("all", F.lit(1)), "all").select(F.theta_sketch_estimate("sketch").alias("n")).first().n
     union = sketch.scaled_sketch(nodes, 21, 1).count()
     assert abs(merged - union) < 5 * union / 2**6
+
+
+def test_theta_containment_of_a_part_is_one(spark):
+    rng = random.Random(3)
+    seq = "".join(rng.choice("ACGT") for _ in range(6000))
+    nodes = spark.createDataFrame([(1, seq)], "id long, seq string")
+    queries = spark.createDataFrame([(i, seq[300 * i : 300 * i + 250]) for i in range(8)], "query long, seq string")
+    few, many = sketch.theta_sketches(queries, 21, "query"), sketch.theta_sketches(nodes, 21, "id", lg=8)
+    assert {r.containment for r in sketch.theta_overlap(few, many, "query", "id").collect()} == {1.0}
