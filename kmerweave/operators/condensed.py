@@ -199,11 +199,12 @@ def condense(tree: DataFrame, ids: DataFrame, least: int = 15, root: bool = Fals
     at = of.select("e", "c", "weight").join(whole, "c").select("e", F.col("to").alias("own"), F.col("weight").alias("left"))
     left = staged(_leaving(staged(flat, "flat"), first).join(at, "e").select("id", "own", "left"), "left")
 
-    since = F.when(F.col("birth").isNull(), F.lit(0.0)).otherwise(dense(F.col("birth")))
-    leave = left.groupBy(F.col("own").alias("c")).agg(F.sum(dense(F.col("left"))).alias("d"))
-    parted = born.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("c")).agg(F.sum(dense(F.col("birth")) * F.col("size")).alias("d"))
+    # differences before sums: a vector leaves no further than its cluster arose, so no term and no sum is negative
+    since = born.select(F.col("c").alias("own"), F.when(F.col("birth").isNull(), F.lit(0.0)).otherwise(dense(F.col("birth"))).alias("since"))
+    leave = left.join(since, "own").groupBy(F.col("own").alias("c")).agg(F.sum(dense(F.col("left")) - F.col("since")).alias("d"))
+    parted = born.where(F.col("parent").isNotNull()).select(F.col("parent").alias("own"), "birth", "size").join(since, "own").groupBy(F.col("own").alias("c")).agg(F.sum((dense(F.col("birth")) - F.col("since")) * F.col("size")).alias("d"))
     gone = leave.union(parted).groupBy("c").agg(F.sum("d").alias("d"))
-    stable = staged(born.join(gone, "c").select("c", "parent", "birth", "size", (F.col("d") - since * F.col("size")).alias("stability")), "stable")
+    stable = staged(born.join(gone, "c").select("c", "parent", "birth", "size", F.col("d").alias("stability")), "stable")
     best = _best(stable).join(stable.select("c", "parent"), "c").select("c", "parent", (F.col("wins") & (F.col("parent").isNotNull() | F.lit(root))).alias("wins"))
     top = staged(_topmost(staged(best, "winners")), "top")
     clusters = stable.join(top, "c").select(F.col("c").alias("cluster"), "parent", "birth", "size", "stability", F.coalesce(F.col("top") == F.col("c"), F.lit(False)).alias("chosen"))

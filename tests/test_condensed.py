@@ -124,3 +124,14 @@ def test_from_vectors(spark):
     label = {r.id: r.cluster for r in got}
     groups = [{label[i] for i in range(40 * k, 40 * k + 40)} - {None} for k in range(3)]
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
+
+
+def test_no_stability_is_negative_where_all_leave_at_the_distance_of_birth(spark):
+    edges, n = [], 14
+    for t in range(40):  # trees of two groups of seven, all edges of one weight, the joining one the last
+        w, at = 1.1 + t / 977, lambda i, t=t: n * t + i
+        edges += [(at(i), at(i + 1), w) for i in range(5)] + [(at(0), at(13), w)] + [(at(i), at(i + 1), w) for i in range(6, 12)] + [(at(12), at(13), w)]
+    tree = spark.createDataFrame(edges, "a long, b long, weight double")
+    rows = condensed.condense(tree, spark.range(40 * n), 7).clusters.collect()
+    assert len(rows) == 120
+    assert {r.stability for r in rows if r.parent is not None} == {0.0}
