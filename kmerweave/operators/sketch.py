@@ -29,9 +29,26 @@ def downsample(sketch: DataFrame, scaled: int) -> DataFrame:
 
 
 def bottom_sketch(nodes: DataFrame, k: int, n: int, key: str) -> DataFrame:
-    """key, rank, hash: the n smallest distinct hashes; Spark keeps n per task before it shuffles."""
-    rank = Window.partitionBy(key).orderBy("hash")
-    return hashes(nodes, k, key).withColumn("rank", F.dense_rank().over(rank)).where(F.col("rank") <= n).distinct()
+    """key, rank, hash: the n smallest distinct hashes.
+
+    A text's hashes above a bound that leaves several times n are dropped before they are
+    ranked.  Keys that have fewer than n below the bounds of all their texts, such as those
+    of repetitive texts, are done again with all hashes.
+    """
+    ranked = lambda found: found.withColumn("rank", F.dense_rank().over(Window.partitionBy(key).orderBy("hash"))).where(F.col("rank") <= n).distinct()
+    enough, every = 8 * n + 32, "f" * 15
+    size = F.length("seq") - k + 1
+    most = F.when(size <= enough, F.lit(every)).otherwise(F.lpad(F.lower(F.hex((F.lit(2.0**60) * enough / size).cast("long"))), 15, "0"))
+    rows = nodes.where(F.length("seq") >= k).select(key, "seq", most.alias("_most"))
+    low = kmers(rows, "seq", k, key, "_most", both_strands=True).select(key, "_most", h60_digits(F.col("kmer")).alias("_digits")).where(F.col("_digits") <= F.col("_most"))
+    first = staged(ranked(low.select(key, from_digits(F.col("_digits")).alias("hash"))), "bottom")
+    own = F.struct(key).alias("_key")  # null is a key too
+    bound = rows.groupBy(own).agg(F.min("_most").alias("_bound")).where(F.col("_bound") < every)
+    told = first.groupBy(own).agg(F.max("hash").alias("_last"), F.count("*").alias("_n"))
+    short = (F.coalesce("_n", F.lit(0)) < n) | (F.col("_last") > from_digits(F.col("_bound")))
+    again = checked(bound.join(told, "_key", "left").where(short).select("_key"))
+    rest = ranked(hashes(rows.withColumn("_key", own).join(again, "_key", "left_semi"), k, key))
+    return first.withColumn("_key", own).join(again, "_key", "left_anti").select(key, "rank", "hash").union(rest.select(key, "rank", "hash"))
 
 
 def overlap(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
