@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators._stage import checked
+
 #: Characters of the parts that long texts are dealt out in, and of the blocks that k-mers are cut from.
 PART, BLOCK = 16_384, 64
+#: Characters of a task that has all k-mers of its keys or minimizers, about; of a key that one task takes at most.
+SHARE, LONG = 2**21, 2**20
+#: Characters that are cut into stretches in one pass.
+PASS = 2**20
 
 
 def windows(df: DataFrame, text: str, size: int, overlap: int, *keep: str) -> DataFrame:
@@ -43,16 +52,23 @@ def pieces(df: DataFrame, text: str, size: int, overlap: int, *keep: str) -> Dat
     return cut.select(*keep, F.inline(F.transform("_cells", lambda c, i: F.struct((i * size).alias("start"), F.concat(c, ahead(i)).alias("piece")))))
 
 
-def kmers(df: DataFrame, text: str, k: int, *keep: str, both_strands: bool = False) -> DataFrame:
+def shares(df: DataFrame, text: str) -> int:
+    """Tasks for the k-mers of a table, so that each has about ``SHARE`` of them however large it is."""
+    n = df.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-n // SHARE))
+
+
+def kmers(df: DataFrame, text: str, k: int, *keep: str, both_strands: bool = False, dealt: bool = False) -> DataFrame:
     """One row per k-mer: the kept columns, pos (from 0) and kmer.
 
     Texts shorter than k have none.  Parts that overlap by k - 1 characters let Spark
     deal out long texts, and blocks within them keep positions cheap to reach.  With
     ``both_strands`` a k-mer stands for its reverse complement too: the smaller of
-    the two is given.
+    the two is given.  Rows that the caller has ``dealt`` out stay where they are.
     """
     part, block = max(PART, k), max(BLOCK, k)
-    parts = spread(pieces(df.where(F.length(text) >= k), text, part, k - 1, *keep)).withColumnsRenamed({"start": "_part", "piece": "_text"})
+    parts = pieces(df.where(F.length(text) >= k), text, part, k - 1, *keep)
+    parts = (parts if dealt else spread(parts)).withColumnsRenamed({"start": "_part", "piece": "_text"})
     blocks = pieces(parts, "_text", block, k - 1, *keep, "_part").where(F.length("piece") >= k)
     if both_strands:
         blocks = blocks.withColumn("_back", reverse_complement(F.col("piece")))
@@ -64,6 +80,97 @@ def kmers(df: DataFrame, text: str, k: int, *keep: str, both_strands: bool = Fal
     return at.select(*keep, (F.col("_part") + F.col("start") + F.col("_i")).alias("pos"), kmer.alias("kmer"))
 
 
+def stretches(df: DataFrame, text: str, k: int, *keep: str) -> DataFrame:
+    """Kept columns, deal and stretch: the texts cut where the minimizer of their k-mers changes, so every k-mer is in one stretch.
+
+    A k-mer's minimizer is the least hash of the strings of about k / 3 characters in
+    it, over both strands, so equal k-mers and reverse complements have the same
+    ``deal`` (its lower 16 bits).  Dealt out by it, a stretch of several k-mers travels as one short string
+    instead of a row for each k-mer.
+    """
+    m = max(k // 3, min(k, 7))
+    span = k - m + 1
+    parts = spread(pieces(df.where(F.length(text) >= k), text, max(PART, k), k - 1, *keep)).where(F.length("piece") >= k).select(*keep, "piece")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("piece").to_pylist()
+            ends = np.cumsum([len(t) for t in texts])
+            lo = 0
+            while lo < len(texts):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PASS, "right")))
+                row, deal, found = _stretches(texts[lo:hi], k, m, span)
+                at = pa.array(row + lo)
+                yield pa.record_batch([*(b.column(c).take(at) for c in keep), pa.array(deal.astype(np.int32)), pa.array(found, pa.string())], [*keep, "deal", "stretch"])
+                lo = hi
+
+    types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in parts.select(*keep).schema)
+    return parts.mapInArrow(cut, f"{types}deal int, stretch string")
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(32))) * _U(0x9E3779B97F4A7C15)
+    return h ^ (h >> _U(29))
+
+
+def _stretches(texts: list[str], k: int, m: int, span: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Row, minimizer and text of every stretch of at most ``BLOCK`` k-mers."""
+    whole = "".join(texts)
+    c = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
+    turned = c.copy()
+    for a, z in ("AT", "TA", "CG", "GC"):
+        turned[c == ord(a)] = ord(z)
+    n = len(c) - m + 1
+    one, two = np.zeros(n, _U), np.zeros(n, _U)
+    with np.errstate(over="ignore"):
+        for j in range(m):
+            one = one * _U(0x100000001B3) + c[j : j + n]
+            two = two * _U(0x100000001B3) + turned[m - 1 - j : m - 1 - j + n]
+        least = np.minimum(_mixed(one), _mixed(two))
+    wide = 1
+    while wide < span:  # the least of ``span`` neighbours by doubling
+        step = min(wide, span - wide)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        wide += step
+    size = np.array([len(t) for t in texts])
+    first = np.cumsum(size) - size
+    count = size - k + 1
+    row = np.repeat(np.arange(len(texts)), count)
+    at = np.arange(len(row)) + np.repeat(first - (np.cumsum(count) - count), count)  # where the k-mers begin
+    key = least[at] & _U(0xFFFF)
+    new = np.ones(len(at), bool)
+    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    place = np.arange(len(at))
+    new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % BLOCK == 0
+    begin = np.flatnonzero(new)
+    until = np.append(begin[1:], len(at))
+    found = [whole[i:j] for i, j in zip(at[begin].tolist(), (at[until - 1] + k).tolist())]
+    return row[begin], key[begin], found
+
+
+def stretch_keys(rows: DataFrame, k: int, *keep: str) -> DataFrame:
+    """Kept columns and one row per k-mer of ``stretch``, as the two parts h and c of the hash that ``kmer_keys`` gives."""
+    back = rows.select(*keep, "stretch", reverse_complement(F.col("stretch")).alias("_back"), F.length("stretch").alias("_n"))
+    at = back.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - k)).alias("_i"))
+    kmer = F.least(F.substring("stretch", F.col("_i") + 1, F.lit(k)), F.substring("_back", F.col("_n") - F.col("_i") - k + 1, F.lit(k)))
+    return at.select(*keep, kmer.alias("_kmer")).select(*keep, F.xxhash64("_kmer").alias("h"), F.hash("_kmer").alias("c"))
+
+
+def distinct_kmers(df: DataFrame, text: str, k: int, key: str, both_strands: bool = False) -> DataFrame:
+    """key, n: the distinct k-mers of each key that has any.
+
+    Texts are dealt out by key, so what is shuffled is the texts; the k-mers of keys of
+    more than ``LONG`` characters are shuffled, so no task has all of such a key.
+    """
+    some = df.where(F.length(text) >= k).select(F.struct(key).alias("_key"), F.col(text).alias("_whole"))  # null is a key too
+    long_ = checked(some.groupBy("_key").agg(F.sum(F.length("_whole").cast("long")).alias("_n")).where(F.col("_n") > LONG).select("_key"))
+    # short k-mers are few and known by themselves, others by 96 bits
+    parts = [F.col("kmer")] if k <= 8 else [F.xxhash64("kmer").alias("h"), F.hash("kmer").alias("c")]
+    counted = lambda rows, dealt: kmers(rows, "_whole", k, "_key", both_strands=both_strands, dealt=dealt).select("_key", *parts).distinct().groupBy("_key").agg(F.count("*").alias("n"))
+    short = some.join(long_, "_key", "left_anti").repartition(shares(some, "_whole"), "_key")
+    return counted(short, True).union(counted(some.join(long_, "_key", "left_semi"), False)).select(f"_key.{key}", "n")
+
+
 def kmer_keys(df: DataFrame, text: str, k: int, *keep: str) -> DataFrame:
     """``kmers`` of both strands as 96-bit hashes (kmer: struct of a long and an int), which shuffles and joins carry instead of strings."""
     found = kmers(df, text, k, *keep, both_strands=True)

@@ -68,7 +68,15 @@ def hash_search(sketches: DataFrame, piece: DataFrame, hashes: DataFrame) -> Dat
 
 def sample_abundance(kmer_index: DataFrame, sizes: DataFrame, sample: DataFrame, k: int) -> DataFrame:
     """id, abund, size: occurrences of each node's k-mers in a sample's records, repeats counted; nodes without any have 0."""
-    hit = kmer_keys(sample, "seq", k).groupBy("kmer").agg(F.count("*").alias("n")).join(kmer_index, "kmer").groupBy("id").agg(F.sum("n").alias("abund"))
+    return _with_sizes(sizes, kmer_keys(sample, "seq", k).groupBy("kmer").agg(F.count("*").alias("n")).join(kmer_index, "kmer").groupBy("id").agg(F.sum("n").alias("abund")))
+
+
+def own_abundance(nodes: DataFrame, sample: DataFrame, k: int) -> DataFrame:
+    """The same for nodes (id, seq) whose index isn't at hand."""
+    return _with_sizes(index.node_sizes(nodes, k), index.own_hits(nodes, sample, k))
+
+
+def _with_sizes(sizes: DataFrame, hit: DataFrame) -> DataFrame:
     return sizes.join(hit, "id", "left").select("id", F.coalesce("abund", F.lit(0)).alias("abund"), F.col("n_kmers").alias("size"))
 
 

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.sequence import kmer_keys
+from ..functions.sequence import kmer_keys, shares, stretch_keys, stretches
 from . import bloom
 from ._stage import BROADCAST_ROWS, checked, counted, staged
 
@@ -32,11 +33,11 @@ def unique_index(nodes: DataFrame, k: int, wanted: DataFrame | None = None) -> D
     broadcast, a Bloom filter comes before the count instead, and the semi-join after it:
     tasks then sum up repeated k-mers before these are shuffled.
     """
+    if wanted is None:
+        return spans(nodes, k).where("a = b").select(F.struct("h", "c").alias("kmer"), F.col("a").alias("id"))
     found = kmer_keys(nodes, "seq", k, "id").select("id", "kmer")
     # smallest and largest id tell apart one node from several without holding a set
     summed = lambda df: df.groupBy("kmer").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").select("kmer", "id")
-    if wanted is None:
-        return summed(found)
     # a semi-join and a filter need no distinct keys
     keys, seen = counted(wanted.select("kmer"), "wanted-keys")
     if seen.n <= BROADCAST_ROWS:
@@ -46,9 +47,48 @@ def unique_index(nodes: DataFrame, k: int, wanted: DataFrame | None = None) -> D
     return summed(some).join(keys.hint("shuffle_hash"), "kmer", "left_semi")
 
 
+def spans(nodes: DataFrame, k: int) -> DataFrame:
+    """h, c (the hash of a k-mer), a, b: the smallest and the largest id of the nodes that hold it.
+
+    Stretches are dealt out by minimizer, so all that holds a k-mer is in one task and no
+    k-mer is shuffled.
+    """
+    dealt = stretches(nodes, "seq", k, "id").repartition(shares(nodes, "seq"), "deal")
+    # repeated stretches are one before they are cut
+    once = dealt.groupBy("deal", "stretch").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    return stretch_keys(once, k, "deal", "a", "b").groupBy("deal", "h", "c").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("deal")
+
+
+def _with_reads(nodes: DataFrame, reads: DataFrame, k: int, read) -> DataFrame:
+    """deal, stretch, id, read: the stretches of nodes (no read) and of reads (no id), dealt out together."""
+    mine = stretches(nodes, "seq", k, "id")
+    theirs = stretches(reads.select(read.alias("read"), "seq"), "seq", k, "read")
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    both = mine.select("deal", "stretch", "id", none(theirs, "read").alias("read")).union(theirs.select("deal", "stretch", none(mine, "id"), "read"))
+    return both.repartition(shares(nodes, "seq") + shares(reads, "seq"), "deal")
+
+
+def own_hits(nodes: DataFrame, reads: DataFrame, k: int) -> DataFrame:
+    """id, abund: how often the k-mers that one node alone has occur in the reads (seq)."""
+    ends = lambda a, b: (F.min(a).alias("a"), F.max(b).alias("b"))
+    once = _with_reads(nodes, reads, k, F.lit(1)).groupBy("deal", "stretch").agg(*ends("id", "id"), F.count("read").alias("n"))
+    each = stretch_keys(once, k, "deal", "a", "b", "n").groupBy("deal", "h", "c").agg(*ends("a", "b"), F.sum("n").alias("n"))
+    return each.where("a = b and n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("abund"))
+
+
+def own_labels(nodes: DataFrame, reads: DataFrame, k: int, *keys: str) -> DataFrame:
+    """Keys of the reads (and seq), id: the nodes that alone have one of a read's k-mers."""
+    ends = lambda a, b: (F.min(a).alias("a"), F.max(b).alias("b"))
+    once = _with_reads(nodes, reads, k, F.struct(*keys)).groupBy("deal", "stretch", "read").agg(*ends("id", "id"))
+    each = stretch_keys(once, k, "deal", "read", "a", "b").groupBy("deal", "h", "c", "read").agg(*ends("a", "b"))
+    same = Window.partitionBy("deal", "h", "c")
+    held = each.select("read", F.min("a").over(same).alias("id"), F.max("b").over(same).alias("last"))
+    return held.where("read is not null and id = last").select("read", "id").distinct().select("read.*", "id")
+
+
 def collisions(nodes: DataFrame, k: int) -> DataFrame:
     """n_kmers, n_multi: distinct k-mers, and those of several nodes."""
-    each = kmer_keys(nodes, "seq", k, "id").groupBy("kmer").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    each = spans(nodes, k)
     return each.agg(F.count("*").alias("n_kmers"), F.count_if(F.col("a") < F.col("b")).alias("n_multi"))
 
 
