@@ -92,3 +92,20 @@ def test_small_inputs(spark):
     assert density.spanning_tree(spark.createDataFrame(bad, schema), "id", "v").count() == 0
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(7)], schema)
     assert [(r.a, r.b, r.weight) for r in density.spanning_tree(same, "id", "v", 3).orderBy("b").collect()] == [(0, i, 0.0) for i in range(1, 7)]
+
+
+def test_grid_of_cells(spark, monkeypatch):
+    """Blocks are dealt out over cells, not joined by pairs; neighbours and tree are those of all pairs, copies too."""
+    monkeypatch.setattr(density, "VALUES", 512)
+    monkeypatch.setattr(density, "TILE", 1024)
+    monkeypatch.setattr(density, "LISTED", 3)
+    x = np.concatenate([cloud(130, 4), np.repeat([[1.5] * 8], 40, axis=0)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    rows, apart = density.blocks(df, "id", "v", 20)
+    monkeypatch.setattr(density, "BLOCK", 16)
+    got = {r.id: [n.id for n in r.near] for r in density.neighbours(rows, apart, 6).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert got == {i: np.lexsort((np.arange(len(x)), d[i]))[:6].tolist() for i in range(len(x))}
+    tree = sorted((r.a, r.b) for r in density.spanning_tree(df, "id", "v", 2, 20).collect())
+    assert tree == sorted((a, b) for a, b, _ in literal_tree(x, 2)[1])
