@@ -105,3 +105,23 @@ def test_tasks_that_drop_repeated_edges_grow_with_the_items(spark, tmp_path, mon
     edges = library._edges(spark, str(tmp_path))
     assert edges.count() == 2 * 90 * 7
     assert "hashpartitioning(src#" in (plan := edges._jdf.queryExecution().executedPlan().toString()) and ", 40), REPARTITION_BY_NUM" in plan
+
+
+def test_pairs_in_tasks_of_bounded_rows(spark, monkeypatch):
+    """Pairs over a vertex are dealt out by their number before repeated ones go; arcs of weight 2 are those of all pairs."""
+    monkeypatch.setattr(graph, "SHARE", 20)
+    rng = random.Random(9)
+    pairs = sorted({(2 * rng.randrange(30), 2 * rng.randrange(8) + 1) for _ in range(90)})
+    edges = graph.undirected(spark.createDataFrame(pairs, "src long, dst long"))
+    arcs = graph.staged(edges.where("src > dst"), "test-arcs")
+    found = graph.transitive_pairs(arcs)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    low = {(max(p), min(p)) for p in pairs}
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted({(x, u) for u, v in low for w, x in low if w == v and x != u and (u, x) not in low and (x, u) not in low})
+    n = {i: sum(i in p for p in pairs) for p in pairs for i in p}
+    one = {max(((n[i], i, j), (n[j], j, i)))[1:] for i, j in pairs}
+    two = {(x, y) for x, h in one for y, g in one if h == g and x < y} | {(min(u, x), max(u, x)) for u, v in one for w, x in one if w == v}
+    told = graph.augment(edges, 2).collect()
+    assert {(r.src, r.dst) for r in told if r.weight == 1} == one
+    assert sorted((min(r.src, r.dst), max(r.src, r.dst)) for r in told if r.weight == 2) == sorted(two - {tuple(sorted(p)) for p in pairs})
