@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._stage import counted, drop, staged
+from .graph import once
 from .index import ratio
 
 #: Rounds of doubling: a tree of 2**40 levels is a cycle.
@@ -24,15 +25,22 @@ def ancestors(child: DataFrame) -> DataFrame:
     d, and with themselves, so the rounds are the logarithm of the depth.  A node may
     have several parents.  A cycle raises.
     """
-    exact = staged(child.select(F.col("parent").alias("anc"), F.col("child").alias("desc")).distinct(), "steps")
+    def set_of(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """The distinct pairs and their number, in tasks of bounded memory."""
+        raw, some = counted(rows, "paths")
+        out, seen = counted(once(raw, some.n), name)
+        drop(raw)
+        return out, seen.n
+
+    exact, _ = set_of(child.select(F.col("parent").alias("anc"), F.col("child").alias("desc")), "steps")
     all_ = exact
     for _ in range(MOST_ROUNDS):
         upper = exact.select("anc", F.col("desc").alias("mid"))
-        far, seen = counted(upper.join(exact.withColumnRenamed("anc", "mid"), "mid").select("anc", "desc").distinct(), "steps")
+        far, n = set_of(upper.join(exact.withColumnRenamed("anc", "mid"), "mid").select("anc", "desc"), "steps")
         longer = upper.join(all_.withColumnRenamed("anc", "mid"), "mid").select("anc", "desc")
-        wider = staged(all_.union(longer).distinct(), "ancestors")
+        wider, _ = set_of(all_.union(longer), "ancestors")
         drop(*{id(t): t for t in (exact, all_)}.values())
-        if not seen.n:
+        if not n:
             drop(far)
             return wider
         exact, all_ = far, wider
@@ -43,7 +51,8 @@ def closure(child: DataFrame, level: DataFrame) -> DataFrame:
     """anc, desc: every node with itself and all level-1 nodes below, whatever the depth."""
     ones = level.where("level = 1").select("id")
     below = ancestors(child).join(ones.withColumnRenamed("id", "desc"), "desc", "left_semi").select("anc", "desc")
-    return below.union(ones.select(F.col("id").alias("anc"), F.col("id").alias("desc"))).distinct()
+    # pairs below are distinct and of two nodes
+    return below.union(ones.distinct().select(F.col("id").alias("anc"), F.col("id").alias("desc")))
 
 
 def rollup(anc: DataFrame, leaves: DataFrame, *values: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kmerweave import queries as library
 from kmerweave.functions import sequence
-from kmerweave.operators import graph, index, sketch
+from kmerweave.operators import graph, hierarchy, index, sketch
 
 
 def odd_nodes(spark):
@@ -143,3 +143,19 @@ def test_components_in_tasks_of_bounded_rows(spark, monkeypatch):
     found = graph.components(spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(i,) for i in vertices], "id long"))
     assert {r.id: r.component for r in found.collect()} == label
     assert len(rows) >= 4
+
+
+def test_ancestors_in_tasks_of_bounded_rows(spark, monkeypatch):
+    """Every round's repeated pairs go in tasks of bounded rows; several parents and repeated rows count once."""
+    rows, once = [], graph.once
+    monkeypatch.setattr(graph, "SHARE", 10)
+    monkeypatch.setattr(hierarchy, "once", lambda df, n: rows.append(n) or once(df, n))
+    pairs = [(i // 2, i) for i in range(2, 40)] + [(1, 9), (1, 9), (3, 30)]
+    want = set(pairs)
+    while more := {(a, d) for a, b in want for c, d in want if b == c} - want:
+        want |= more
+    child = spark.createDataFrame(pairs, "parent long, child long")
+    assert sorted(map(tuple, hierarchy.ancestors(child).collect())) == sorted(want)
+    level = spark.createDataFrame([(i, 1) for i in range(20, 40)] + [(i, 2) for i in range(1, 20)], "id long, level int")
+    assert sorted(map(tuple, hierarchy.closure(child, level).collect())) == sorted({p for p in want if p[1] >= 20} | {(i, i) for i in range(20, 40)})
+    assert rows
