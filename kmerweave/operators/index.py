@@ -38,13 +38,22 @@ def unique_index(nodes: DataFrame, k: int, wanted: DataFrame | None = None) -> D
     found = kmer_keys(nodes, "seq", k, "id").select("id", "kmer")
     # smallest and largest id tell apart one node from several without holding a set
     summed = lambda df: df.groupBy("kmer").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").select("kmer", "id")
+    some, keys, _ = asked_for(found, wanted)
+    return summed(some) if keys is None else summed(some).join(keys.hint("shuffle_hash"), "kmer", "left_semi")
+
+
+def asked_for(found: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """The rows of ``found`` (kmer) that ``wanted`` (kmer) may have, without a shuffle, and the number of wanted rows.
+
+    Few wanted k-mers are broadcast, and the rows are exactly theirs; of many a Bloom
+    filter is, and the keys come too, for the caller to join by what is left.
+    """
     # a semi-join and a filter need no distinct keys
     keys, seen = counted(wanted.select("kmer"), "wanted-keys")
     if seen.n <= BROADCAST_ROWS:
-        return summed(found.join(F.broadcast(keys), "kmer", "left_semi"))
+        return found.join(F.broadcast(keys), "kmer", "left_semi"), None, seen.n
     filter_ = bloom.build(keys, "kmer", seen.n)
-    some = found if filter_ is None else bloom.sift(found, "kmer", staged(filter_, "filter"))
-    return summed(some).join(keys.hint("shuffle_hash"), "kmer", "left_semi")
+    return found if filter_ is None else bloom.sift(found, "kmer", staged(filter_, "filter")), keys, seen.n
 
 
 def spans(nodes: DataFrame, k: int) -> DataFrame:
@@ -97,6 +106,11 @@ def query_kmers(queries: DataFrame, k: int) -> DataFrame:
     return kmer_keys(queries, "seq", k, "query").select("query", "kmer").distinct()
 
 
+def dealt_kmers(queries: DataFrame, k: int) -> DataFrame:
+    """query, deal, kmer: the same with the minimizer by which a kept index is dealt out."""
+    return stretch_keys(stretches(queries, "seq", k, "query"), k, "query", "deal").select("query", "deal", F.struct("h", "c").alias("kmer")).distinct()
+
+
 def matches(index: DataFrame, wanted: DataFrame) -> DataFrame:
     """id, matches: distinct query k-mers that each node holds."""
     return wanted.select("kmer").distinct().join(index, "kmer").groupBy("id").agg(F.count("*").alias("matches"))

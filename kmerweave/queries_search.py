@@ -103,7 +103,7 @@ def _kept(spark, sf_dir):
 def kept_index_matches(spark, sf_dir):
     """Two questions to one kept index: all items, and those of even number."""
     kept = _kept(spark, sf_dir)
-    wanted = q._wanted(spark, sf_dir)
+    wanted = staged(index.dealt_kmers(q._records(spark, sf_dir), K), "wanted")
     even = kept.matches(wanted.where(F.col("query") % 2 == 0)).withColumnRenamed("matches", "even")
     return kept.matches(wanted).join(even, "id", "left").select(F.col("id").alias("doc_id"), "matches", F.coalesce("even", F.lit(0)).alias("even"))
 

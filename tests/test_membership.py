@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from kmerweave.functions import sequence
 from kmerweave.functions.sequence import kmer_keys
 from kmerweave.operators import bloom, index, protein
 from kmerweave.operators.kept import KeptIndex
@@ -91,3 +92,30 @@ def test_records_of_proteins(spark):
     assert whole.where("record = 'p0'").count() == 21
     some = protein.protein_sketch(records, 10, 4, "record")
     assert 0 < some.count() < whole.count() and some.where("hash < 0 or hash > 4611686018427387904").count() == 0
+
+
+def test_kept_index_moves_and_keeps_no_row_for_every_kmer(spark, tmp_path, monkeypatch):
+    """What is kept are stretches; no exchange is by k-mer, growth over the buckets' share writes anew, and wanted k-mers may come with their minimizers or not, few or many."""
+    rng = random.Random(6)
+    shared = dna(rng, 300)
+    nodes = spark.createDataFrame([(i, dna(rng, 400) + shared[i * 9 :][:60]) for i in range(30)] + [(None, dna(rng, 90))], "id long, seq string")
+    monkeypatch.setattr(sequence, "SHARE", 1000)
+    kept = KeptIndex(spark, str(tmp_path / "kept"), 31, 4).build(nodes.where("id < 5"))
+    assert kept.buckets == 5
+    first, before = kept.rows(), kept.rows().count()
+    kept.grow(nodes.where("id between 5 and 7"))
+    assert kept.buckets == 5
+    kept.grow(nodes.where("id > 7 or id is null"))
+    assert kept.buckets == 28 and first.count() == before
+    n, kmers = spark.table(kept.table).count(), kept.rows().count()
+    assert kmers == kmer_keys(nodes, "seq", 31).select("kmer").distinct().count() and 4 * n < kmers
+    rows = kept.rows()
+    rows.collect()
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert kept.collisions().first() == index.collisions(nodes, 31).first()
+    asked = nodes.where("id in (1, 4, 20)").select(F.col("id").alias("query"), "seq")
+    want = sorted(map(tuple, index.matches(index.unique_index(nodes, 31), index.query_kmers(asked, 31)).collect()))
+    for rows in (index.BROADCAST_ROWS, 10):
+        monkeypatch.setattr(index, "BROADCAST_ROWS", rows)
+        for wanted in (index.query_kmers(asked, 31), index.dealt_kmers(asked, 31)):
+            assert sorted(map(tuple, kept.matches(wanted).collect())) == want
