@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,8 @@ from ..operators._stage import checked
 PART, BLOCK = 16_384, 64
 #: Characters of a task that has all k-mers of its keys or minimizers, about; of a key that one task takes at most.
 SHARE, LONG = 2**21, 2**20
-#: Characters that are cut into stretches in one pass.
-PASS = 2**20
+#: Characters that are cut into stretches in one pass, and that are hashed in one; strings that a round of a hash takes at once.
+PASS, HASHED, LANES = 2**20, 2**18, 2**15
 
 
 def windows(df: DataFrame, text: str, size: int, overlap: int, *keep: str) -> DataFrame:
@@ -90,24 +91,54 @@ def stretches(df: DataFrame, text: str, k: int, *keep: str) -> DataFrame:
     """
     m = max(k // 3, min(k, 7))
     span = k - m + 1
-    parts = spread(pieces(df.where(F.length(text) >= k), text, max(PART, k), k - 1, *keep)).where(F.length("piece") >= k).select(*keep, "piece")
+    parts = _parts(df, text, k, *keep).select(*keep, "piece")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("piece").to_pylist()
-            ends = np.cumsum([len(t) for t in texts])
-            lo = 0
-            while lo < len(texts):
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PASS, "right")))
-                row, deal, found = _stretches(texts[lo:hi], k, m, span)
-                at = pa.array(row + lo)
-                yield pa.record_batch([*(b.column(c).take(at) for c in keep), pa.array(deal.astype(np.int32)), pa.array(found, pa.string())], [*keep, "deal", "stretch"])
-                lo = hi
+        for b, lo, texts in _passes(batches, PASS):
+            row, deal, found = _stretches(texts, k, m, span)
+            at = pa.array(row + lo)
+            yield pa.record_batch([*(b.column(c).take(at) for c in keep), pa.array(deal.astype(np.int32)), pa.array(found, pa.string())], [*keep, "deal", "stretch"])
 
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in parts.select(*keep).schema)
     return parts.mapInArrow(cut, f"{types}deal int, stretch string")
 
 
+def _parts(df: DataFrame, text: str, k: int, *keep: str) -> DataFrame:
+    """Kept columns, start and piece: the texts in parts that hold every k-mer once, dealt out over the cores."""
+    return spread(pieces(df.where(F.length(text) >= k), text, max(PART, k), k - 1, *keep)).where(F.length("piece") >= k)
+
+
+def _passes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.RecordBatch, int, list[str]]]:
+    """Each batch with the first row and the texts (piece) of one pass after the other, of about ``most`` characters."""
+    for b in batches:
+        texts = b.column("piece").to_pylist()
+        ends = np.cumsum([len(t) for t in texts])
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+            yield b, lo, texts[lo:hi]
+            lo = hi
+
+
+def _both_strands(whole: str) -> tuple[np.ndarray, np.ndarray]:
+    """The characters, and those that they are exchanged for on the other strand."""
+    c = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    turned = c.copy()
+    for a, z in ("AT", "TA", "CG", "GC"):
+        turned[c == ord(a)] = ord(z)
+    return c, turned
+
+
+def _places(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every k-mer its text, where it begins in the texts as one, and in its own."""
+    size = np.array([len(t) for t in texts])
+    first = np.cumsum(size) - size
+    count = size - k + 1
+    row = np.repeat(np.arange(len(texts)), count)
+    own = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    return row, own + first[row], own
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> _U(32))) * _U(0x9E3779B97F4A7C15)
     return h ^ (h >> _U(29))
@@ -116,10 +147,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def _stretches(texts: list[str], k: int, m: int, span: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Row, minimizer and text of every stretch of at most ``BLOCK`` k-mers."""
     whole = "".join(texts)
-    c = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
-    turned = c.copy()
-    for a, z in ("AT", "TA", "CG", "GC"):
-        turned[c == ord(a)] = ord(z)
+    c, turned = (x.astype(_U) for x in _both_strands(whole))
     n = len(c) - m + 1
     one, two = np.zeros(n, _U), np.zeros(n, _U)
     with np.errstate(over="ignore"):
@@ -132,11 +160,7 @@ def _stretches(texts: list[str], k: int, m: int, span: int) -> tuple[np.ndarray,
         step = min(wide, span - wide)
         least = np.minimum(least[: len(least) - step], least[step:])
         wide += step
-    size = np.array([len(t) for t in texts])
-    first = np.cumsum(size) - size
-    count = size - k + 1
-    row = np.repeat(np.arange(len(texts)), count)
-    at = np.arange(len(row)) + np.repeat(first - (np.cumsum(count) - count), count)  # where the k-mers begin
+    row, at, _ = _places(texts, k)
     key = least[at] & _U(0xFFFF)
     new = np.ones(len(at), bool)
     new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
@@ -172,9 +196,169 @@ def distinct_kmers(df: DataFrame, text: str, k: int, key: str, both_strands: boo
 
 
 def kmer_keys(df: DataFrame, text: str, k: int, *keep: str) -> DataFrame:
-    """``kmers`` of both strands as 96-bit hashes (kmer: struct of a long and an int), which shuffles and joins carry instead of strings."""
-    found = kmers(df, text, k, *keep, both_strands=True)
-    return found.withColumn("kmer", F.struct(F.xxhash64("kmer").alias("h"), F.hash("kmer").alias("c")))
+    """``kmers`` of both strands as 96-bit hashes (kmer: struct of a long and an int), which shuffles and joins carry instead of strings.
+
+    They are Spark's two hashes of the smaller strand, by columns.
+    """
+    found = _hashed(df, text, k, keep, "pos int, h long, c int", lambda *at: (xxhash64(*at).view(np.int64), murmur32(*at).view(np.int32)))
+    return found.select(*keep, "pos", F.struct("h", "c").alias("kmer"))
+
+
+def kmer_h60(df: DataFrame, text: str, k: int, *keep: str, most: int = 2**60 - 1) -> DataFrame:
+    """Kept columns and hash: ``h60`` of every k-mer's smaller strand, where it is at most ``most``."""
+    return _hashed(df, text, k, keep, "pos int, hash long", lambda *at: (md5_60(*at),), most).select(*keep, "hash")
+
+
+def _hashed(df: DataFrame, text: str, k: int, keep: tuple[str, ...], types: str, hashes_of: Callable, most: int | None = None) -> DataFrame:
+    """Kept columns, pos and hashes of every k-mer; with ``most``, of those whose first hash is no more."""
+    parts = _parts(df, text, k, *keep)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, lo, texts in _passes(batches, HASHED):
+            row, pos, *at = _smaller(texts, k)
+            found = hashes_of(*at)
+            if most is not None:
+                some = np.flatnonzero(found[0] <= most)
+                row, pos, found = row[some], pos[some], [h[some] for h in found]
+            rows = pa.array(row + lo)
+            starts = np.asarray(b.column("start"))[row + lo]
+            columns = [*(b.column(c).take(rows) for c in keep), pa.array((pos + starts).astype(np.int32)), *map(pa.array, found)]
+            yield pa.record_batch(columns, [*keep, *(t.split()[0] for t in types.split(", "))])
+
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in parts.select(*keep).schema)
+    return parts.mapInArrow(hashed, kept + types)
+
+
+def _smaller(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every k-mer its text, its place there, and the smaller of its strands: the bytes of all, where it begins in them, and its size."""
+    c, turned = _both_strands("".join(texts))
+    row, at, own = _places(texts, k)
+    flip, open_ = np.zeros(len(at), bool), np.arange(len(at))
+    for j in range(k):  # few are alike for long
+        mine, other = c[at[open_] + j], turned[at[open_] + (k - 1 - j)]
+        flip[open_[other < mine]] = True
+        open_ = open_[other == mine]
+        if not open_.size:
+            break
+    raw = [x.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass") for x in (c, turned[::-1])]
+    ends = np.concatenate([[0], np.cumsum(1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))])
+    begin, until = ends[at], ends[at + k]
+    data = np.frombuffer(b"".join(raw) + bytes(8), np.uint8)
+    return row, own, data, np.where(flip, 2 * ends[-1] - until, begin), until - begin
+
+
+def _by_size(data: np.ndarray, begin: np.ndarray, size: np.ndarray, kind: type, hash_of: Callable) -> np.ndarray:
+    """Hashes of strings in ``data``: those of one size at once, by the word of four bytes that begins at every place."""
+    word = sum(data[i : len(data) - 3 + i].astype(np.uint32) << np.uint32(8 * i) for i in range(4))
+    out = np.zeros(len(begin), kind)
+    for n in np.flatnonzero(np.bincount(size)) if len(size) else ():
+        of = np.flatnonzero(size == n)
+        for lo in range(0, of.size, LANES):
+            some = of[lo : lo + LANES]
+            out[some] = hash_of(lambda i, first=begin[some]: word[first + i], some.size, int(n))
+    return out
+
+
+_MD5_K = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_MD5_S = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+_MD5_G = [(1, 0), (5, 1), (3, 5), (7, 0)]
+
+
+def md5_60(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first 60 bits of the md5 sums of strings in ``data`` (the published algorithm, by columns)."""
+
+    def padded(at, n: int, i: int):
+        """The i-th word of the padded message: an array, or a number that all have."""
+        whole, rest, last = n // 4, n % 4, 16 * ((n + 8) // 64 + 1)
+        if i < whole:
+            return at(4 * i)
+        if i == whole:
+            return at(4 * i) & np.uint32(2 ** (8 * rest) - 1) | np.uint32(0x80 << 8 * rest) if rest else 0x80
+        return 8 * n & 0xFFFFFFFF if i == last - 2 else 8 * n >> 32 if i == last - 1 else 0
+
+    def sums(at, lanes: int, n: int) -> np.ndarray:
+        state = [np.full(lanes, x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+        f = np.empty(lanes, np.uint32)
+        for block in range((n + 8) // 64 + 1):
+            words = [padded(at, n, 16 * block + i) for i in range(16)]
+            a, b, c, d = (x.copy() for x in state)
+            for i in range(64):
+                kind, s = i // 16, _MD5_S[i // 16][i % 4]
+                if kind == 0:
+                    np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
+                elif kind == 1:
+                    np.bitwise_xor(b, c, out=f), np.bitwise_and(f, d, out=f), np.bitwise_xor(f, c, out=f)
+                elif kind == 2:
+                    np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, d, out=f)
+                else:
+                    np.invert(d, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
+                step, first = _MD5_G[kind]
+                word, plus = words[(step * i + first) % 16], _MD5_K[i]
+                np.add(a, f, out=a)
+                if isinstance(word, int):
+                    plus = (plus + word) & 0xFFFFFFFF
+                else:
+                    np.add(a, word, out=a)
+                np.add(a, np.uint32(plus), out=a)
+                np.left_shift(a, np.uint32(s), out=f), np.right_shift(a, np.uint32(32 - s), out=a)
+                np.bitwise_or(a, f, out=a), np.add(a, b, out=a)
+                a, b, c, d = d, a, b, c
+            state = [x + y for x, y in zip(state, (a, b, c, d), strict=True)]
+        high, low = (x.byteswap().astype(np.int64) for x in state[:2])
+        return high << 28 | low >> 4
+
+    return _by_size(data, begin, size, np.int64, sums)
+
+
+def xxhash64(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of strings in ``data``, by columns."""
+    p1, p2, p3, p4, p5 = map(_U, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def sums(at, lanes: int, n: int) -> np.ndarray:
+        four = lambda i: at(i).astype(_U)
+        eight = lambda i: four(i) | four(i + 4) << _U(32)
+        mixed = lambda v, x: _rotl(v + x * p2, 31) * p1
+        with np.errstate(over="ignore"):
+            i, h = 0, np.full(lanes, 42, _U) + p5
+            if n >= 32:
+                v = [np.full(lanes, 42, _U) + x for x in (p1 + p2, p2, _U(0), _U(0) - p1)]
+                while i + 32 <= n:
+                    v, i = [mixed(x, eight(i + 8 * j)) for j, x in enumerate(v)], i + 32
+                h = _rotl(v[0], 1) + _rotl(v[1], 7) + _rotl(v[2], 12) + _rotl(v[3], 18)
+                for x in v:
+                    h = (h ^ mixed(_U(0), x)) * p1 + p4
+            h = h + _U(n)
+            while i + 8 <= n:
+                h, i = _rotl(h ^ mixed(_U(0), eight(i)), 27) * p1 + p4, i + 8
+            if i + 4 <= n:
+                h, i = _rotl(h ^ four(i) * p1, 23) * p2 + p3, i + 4
+            for j in range(i, n):
+                h = _rotl(h ^ (four(j) & _U(0xFF)) * p5, 11) * p1
+            h = (h ^ (h >> _U(33))) * p2
+            h = (h ^ (h >> _U(29))) * p3
+            return h ^ (h >> _U(32))
+
+    return _by_size(data, begin, size, _U, sums)
+
+
+def murmur32(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Spark's hash of strings in ``data``, by columns: bytes after the last word are mixed in one by one, with their sign."""
+    u = np.uint32
+    turn = lambda h, r: h << u(r) | h >> u(32 - r)
+
+    def sums(at, lanes: int, n: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = np.full(lanes, 42, u)
+            whole = n - n % 4
+            for i in [*range(0, whole, 4), *range(whole, n)]:
+                x = at(i) if i < whole else (at(i) & u(0xFF)).astype(np.uint8).view(np.int8).astype(np.int32).view(u)
+                h = turn(h ^ turn(x * u(0xCC9E2D51), 15) * u(0x1B873593), 13) * u(5) + u(0xE6546B64)
+            h = h ^ u(n)
+            h = (h ^ h >> u(16)) * u(0x85EBCA6B)
+            h = (h ^ h >> u(13)) * u(0xC2B2AE35)
+            return h ^ h >> u(16)
+
+    return _by_size(data, begin, size, u, sums)
 
 
 def reverse_complement(seq: Column) -> Column:

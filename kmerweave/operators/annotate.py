@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ._stage import checked
 from .index import ratio
 
 
@@ -25,8 +26,8 @@ def new_nodes(ids: DataFrame, piece: DataFrame) -> DataFrame:
 
 
 def extract(ids: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The records of the given nodes."""
-    return nodes.join(ids.select("id").distinct(), "id", "left_semi")
+    """The records of the given nodes; where these are few, no record is shuffled."""
+    return nodes.join(checked(ids.select("id").distinct()), "id", "left_semi")
 
 
 def pair_reads(labels: DataFrame, reads: DataFrame, group: str, order: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.sequence import from_digits, h60_digits, kmers
+from ..functions.sequence import from_digits, h60_digits, kmer_h60, kmers
 from ._stage import checked, staged
 from .graph import renumber
 from .index import ratio
@@ -14,9 +14,7 @@ from .index import ratio
 
 def hashes(nodes: DataFrame, k: int, *keep: str, most: int = 2**60 - 1) -> DataFrame:
     """One row per k-mer occurrence with a hash of at most ``most``: kept columns and hash; a k-mer and its reverse complement hash alike."""
-    digits = kmers(nodes, "seq", k, *keep, both_strands=True).select(*keep, h60_digits(F.col("kmer")).alias("_digits"))
-    # digits of one length compare like numbers, so only the hashes that stay are converted
-    return digits.where(F.col("_digits") <= format(most, "015x")).select(*keep, from_digits(F.col("_digits")).alias("hash"))
+    return kmer_h60(nodes, "seq", k, *keep, most=most)
 
 
 def scaled_sketch(nodes: DataFrame, k: int, scaled: int, *keep: str) -> DataFrame:
@@ -53,8 +51,9 @@ def bottom_sketch(nodes: DataFrame, k: int, n: int, key: str) -> DataFrame:
 
 def overlap(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
     """key_a, key_b, both, n_a, n_b, containment of a in b, and similarity, for pairs with a common hash."""
+    a, b = staged(a.select(key_a, "hash"), "sketch"), staged(b.select(key_b, "hash"), "sketch")  # read twice
     size = lambda s, key, out: s.groupBy(key).agg(F.count("*").alias(out))
-    both = a.select(key_a, "hash").join(b.select(key_b, "hash"), "hash").groupBy(key_a, key_b).agg(F.count("*").alias("both"))
+    both = a.join(b, "hash").groupBy(key_a, key_b).agg(F.count("*").alias("both"))
     return (
         both.join(size(a, key_a, "n_a"), key_a)
         .join(size(b, key_b, "n_b"), key_b)

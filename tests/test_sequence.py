@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -104,3 +106,20 @@ def test_translation(spark):
     assert got[0] == "MA*" and got[3] == "LGH" and len(got) == 6
     assert one(spark, seq.translate_frames(F.lit("AT"))) == [""] * 6
     assert one(spark, seq.translate_frames(F.lit("ATGNNN")))[0] == "MX"
+
+
+def test_hashes_by_columns_are_those_of_every_kmer(spark):
+    """Hashes of a pass are Spark's own of the smaller strands, whatever the k-mers' bytes; texts over several parts keep places; no k-mer is cut in the plan."""
+    rng = random.Random(8)
+    word = lambda n, letters="ACGTxy é€\U0001f600": "".join(rng.choice(letters) for _ in range(n))
+    rows = [(i, word(rng.randint(0, 300))) for i in range(30)] + [(50, word(40_000)), (51, "A" * 200), (52, "ACGT" * 50), (None, word(90)), (53, None), (54, "é" * 150)]
+    d = spark.createDataFrame(rows, "id long, seq string")
+    for k in (3, 31, 70, 130):
+        plain = seq.kmers(d, "seq", k, "id", both_strands=True)
+        keys = seq.kmer_keys(d, "seq", k, "id").select("id", "pos", "kmer.h", "kmer.c")
+        assert keys.exceptAll(plain.select("id", "pos", F.xxhash64("kmer"), F.hash("kmer"))).isEmpty() and keys.count() == plain.count()
+        for most in (2**60 - 1, 2**57):
+            want = plain.select("id", seq.h60(F.col("kmer")).alias("hash")).where(F.col("hash") <= most)
+            got = seq.kmer_h60(d, "seq", k, "id", most=most)
+            assert got.exceptAll(want).isEmpty() and got.count() == want.count()
+    assert "Generate explode" not in got._jdf.queryExecution().executedPlan().toString()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kmerweave import queries as library
 from kmerweave.functions import sequence
-from kmerweave.operators import graph, hierarchy, index, sketch
+from kmerweave.operators import annotate, graph, hierarchy, index, sketch
 
 
 def odd_nodes(spark):
@@ -159,3 +159,15 @@ def test_ancestors_in_tasks_of_bounded_rows(spark, monkeypatch):
     level = spark.createDataFrame([(i, 1) for i in range(20, 40)] + [(i, 2) for i in range(1, 20)], "id long, level int")
     assert sorted(map(tuple, hierarchy.closure(child, level).collect())) == sorted({p for p in want if p[1] >= 20} | {(i, i) for i in range(20, 40)})
     assert rows
+
+
+def test_extracted_records_are_not_shuffled(spark):
+    nodes = spark.range(50).select("id", F.concat(F.lit("text "), "id").alias("seq")).repartition(3)
+    ids = spark.createDataFrame([(3,), (3,), (7,), (99,), (None,)], "id long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = annotate.extract(ids, nodes)
+        assert not exchanges(found) and sorted(map(tuple, found.collect())) == [(3, "text 3"), (7, "text 7")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
