@@ -15,10 +15,11 @@ from ..operators.graph import renumber
 from ..operators.index import ratio
 
 
-def leaves_under(child: DataFrame, chosen: DataFrame, piece: DataFrame) -> DataFrame:
-    """region, leaf: graph nodes under each chosen node (id) of a hierarchy."""
+def leaves_under(child: DataFrame, chosen: DataFrame, piece: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """region, leaf: graph nodes under each chosen node (id) of a hierarchy; ``pairs``: its ancestors where they are there already."""
     own = chosen.select(F.col("id").alias("region"), "id")
-    below = hierarchy.ancestors(child).withColumnsRenamed({"anc": "region", "desc": "id"}).join(own.select("region"), "region", "left_semi")
+    pairs = hierarchy.ancestors(child) if pairs is None else pairs
+    below = pairs.withColumnsRenamed({"anc": "region", "desc": "id"}).join(own.select("region"), "region", "left_semi")
     return own.unionByName(below).join(piece, "id").select("region", "leaf").distinct()
 
 
@@ -67,18 +68,19 @@ def shadow_ratio(child: DataFrame, stats: DataFrame, piece: DataFrame, root: int
     return Regions(nodes, under, nodes.agg(F.count("*").alias("n_regions"), F.coalesce(F.sum("size"), F.lit(0)).alias("kmers")))
 
 
-def unassembled(child: DataFrame, stats: DataFrame, piece: DataFrame, root: int, threshold: float, least: int = 0) -> tuple[DataFrame, DataFrame]:
+def unassembled(child: DataFrame, stats: DataFrame, piece: DataFrame, root: int, threshold: float, least: int = 0, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The highest nodes of which a query contains at most ``threshold``: their table, and their leaves (region, leaf).
 
     stats (id, kmers, weighted, shadow, matched).  The table holds all such nodes;
     leaves are those of nodes with at least ``least`` k-mers.
     """
-    top = hierarchy.first_below(child, stats, root, ratio(F.col("matched"), F.col("kmers")) <= threshold)
+    pairs = hierarchy.ancestors(child) if pairs is None else pairs
+    top = hierarchy.first_below(child, stats, root, ratio(F.col("matched"), F.col("kmers")) <= threshold, pairs)
     table = staged(
         top.select("id").join(stats, "id").select(F.col("id").alias("node_id"), ratio(F.col("matched"), F.col("kmers")).alias("contained"), F.col("kmers").alias("n_kmers"), F.col("weighted").alias("n_weighted_kmers"), ratio(F.col("weighted"), F.col("kmers")).alias("average_weight"), F.col("shadow").alias("shadow_size")),
         "unassembled",
     )
-    return table, leaves_under(child, table.where(F.col("n_kmers") >= least).select(F.col("node_id").alias("id")), piece)
+    return table, leaves_under(child, table.where(F.col("n_kmers") >= least).select(F.col("node_id").alias("id")), piece, pairs)
 
 
 def position_profile(queries: DataFrame, kmer_index: DataFrame, piece: DataFrame, info: DataFrame, k: int) -> DataFrame:

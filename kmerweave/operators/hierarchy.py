@@ -23,11 +23,18 @@ def ancestors(child: DataFrame) -> DataFrame:
 
     Ancestor doubling: each round joins the pairs of exactly d steps with those of 1 to
     d, and with themselves, so the rounds are the logarithm of the depth.  A node may
-    have several parents.  A cycle raises.
+    have several parents; where none has, no pair comes twice and none is looked for.
+    A cycle raises.
     """
+    several = not child.groupBy("child").agg(F.count("*").alias("n")).where(F.col("n") > 1).isEmpty()
+
     def set_of(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
         """The distinct pairs and their number, in tasks of bounded memory."""
-        raw, some = counted(rows, "paths")
+        raw, some = counted(rows, name, loops=F.count_if(F.col("anc") == F.col("desc")))
+        if some.loops:
+            raise ValueError("the parents of some node lead back to it")
+        if not several:
+            return raw, some.n
         out, seen = counted(once(raw, some.n), name)
         drop(raw)
         return out, seen.n
@@ -47,10 +54,11 @@ def ancestors(child: DataFrame) -> DataFrame:
     raise ValueError("the parents of some node lead back to it")
 
 
-def closure(child: DataFrame, level: DataFrame) -> DataFrame:
-    """anc, desc: every node with itself and all level-1 nodes below, whatever the depth."""
+def closure(child: DataFrame, level: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """anc, desc: every node with itself and all level-1 nodes below, whatever the depth; ``pairs``: ``ancestors`` where they are there already."""
     ones = level.where("level = 1").select("id")
-    below = ancestors(child).join(ones.withColumnRenamed("id", "desc"), "desc", "left_semi").select("anc", "desc")
+    pairs = ancestors(child) if pairs is None else pairs
+    below = pairs.join(ones.withColumnRenamed("id", "desc"), "desc", "left_semi").select("anc", "desc")
     # pairs below are distinct and of two nodes
     return below.union(ones.distinct().select(F.col("id").alias("anc"), F.col("id").alias("desc")))
 
@@ -87,10 +95,11 @@ def terminal_nodes(child: DataFrame, sizes: DataFrame, most: int, root: int) ->
     return sizes.join(parent, "id").join(p, "parent").where((F.col("size") < most) & ((F.col("parent") == root) | (F.col("parent_size") >= most))).select("id", "size")
 
 
-def first_below(child: DataFrame, values: DataFrame, root: int, holds) -> DataFrame:
+def first_below(child: DataFrame, values: DataFrame, root: int, holds, pairs: DataFrame | None = None) -> DataFrame:
     """id: nodes that hold, no ancestor of which (but the root) does; for conditions that don't grow towards the root."""
     good = staged(values.where(holds).where(F.col("id") != root).select("id"), "good")
-    under = ancestors(child).join(good.withColumnRenamed("id", "anc"), "anc", "left_semi").select(F.col("desc").alias("id")).distinct()
+    pairs = ancestors(child) if pairs is None else pairs
+    under = pairs.join(good.withColumnRenamed("id", "anc"), "anc", "left_semi").select(F.col("desc").alias("id")).distinct()
     return good.join(under, "id", "left_anti")
 
 

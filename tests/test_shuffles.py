@@ -4,10 +4,12 @@ import hashlib
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from kmerweave import queries as library
 from kmerweave.functions import sequence
+from kmerweave.jobs import regions
 from kmerweave.operators import annotate, graph, hierarchy, index, sketch
 
 
@@ -171,3 +173,27 @@ def test_extracted_records_are_not_shuffled(spark):
         assert not exchanges(found) and sorted(map(tuple, found.collect())) == [(3, "text 3"), (7, "text 7")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_ancestors_of_a_tree_are_written_once(spark, monkeypatch):
+    """A tree has no repeated pair, so none is looked for; loops of any length raise; the unassembled nodes take one set of pairs."""
+    monkeypatch.setattr(hierarchy, "once", lambda df, n: 1 / 0)
+    parent = {i: i // 3 for i in range(1, 60)}
+    want = set()
+    for i in parent:
+        a = i
+        while a in parent:
+            a = parent[a]
+            want.add((a, i))
+    child = spark.createDataFrame([(p, c) for c, p in parent.items()], "parent long, child long")
+    pairs = hierarchy.ancestors(child)
+    assert sorted(map(tuple, pairs.collect())) == sorted(want)
+    for loop in ([(5, 5)], [(1, 2), (2, 3), (3, 1), (3, 4)]):
+        with pytest.raises(ValueError, match="lead back"):
+            hierarchy.ancestors(spark.createDataFrame(loop, "parent long, child long"))
+    stats = spark.createDataFrame([(i, 10, 10, 1, 1 if i in (4, 13, 40, 5, 2) else 9) for i in range(60)], "id long, kmers long, weighted long, shadow long, matched long")
+    piece = spark.createDataFrame([(i, 1000 + i) for i in range(20, 60)], "id long, leaf long")
+    monkeypatch.setattr(hierarchy, "ancestors", lambda child: 1 / 0)
+    table, leaves = regions.unassembled(child, stats, piece, 0, 0.2, 8, pairs)
+    assert {r.node_id for r in table.collect()} == {2, 4, 5}
+    assert {tuple(r) for r in leaves.collect()} == {(a, 1000 + i) for a, i in want if a in (2, 4, 5) and i >= 20}
