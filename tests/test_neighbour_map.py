@@ -60,3 +60,32 @@ def test_few_vectors(spark):
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(4)], SCHEMA)
     points = neighbour_map.placed(same, "id", "v", rounds=2).points.collect()
     assert len(points) == 4 and all(np.isfinite([r.x, r.y]).all() for r in points)
+
+
+def test_all_points_repel(spark, monkeypatch):
+    """Over the grid every point counts: repulsion is that of all pairs, on planes of one tile and of several."""
+    for seed, wide, spacing, side in (9, 0.01, 2**-10, 512), (10, 8, 1 / 8, 512), (11, 25, 1 / 8, 64):
+        monkeypatch.setattr(neighbour_map, "TILE", side)
+        y = np.random.default_rng(seed).normal(size=(1500, 2)) * wide
+        points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(y)], "id long, x double, y double")
+        found, done, width = neighbour_map._repelled_by_all(points, spacing)
+        got = np.array([(r.rx, r.ry, r.z) for r in found.orderBy("id").collect()])
+        done()
+        away = y[:, None] - y[None]
+        q = 1 / (1 + (away**2).sum(-1))
+        np.fill_diagonal(q, 0)
+        want = np.column_stack([((q**2)[:, :, None] * away).sum(1), q.sum(1)])
+        assert (np.abs(got - want).max(0) < 3e-5 * np.abs(want).max(0)).all() and np.ptp(y, axis=0).max() <= width
+
+
+def test_map_of_many_depends_on_no_sample(spark, monkeypatch):
+    """With more points than any sample had, other ids give the same divergences, and so do all pairs and the grid."""
+    x = np.concatenate([c + np.random.default_rng(12).normal(size=(400, 3)) for c in ([0] * 3, [6] * 3, [6, -6, 0])])
+
+    def losses(first, pairs):
+        monkeypatch.setattr(neighbour_map, "PAIRS", pairs, raising=False)
+        df = spark.createDataFrame([(first + i, v.tolist()) for i, v in enumerate(x)], SCHEMA)
+        return neighbour_map.placed(df, "id", "v", 5.0, 9).losses
+
+    one, other, all_ = losses(0, 0), losses(5000, 0), losses(0, 4096)
+    assert np.allclose(one, all_, rtol=1e-6) and np.allclose(one, other, rtol=1e-4)
