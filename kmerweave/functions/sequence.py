@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,12 +130,15 @@ def _both_strands(whole: str) -> tuple[np.ndarray, np.ndarray]:
     return c, turned
 
 
-def _places(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every k-mer its text, where it begins in the texts as one, and in its own."""
-    size = np.array([len(t) for t in texts])
+def _sizes(texts: list[str]) -> np.ndarray:
+    return np.array([len(t) for t in texts])
+
+
+def _places(size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every k-mer its text (of texts of these sizes), where it begins in the texts as one, and in its own."""
     first = np.cumsum(size) - size
     count = size - k + 1
-    row = np.repeat(np.arange(len(texts)), count)
+    row = np.repeat(np.arange(len(size)), count)
     own = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     return row, own + first[row], own
 
@@ -160,7 +164,7 @@ def _stretches(texts: list[str], k: int, m: int, span: int) -> tuple[np.ndarray,
         step = min(wide, span - wide)
         least = np.minimum(least[: len(least) - step], least[step:])
         wide += step
-    row, at, _ = _places(texts, k)
+    row, at, _ = _places(_sizes(texts), k)
     key = least[at] & _U(0xFFFF)
     new = np.ones(len(at), bool)
     new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
@@ -215,7 +219,7 @@ def _hashed(df: DataFrame, text: str, k: int, keep: tuple[str, ...], types: str,
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, lo, texts in _passes(batches, HASHED):
-            row, pos, *at = _smaller(texts, k)
+            row, pos, *at = _smaller("".join(texts), _sizes(texts), k)
             found = hashes_of(*at)
             if most is not None:
                 some = np.flatnonzero(found[0] <= most)
@@ -229,10 +233,10 @@ def _hashed(df: DataFrame, text: str, k: int, keep: tuple[str, ...], types: str,
     return parts.mapInArrow(hashed, kept + types)
 
 
-def _smaller(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every k-mer its text, its place there, and the smaller of its strands: the bytes of all, where it begins in them, and its size."""
-    c, turned = _both_strands("".join(texts))
-    row, at, own = _places(texts, k)
+def _smaller(whole: str, size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every k-mer its text (the texts as one, and their sizes), its place there, and the smaller of its strands: the bytes of all, where it begins in them, and its size."""
+    c, turned = _both_strands(whole)
+    row, at, own = _places(size, k)
     flip, open_ = np.zeros(len(at), bool), np.arange(len(at))
     for j in range(k):  # few are alike for long
         mine, other = c[at[open_] + j], turned[at[open_] + (k - 1 - j)]
@@ -247,6 +251,19 @@ def _smaller(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return row, own, data, np.where(flip, 2 * ends[-1] - until, begin), until - begin
 
 
+def string_keys(texts: pa.StringArray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, h and c (the hash that ``kmer_keys`` gives) of every k-mer of strings of ``k`` characters or more, in passes of about ``HASHED`` characters."""
+    size = pc.utf8_length(texts).to_numpy()
+    begin = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset :]
+    ends, lo = np.cumsum(size), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + HASHED, "right")))
+        whole = texts.buffers()[2][int(begin[lo]) : int(begin[hi])].to_pybytes().decode("utf-8", "surrogatepass")
+        row, _, *at = _smaller(whole, size[lo:hi], k)
+        yield row + lo, xxhash64(*at).view(np.int64), murmur32(*at).view(np.int32)
+        lo = hi
+
+
 def _by_size(data: np.ndarray, begin: np.ndarray, size: np.ndarray, kind: type, hash_of: Callable) -> np.ndarray:
     """Hashes of strings in ``data``: those of one size at once, by the word of four bytes that begins at every place."""
     word = sum(data[i : len(data) - 3 + i].astype(np.uint32) << np.uint32(8 * i) for i in range(4))

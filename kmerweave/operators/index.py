@@ -6,14 +6,21 @@ smaller strand as ``kmer``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.sequence import kmer_keys, shares, stretch_keys, stretches
+from ..functions.sequence import kmer_keys, shares, stretch_keys, string_keys, stretches
 from . import bloom
 from ._stage import BROADCAST_ROWS, checked, counted, staged
 
+#: k-mers of nodes that a task holds before repeated ones go; marks (a power of two) that tell which a read may have.
+HELD, MARKS = 2**22, 2**22
+
 
 def node_sizes(nodes: DataFrame, k: int) -> DataFrame:
     """id, n_kmers: k-mers of each node with repeats, dropped ones included."""
@@ -88,13 +95,75 @@ def own_hits(nodes: DataFrame, reads: DataFrame, k: int) -> DataFrame:
 
 
 def own_labels(nodes: DataFrame, reads: DataFrame, k: int, *keys: str) -> DataFrame:
-    """Keys of the reads (and seq), id: the nodes that alone have one of a read's k-mers."""
-    ends = lambda a, b: (F.min(a).alias("a"), F.max(b).alias("b"))
-    once = _with_reads(nodes, reads, k, F.struct(*keys)).groupBy("deal", "stretch", "read").agg(*ends("id", "id"))
-    each = stretch_keys(once, k, "deal", "read", "a", "b").groupBy("deal", "h", "c", "read").agg(*ends("a", "b"))
-    same = Window.partitionBy("deal", "h", "c")
-    held = each.select("read", F.min("a").over(same).alias("id"), F.max("b").over(same).alias("last"))
-    return held.where("read is not null and id = last").select("read", "id").distinct().select("read.*", "id")
+    """Keys of the reads (and seq), id: the nodes that alone have one of a read's k-mers.
+
+    A task has all stretches of its minimizers and hashes their k-mers by columns; of the
+    nodes' only those that a read may have are sorted.
+    """
+    rows = _with_reads(nodes, reads, k, F.struct(*keys)).select("stretch", "read", "id").where("id is not null or read is not null")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("read", "id"))
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, names, held, names_of, new = [], [], [], {}, 0
+        n, kind = 0, None
+        for b in batches:
+            kind = b.column("id").type
+            own = b.filter(pc.is_null(b.column("read")))
+            ids = own.column("id")
+            if pa.types.is_integer(kind):
+                ids = ids.to_numpy().astype(np.int64)
+            else:  # other ids by numbers
+                ids = np.array([names_of.setdefault(x, len(names_of)) for x in ids.to_pylist()], np.int64)
+            for row, h, c in string_keys(own.column("stretch"), k):
+                held.append((h, c, ids[row], ids[row]))
+                new += len(h)
+            if new > HELD:  # repeated stretches of many nodes
+                held, new = [_ends(held)], 0
+            theirs = b.filter(pc.is_valid(b.column("read")))
+            for row, h, c in string_keys(theirs.column("stretch"), k):
+                asked.append((h, c, row + n))
+            if theirs.num_rows:
+                names.append(theirs.column("read"))
+                n += theirs.num_rows
+        if not asked or not held:
+            return
+        (h, c, read), one = ([np.concatenate(x) for x in zip(*rows)] for rows in (asked, held))
+        some = np.zeros(MARKS, bool)
+        some[h & (MARKS - 1)] = True
+        near = some[one[0] & (MARKS - 1)]
+        one = [x[near] for x in one]
+        h, c = np.concatenate([h, one[0]]), np.concatenate([c, one[1]])
+        # k-mers in order of their hash; a read has no ends, and more than all ids of nodes before it
+        order = np.lexsort((c, h))
+        far = np.iinfo(np.int64)
+        low = np.concatenate([np.full(len(read), far.max), one[2]])[order]
+        high = np.concatenate([np.full(len(read), far.min), one[3]])[order]
+        begin = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])]))
+        low, high = np.minimum.reduceat(low, begin), np.maximum.reduceat(high, begin)
+        group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
+        told = (order < len(read)) & (low == high)[group]
+        row, id_ = read[order[told]], low[group[told]]
+        order = np.lexsort((id_, row))
+        row, id_ = row[order], id_[order]
+        keep = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (id_[1:] != id_[:-1])])) if len(row) else row
+        row, id_ = row[keep], id_[keep]
+        reads_ = pa.chunked_array(names).combine_chunks()
+        by_number = list(names_of)
+        for lo in range(0, len(row), HELD // 16):
+            part = slice(lo, lo + HELD // 16)
+            ids = pa.array([by_number[i] for i in id_[part]], kind) if by_number else pa.array(id_[part]).cast(kind)
+            yield pa.record_batch([reads_.take(pa.array(row[part])), ids], ["read", "id"])
+
+    return rows.mapInArrow(label, kinds).distinct().select("read.*", "id")
+
+
+def _ends(held: list[tuple]) -> tuple:
+    """h, c and the smallest and largest id of every k-mer, once."""
+    h, c, low, high = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((c, h))
+    h, c = h[order], c[order]
+    begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
+    return h[begin], c[begin], np.minimum.reduceat(low[order], begin), np.maximum.reduceat(high[order], begin)
 
 
 def collisions(nodes: DataFrame, k: int) -> DataFrame:

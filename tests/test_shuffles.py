@@ -197,3 +197,20 @@ def test_ancestors_of_a_tree_are_written_once(spark, monkeypatch):
     table, leaves = regions.unassembled(child, stats, piece, 0, 0.2, 8, pairs)
     assert {r.node_id for r in table.collect()} == {2, 4, 5}
     assert {tuple(r) for r in leaves.collect()} == {(a, 1000 + i) for a, i in want if a in (2, 4, 5) and i >= 20}
+
+
+def test_labels_hash_by_columns(spark, monkeypatch):
+    """Labels need no row for a k-mer in Spark's plan; ids that aren't numbers, repeated stretches that go early, and texts in any letters."""
+    nodes, rows = odd_nodes(spark)
+    reads = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(rows)], "r long, seq string")
+    monkeypatch.setattr(index, "HELD", 64)
+    own = {x: next(iter(h - {None})) for x, h in holders(rows, 13).items() if len(h - {None}) == 1}
+    want = {(r, own[x]) for r, (_, s) in enumerate(rows) for x in {canonical(s[j : j + 13]) for j in range(len(s or "") - 12)} if x in own}
+    labels = index.own_labels(nodes, reads, 13, "r")
+    assert "Generate" not in labels._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    assert {tuple(r) for r in labels.collect()} == want
+    named = nodes.select(F.concat(F.lit("é"), F.col("id").cast("string")).alias("id"), "seq")
+    assert {tuple(r) for r in index.own_labels(named, reads, 13, "r").collect()} == {(r, f"é{i}") for r, i in want}
+    short = [(1, "ünïcode wörds ünd é 😀 only here"), (2, "plain words of the second node, and no more")]
+    told = index.own_labels(spark.createDataFrame(short, "id long, seq string"), spark.createDataFrame([(7, short[0][1][3:]), (8, short[1][1][:20])], "r long, seq string"), 13, "r")
+    assert {tuple(r) for r in told.collect()} == {(7, 1), (8, 2)}
