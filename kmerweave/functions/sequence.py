@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,6 +103,28 @@ def stretches(df: DataFrame, text: str, k: int, *keep: str) -> DataFrame:
     return parts.mapInArrow(cut, f"{types}deal int, stretch string")
 
 
+def packed_stretches(df: DataFrame, text: str, k: int, deals: int, *keep: str) -> DataFrame:
+    """deal, texts, sizes and an array of every kept column: ``stretches`` with those of a pass and one of ``deals`` deals in a row, their texts as one."""
+    m = max(k // 3, min(k, 7))
+    parts = _parts(df, text, k, *keep).select(*keep, "piece")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, lo, texts in _passes(batches, PASS):
+            row, deal, found = _stretches(texts, k, m, k - m + 1)
+            deal = deal.astype(np.int64) % deals
+            order = np.argsort(deal, kind="stable")
+            ends = np.append(np.flatnonzero(np.diff(deal[order])) + 1, len(order))
+            at = np.concatenate([[0], ends])
+            found, size = [found[i] for i in order.tolist()], _sizes(found)[order]
+            whole = ["".join(found[i:j]) for i, j in zip(at[:-1].tolist(), ends.tolist())]
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), x)  # noqa: B023, E731
+            kept = [lists(b.column(c).take(pa.array(row[order] + lo))) for c in keep]
+            yield pa.record_batch([pa.array(deal[order][at[:-1]].astype(np.int32)), pa.array(whole, pa.string()), lists(pa.array(size.astype(np.int16))), *kept], ["deal", "texts", "sizes", *keep])
+
+    types = "".join(f", `{f.name}` array<{f.dataType.simpleString()}>" for f in parts.select(*keep).schema)
+    return parts.mapInArrow(cut, f"deal int, texts string, sizes array<smallint>{types}")
+
+
 def _parts(df: DataFrame, text: str, k: int, *keep: str) -> DataFrame:
     """Kept columns, start and piece: the texts in parts that hold every k-mer once, dealt out over the cores."""
     return spread(pieces(df.where(F.length(text) >= k), text, max(PART, k), k - 1, *keep)).where(F.length("piece") >= k)
@@ -251,15 +272,13 @@ def _smaller(whole: str, size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return row, own, data, np.where(flip, 2 * ends[-1] - until, begin), until - begin
 
 
-def string_keys(texts: pa.StringArray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Row, h and c (the hash that ``kmer_keys`` gives) of every k-mer of strings of ``k`` characters or more, in passes of about ``HASHED`` characters."""
-    size = pc.utf8_length(texts).to_numpy()
-    begin = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset :]
+def string_keys(whole: str, size: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Number, h and c (the hash that ``kmer_keys`` gives) of every k-mer of texts of ``k`` characters or more (the texts as one, and their sizes), in passes of about ``HASHED`` characters."""
     ends, lo = np.cumsum(size), 0
     while lo < len(size):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + HASHED, "right")))
-        whole = texts.buffers()[2][int(begin[lo]) : int(begin[hi])].to_pybytes().decode("utf-8", "surrogatepass")
-        row, _, *at = _smaller(whole, size[lo:hi], k)
+        start = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, start + HASHED, "right")))
+        row, _, *at = _smaller(whole[start : int(ends[hi - 1])], size[lo:hi], k)
         yield row + lo, xxhash64(*at).view(np.int64), murmur32(*at).view(np.int32)
         lo = hi
 

@@ -14,12 +14,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import kmer_keys, shares, stretch_keys, string_keys, stretches
+from ..functions.sequence import kmer_keys, packed_stretches, shares, stretch_keys, stretches, string_keys
 from . import bloom
 from ._stage import BROADCAST_ROWS, checked, counted, staged
 
 #: k-mers of nodes that a task holds before repeated ones go; marks (a power of two) that tell which a read may have.
 HELD, MARKS = 2**22, 2**22
+#: Deals of a task, about: of more its rows are shorter, of fewer tasks differ more.
+DEALS = 8
 
 
 def node_sizes(nodes: DataFrame, k: int) -> DataFrame:
@@ -100,31 +102,39 @@ def own_labels(nodes: DataFrame, reads: DataFrame, k: int, *keys: str) -> DataFr
     A task has all stretches of its minimizers and hashes their k-mers by columns; of the
     nodes' only those that a read may have are sorted.
     """
-    rows = _with_reads(nodes, reads, k, F.struct(*keys)).select("stretch", "read", "id").where("id is not null or read is not null")
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("read", "id"))
+    tasks = shares(nodes, "seq") + shares(reads, "seq")
+    deals = min(DEALS * tasks, 2**16)
+    mine = packed_stretches(nodes.where("id is not null"), "seq", k, deals, "id")
+    theirs = packed_stretches(reads.select(F.struct(*keys).alias("read"), "seq"), "seq", k, deals, "read")
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    both = mine.select("deal", "texts", "sizes", "id", none(theirs, "read")).union(theirs.select("deal", "texts", "sizes", none(mine, "id"), "read"))
+    rows = both.repartition(tasks, "deal").drop("deal")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.elementType.simpleString()}" for c in ("read", "id"))
+
+    def keys_in(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        return string_keys("".join(b.column("texts").to_pylist()), b.column("sizes").flatten().to_numpy().astype(np.int64), k)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, names, held, names_of, new = [], [], [], {}, 0
         n, kind = 0, None
         for b in batches:
-            kind = b.column("id").type
+            kind = b.column("id").type.value_type
             own = b.filter(pc.is_null(b.column("read")))
-            ids = own.column("id")
+            ids = own.column("id").flatten()
             if pa.types.is_integer(kind):
                 ids = ids.to_numpy().astype(np.int64)
             else:  # other ids by numbers
                 ids = np.array([names_of.setdefault(x, len(names_of)) for x in ids.to_pylist()], np.int64)
-            for row, h, c in string_keys(own.column("stretch"), k):
+            for row, h, c in keys_in(own):
                 held.append((h, c, ids[row], ids[row]))
                 new += len(h)
-            if new > HELD:  # repeated stretches of many nodes
-                held, new = [_ends(held)], 0
+                if new > HELD:  # repeated stretches of many nodes
+                    held, new = [_ends(held)], 0
             theirs = b.filter(pc.is_valid(b.column("read")))
-            for row, h, c in string_keys(theirs.column("stretch"), k):
+            for row, h, c in keys_in(theirs):
                 asked.append((h, c, row + n))
-            if theirs.num_rows:
-                names.append(theirs.column("read"))
-                n += theirs.num_rows
+            names.append(theirs.column("read").flatten())
+            n += len(names[-1])
         if not asked or not held:
             return
         (h, c, read), one = ([np.concatenate(x) for x in zip(*rows)] for rows in (asked, held))
