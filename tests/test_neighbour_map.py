@@ -89,3 +89,14 @@ def test_map_of_many_depends_on_no_sample(spark, monkeypatch):
 
     one, other, all_ = losses(0, 0), losses(5000, 0), losses(0, 4096)
     assert np.allclose(one, all_, rtol=1e-6) and np.allclose(one, other, rtol=1e-4)
+
+
+def test_neighbours_by_few_first(spark, monkeypatch):
+    """A bound from the first few vectors leaves out no neighbour: many equal vectors, ties, and vectors far from all."""
+    monkeypatch.setattr(density, "FEW", 3)
+    x = np.round(np.concatenate([np.zeros((40, 3)), np.random.default_rng(5).normal(size=(60, 3)), [[1e6, 0, 0], [-1e6, 1, 0]]]), 1)
+    df = spark.createDataFrame([(3 * i, v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    rows, apart = density.blocks(df, "id", "v", 30)
+    for r in density.neighbours(rows, apart, 7).collect():
+        d = np.sqrt(((x - x[r.id // 3]) ** 2).sum(1))
+        assert [(n.id, n.d) for n in r.near] == [(3 * j, e) for e, j in sorted((e, j) for j, e in enumerate(d) if 3 * j != r.id)[:7]]
